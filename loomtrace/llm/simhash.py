@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace.llm.common import labels_by_link, materialise, session, text_rows, utf8
@@ -53,16 +54,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per input row; null text counts as empty."""
+    """(doc_id, tie, fp): one row per input row; tie is a hash of the text; null text counts as empty."""
     session(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, width) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp, pa.int64())], names=["doc_id", "tie", "fp"])
 
-    rows = text_rows(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    rows = text_rows(docs, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tie bigint, fp bigint")
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -155,6 +156,13 @@ def links(reps: DataFrame, distance: int = 4) -> DataFrame:
     return keyed.repartition(n, "seg", "val").mapInArrow(run, "a bigint, b bigint")
 
 
+def _named(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, c): the component of each different fingerprint, named by a fingerprint."""
+    reps = materialise(prints.select("fp").distinct(), "fingerprint-groups")
+    found = connected_components(links(reps.select(F.col("fp").alias("rid"), "fp"), distance))
+    return reps.join(found, reps["fp"] == found["node"], "left").select("fp", F.coalesce("component", "fp").alias("c"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id): one row per input row.
 
@@ -165,9 +173,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is in it). An empty table gives an empty result; other columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "fingerprint-groups")
-    found = connected_components(links(reps.select(F.col("fp").alias("rid"), "fp"), distance))
-    named = reps.join(found, reps["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("c"))
-    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "c").select("fp", "component_id")
+    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    named = materialise(_named(prints, distance).join(low, "fp"), "components")
+    named = named.join(named.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id (null last), then text hash."""
+    prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    low = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("low"))
+    chosen = _named(prints, distance).join(low, "fp").groupBy("c").agg(F.min("low").alias("low")).select(F.col("low.doc_id").alias("_id"), F.col("low.tie").alias("_tie"))
+    rows = docs.withColumn("_text_hash", F.xxhash64(text_col))
+    rows = rows.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_tie")), "left_semi")
+    if prints.groupBy("doc_id", "tie").count().where("count > 1").limit(1).count():  # of equal rows one stays
+        rows = rows.withColumn("_number", F.row_number().over(W.partitionBy(id_col, "_text_hash").orderBy(F.lit(0)))).where("_number = 1")
+    return rows.select(*docs.columns)

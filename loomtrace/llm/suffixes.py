@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from loomtrace.llm.common import blocks, materialise, session, utf8
 
@@ -380,7 +381,7 @@ def _sort_contexts(length: int):
     return run
 
 
-def _apply(length: int):
+def _apply(length: int, as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             spans_out, kept_out = [], []
@@ -402,6 +403,10 @@ def _apply(length: int):
                 kept.append(text[at:])
                 kept_out.append(b"".join(kept))
                 spans_out.append([{"start": s, "end": e} for s, e in spans])
+            if as_text:
+                kept = pa.array([k.decode("utf-8", "ignore") for k in kept_out], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), kept, b.column(4)], names=["doc_id", "text", "rest"])
+                continue
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             n_bytes = [len(t) for t in utf8(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(spans_out, kind), pa.array(kept_out, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
@@ -409,9 +414,12 @@ def _apply(length: int):
     return run
 
 
-def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): one row per row; kept are the bytes outside all removed spans, in order.
 
+    With `carry`, instead: (doc_id, text, the carried columns), the text being the kept bytes without characters that
+    a cut broke.
+
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller id, or before it in the
     same text. Ids are integers; a null id is before all others; texts with one id are ordered by their hashes, and
     all but one of several equal rows are removed whole (if of `length` bytes or more). Null texts are empty. Texts may
@@ -423,9 +431,10 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     spark = session(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL))
-    rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select("doc", F.xxhash64("text").alias("tie"), "text")
-    runs = rows.mapInArrow(_cut_runs(length), _RUN)
+    rest = [F.struct(*carry).alias("rest")] if carry else []
+    rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
+    rows = rows.select("doc", F.xxhash64("text").alias("tie"), "text", *(["rest"] if carry else []))
+    runs = rows.select("doc", "tie", "text").mapInArrow(_cut_runs(length), _RUN)
     matched = materialise(runs.repartition(n, "key").mapInArrow(_match_runs(hot), _RUN), "runs")
     open_ = matched.where(f"kind <> {_REPEAT}").groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "start", "count", "kind")).alias("runs"))
     cut = rows.join(open_, ["doc", "tie"])  # the texts' exchange is the one that the last join reuses
@@ -436,5 +445,8 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     again = rows.groupBy("doc", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     number = F.row_number().over(W.partitionBy("doc", "tie").orderBy("doc")) > 1 if again else F.lit(False)
     out = rows.join(spans, ["doc", "tie"], "left").withColumn("again", number)
-    kind = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
-    return out.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "text", "found", "again").mapInArrow(_apply(length), kind)
+    out = out.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "text", "found", "again", *(["rest"] if carry else []))
+    if carry:
+        kind = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), out.schema["rest"]])
+        return out.mapInArrow(_apply(length, True), kind).select("doc_id", "text", "rest.*")
+    return out.mapInArrow(_apply(length, False), "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")

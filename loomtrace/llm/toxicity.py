@@ -130,6 +130,19 @@ def score_texts(texts: list[bytes], dense: np.ndarray, bias: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
+def _scores(texts: list[bytes], dense: np.ndarray, bias: float) -> np.ndarray:
+    """Scores of any number of texts, in parts of a few MB."""
+    got, at = np.zeros(len(texts)), 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size < 4 << 20):
+            size += len(texts[to])
+            to += 1
+        got[at:to] = score_texts(texts[at:to], dense, bias)
+        at = to
+    return got
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) for each row; the score of null and empty texts is the model's for no words."""
     spark = session(docs.sparkSession)
@@ -138,22 +151,31 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = sent.value.dense()
         for b in batches:
-            got = np.zeros(b.num_rows)
-            texts = utf8(b.column(1))
-            at = 0
-            while at < len(texts):  # parts of a few MB of text bound the arrays
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < 4 << 20):
-                    size += len(texts[to])
-                    to += 1
-                got[at:to] = score_texts(texts[at:to], dense, sent.value.bias)
-                at = to
+            got = _scores(utf8(b.column(1)), dense, sent.value.bias)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], names=["doc_id", "score"])
 
     rows = text_rows(docs, id_col, text_col)
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def accept(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+    spark = session(docs.sparkSession)
+    sent, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense = sent.value.dense()
+        for b in batches:
+            yield b.filter(pa.array(_scores(utf8(b.column(at)), dense, sent.value.bias) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def fitted(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, sample: int = SAMPLE) -> Model:
+    """A model of the labels of rows with crc32(doc_id) mod `fold` other than `held`."""
+    return train(labelled_sample(docs, labels, "toxic", F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held, sample))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per row of docs.
 
@@ -163,7 +185,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, t
     ignored.
     """
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold
-    model = train(labelled_sample(docs, labels, "toxic", part != held, sample))
-    return score(docs, model).select(
+    return score(docs, fitted(docs, labels, fold, held, sample)).select(
         "doc_id", F.coalesce(part == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
