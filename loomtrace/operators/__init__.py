@@ -1 +1 @@
-
+"""Operators of the query language as DataFrame transformations."""

@@ -1 +1 @@
-
+"""From query text to an analysed query."""
