@@ -130,7 +130,7 @@ class Schedule:
     def served(self, phase: int, block: int) -> list[int]:
         """Grains of each queue that the phase's blocks before `block` hold; the largest queue evens out rounding."""
         _, n, shares, _ = self.phases[phase]
-        windows = min(block * self.block, n)
+        windows = n if block >= max(1, n // self.block) else block * self.block  # a short last block joins the one before
         out = [windows * g // n for g in shares]
         big = max(range(len(shares)), key=lambda s: shares[s])
         out[big] += windows * self.slots - sum(out)
@@ -165,7 +165,7 @@ class Schedule:
             end = (done[s] + shares[s]) * self.grain
             while lo < min(hi, end):
                 g = lo // self.grain - done[s]
-                b = min(g * n // (shares[s] * self.block), (n - 1) // self.block)
+                b = min(g * n // (shares[s] * self.block), max(1, n // self.block) - 1)
                 while self.served(p, b)[s] > g:
                     b -= 1
                 while self.served(p, b + 1)[s] <= g:
