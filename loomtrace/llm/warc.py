@@ -11,7 +11,6 @@ member as they need; the payload is inflated only if the filters pass and the re
 
 from __future__ import annotations
 
-import base64
 import json
 import struct
 import uuid
@@ -187,7 +186,9 @@ class WarcReader(DataSourceReader):
                     names += [f"{m.rpartition('/')[0]}/{n}" for n in json.loads(f.read())]
         return [Archive(p, listed[p]) for p in sorted(names)]
 
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive at all
+            return
         columns = self.schema.fieldNames()
         tests = self.tests
 
