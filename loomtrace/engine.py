@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.operators.expressions import attribute, bracketed_expression, sort_keys, value
@@ -110,6 +110,11 @@ def to_json(result: DataFrame) -> DataFrame:
     plain = [F.col(f"`{c}`") for c in result.columns if c not in maps]
     if not maps:
         return result.select(F.to_json(F.struct(*plain), {"ignoreNullFields": "false"}).alias("json"))
-    spread = [F.transform_keys(F.coalesce(F.col(f"`{m}`"), F.create_map().cast("map<string,string>")), lambda k, _, m=m: F.concat(F.lit(m[:2]), k)) for m in maps]
+
+    def prefixed(m: str) -> Column:
+        known = F.coalesce(F.col(f"`{m}`"), F.create_map().cast("map<string,string>"))
+        return F.transform_keys(known, lambda k, _: F.concat(F.lit(m[:2]), k))
+
+    spread = [prefixed(m) for m in maps]
     own = F.from_json(F.to_json(F.struct(*plain)), "map<string,string>") if plain else F.create_map().cast("map<string,string>")
     return result.select(F.to_json(F.map_concat(own, *spread), {"ignoreNullFields": "false"}).alias("json"))

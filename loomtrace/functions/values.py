@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,18 +22,20 @@ DAY_MS = 86400000.0
 class Value:
     """kind: string, number, boolean, time, any or null.
 
-    time is a Spark timestamp column; any has text and, where numeric, num. constant marks a literal.
+    time is a timestamp column, or one without time zone (ntz), which is read as UTC; any has text and, where numeric,
+    num. constant marks a literal.
     """
 
     kind: str
     column: Column
     num: Column | None = None
     constant: object = None
+    ntz: bool = False
 
     @property
     def text(self) -> Column:
         if self.kind == "time":
-            return iso_text(F.to_timestamp_ntz(self.column.cast("string")), F.lit("Z"))
+            return iso_text(local_time(self), F.lit("Z"))
         return self.column if self.kind in ("string", "any") else self.column.cast("string")
 
     @property
@@ -74,8 +77,10 @@ def of_column(column: Column, spark_type: str) -> Value:
         return Value("string", column)
     if spark_type == "boolean":
         return Value("boolean", column)
-    if spark_type in ("timestamp", "timestamp_ntz", "date"):
-        return Value("time", column.cast("timestamp"))
+    if spark_type in ("timestamp", "timestamp_ntz"):
+        return Value("time", column, ntz=spark_type == "timestamp_ntz")
+    if spark_type == "date":
+        return Value("time", column.cast("timestamp_ntz"), ntz=True)
     if spark_type in ("tinyint", "smallint", "int", "bigint", "float", "double") or spark_type.startswith("decimal"):
         return Value("number", column)
     return Value("string", column.cast("string"))
@@ -98,19 +103,33 @@ def _offset(text: Column) -> Column:
 def local_time(v: Value) -> Column:
     """The clock time as written, without its offset; null unless it is an ISO time with an offset."""
     if v.kind == "time":
-        return F.to_timestamp_ntz(v.column.cast("string"))
+        return v.column if v.ntz else F.to_utc_timestamp(v.column, F.current_timezone()).cast("timestamp_ntz")
     ok = v.text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)$")
     bare = F.regexp_replace(v.text, r"(Z|[+-]\d{2}(:?\d{2})?)$", "")
     return F.when(ok, bare.try_cast("timestamp_ntz"))
 
 
+def parsed_time(text: Column) -> Column:
+    """A timestamp from ISO text, whose seconds may be left out; null if it is none."""
+    return F.regexp_replace(text, r"(T\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2").try_cast("timestamp")
+
+
+def constant_time(text: str) -> datetime | None:
+    """The UTC clock time of an ISO text; without an offset it is UTC."""
+    try:
+        t = datetime.fromisoformat(text)
+    except ValueError:
+        return None
+    return t.astimezone(timezone.utc).replace(tzinfo=None) if t.tzinfo else t
+
+
 def instant_ms(v: Value) -> Column:
     """Milliseconds since 1970 of a time, or null."""
     if v.kind == "time":
-        return F.unix_millis(v.column).cast("double")
+        return F.unix_millis(F.convert_timezone(F.lit("UTC"), F.current_timezone(), v.column).cast("timestamp") if v.ntz else v.column).cast("double")
     if v.kind in ("string", "any"):
         ok = v.text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}")
-        return F.when(ok, F.unix_millis(v.text.try_cast("timestamp"))).cast("double")
+        return F.when(ok, F.unix_millis(parsed_time(v.text))).cast("double")
     return F.lit(None).cast("double")
 
 
@@ -132,7 +151,7 @@ _PARTS = {"year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour,
 
 def call(name: str, args: list[Value]) -> Value:
     if name == "now":
-        return Value("string", iso_text(F.to_timestamp_ntz(F.current_timestamp().cast("string")), F.lit("Z")))
+        return Value("string", iso_text(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz"), F.lit("Z")))
     (v,) = args
     if name == "same":
         return v
@@ -191,10 +210,17 @@ def compare(op: str, a: Value, b: Value) -> Column:
     if a.kind == "boolean" and b.kind == "boolean":
         return use(a.column, b.column)
     if a.kind == "time" or b.kind == "time":
-        x, y = (v.column if v.kind == "time" else F.to_timestamp(v.text) if v.constant is not None else v.text.try_cast("timestamp") for v in (a, b))
-        if all(v.kind == "time" or (v.constant is not None and re.match(r"\d{4}-\d\d-\d\d", str(v.constant))) or v.kind in ("any", "string") and v.constant is None for v in (a, b)):
-            return use(x, y)
-        return use(a.text, b.text)
+        t, other = (a, b) if a.kind == "time" else (b, a)
+        if other.constant is not None:
+            when = constant_time(str(other.constant))
+            if when is None:
+                return use(a.text, b.text)
+            if t.ntz:  # a constant of the column's own type, so the comparison reaches the scan
+                fixed = F.lit(when.isoformat(sep=" ")).cast("timestamp_ntz")
+            else:
+                fixed = F.timestamp_micros(F.lit(int((when - datetime(1970, 1, 1)) / timedelta(microseconds=1))))
+            return use(t.column, fixed) if t is a else use(fixed, t.column)
+        return use(instant_ms(a), instant_ms(b))
     if _numeric(a) or _numeric(b):
         n, t = (a, b) if _numeric(a) else (b, a)
         if t.kind == "string" and t.constant is not None:
@@ -274,7 +300,7 @@ def aggregate(name: str, v: Value, distinct: bool) -> Value:
         return Value("number", (F.sum if name == "sum" else F.avg)(addend(v)))
     pick = F.min if name == "min" else F.max
     if v.kind in ("number", "time", "boolean"):
-        return Value(v.kind, pick(v.column))
+        return Value(v.kind, pick(v.column), ntz=v.ntz)
     numeric = F.coalesce(F.bool_and(v.number.isNotNull() | v.text.isNull()), F.lit(False))
     n = pick(v.number)
     return Value("any", F.when(numeric, n.cast("string")).otherwise(pick(v.text)), F.when(numeric, n))

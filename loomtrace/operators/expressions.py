@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,7 +30,15 @@ def bracketed_expression(a: Attribute):
         return None
     if isinstance(tree, (Attribute, Literal)):
         return None
-    return rebuild(tree, lambda x: Attribute(x.scope or a.scope, x.name, 0, x.literal, x.raw))
+    return rebuild(tree, lambda x: Attribute(x.scope or a.scope, x.name, 0, True, x.raw))
+
+
+def _exact_or_standard(a: Attribute, frame: Frame) -> Value:
+    """A name inside brackets: as it stands, or else as a short form."""
+    exact, standard = frame.resolve(a), frame.resolve(replace(a, literal=False))
+    if exact is None or standard is None or not frame.dynamic:
+        return exact or standard or nothing()
+    return Value("any", F.coalesce(exact.text, standard.text), F.when(exact.text.isNotNull(), exact.number).otherwise(standard.number))
 
 
 def attribute(a: Attribute, frame: Frame) -> Value:
@@ -37,7 +46,7 @@ def attribute(a: Attribute, frame: Frame) -> Value:
     tree = bracketed_expression(a) if found is None or frame.dynamic else None
     if tree is None:
         return found or nothing()
-    worked = value(tree, frame)
+    worked = value(tree, frame, lambda x: _exact_or_standard(x, frame))
     if found is None:
         return worked
     return Value("any", F.coalesce(found.text, worked.text), F.when(found.text.isNotNull(), found.number).otherwise(worked.number))

@@ -54,7 +54,7 @@ def groups(frame: Frame, query: Query, by_trace: bool = False) -> DataFrame:
         pick = (lambda c: F.first(f"_g{at}")) if at is not None and v.kind != "any" else F.first if at is not None else first
         if v.kind == "any":
             return Value("any", pick(v.text), pick(v.number))
-        return Value(v.kind, pick(v.column), constant=v.constant)
+        return Value(v.kind, pick(v.column), constant=v.constant, ntz=v.ntz)
 
     out: list[tuple[str, Column]] = []
     for c in query.columns:
@@ -119,7 +119,7 @@ class _Partial:
             return Value("number", F.try_divide(F.sum(c), F.sum(self.name + "n")))
         pick = F.min if self.node.name == "min" else F.max
         if self.v.kind in ("number", "time", "boolean"):
-            return Value(self.v.kind, pick(c))
+            return Value(self.v.kind, pick(c), ntz=self.v.ntz)
         numeric = F.bool_and(self.name + "a")
         return Value("any", F.when(numeric, pick(c).cast("string")).otherwise(pick(self.name + "t")), F.when(numeric, pick(c)))
 
@@ -178,7 +178,7 @@ def variants(frame: Frame, query: Query) -> DataFrame:
         if isinstance(node, Attribute):
             v = attribute(node, frame)
             c = F.min_by(firsts[node], at)
-            return Value("string" if v.kind == "any" else v.kind, c)
+            return Value("string" if v.kind == "any" else v.kind, c, ntz=v.ntz)
         if hasattr(node, "op"):
             return values.arithmetic(node.op, settle(node.left), settle(node.right))
         if hasattr(node, "args"):

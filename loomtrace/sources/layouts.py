@@ -153,7 +153,7 @@ class LogLayout:
 
         def entry(column: str, name: str) -> Value:
             attrs = F.col(column)
-            other = F.element_at(F.map_values(F.map_filter(attrs, lambda k, _: F.lower(k) == name.lower())), 1)
+            other = F.get(F.map_values(F.map_filter(attrs, lambda k, _: F.lower(k) == name.lower())), 0)
             return values.of_attribute(F.coalesce(attrs[name], F.when(F.size(attrs) > 0, other)))
 
         def find(s: str, name: str) -> Value | None:
@@ -169,7 +169,7 @@ class LogLayout:
             if "classifiers" not in have:
                 return implied
             text = {s: F.transform_values(F.col(f"{s}_attrs"), lambda _, v: F.coalesce(v["s"], v["n"].cast("string"), v["b"].cast("string"))) for s in (EVENT, TRACE, LOG) if f"{s}_attrs" in have}
-            keys = F.filter("classifiers", lambda c: F.lower(c["name"]) == name.lower())[0]["keys"]
+            keys = F.get(F.filter("classifiers", lambda c: F.lower(c["name"]) == name.lower()), 0)["keys"]
             parts = F.transform(keys, lambda k: F.coalesce(*[F.when(m[k] != "", m[k]) for m in text.values()]))
             own = F.array_join(F.filter(parts, lambda p: p.isNotNull()), "+")
             return Value("string", F.coalesce(F.when(own != "", own), implied.text if implied else F.lit(None)))

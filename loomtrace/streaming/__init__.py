@@ -1 +1 @@
-
+"""Nothing yet: the query language is over finished logs, without windows, watermarks or late data."""
