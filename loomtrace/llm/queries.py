@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from loomtrace.llm import embeddings, html, index, licences, simhash, suffixes, warc
+from loomtrace.llm import embeddings, html, index, licences, simhash, sql, suffixes, warc
 from loomtrace.llm.common import table
 from loomtrace.llm.packing import pack
 from loomtrace.llm.quality import quality
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": sql.OP1, "op3_suffix_dedup": sql.OP3, "op7_warc": sql.OP7, "op9_embedding_near_dedup": sql.OP9}
