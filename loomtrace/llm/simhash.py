@@ -10,6 +10,7 @@ at most 14 values of the second segment), three in at most 2, four in at most 3;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from loomtrace.llm.components import connected_components
 
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PAIR_BLOCK = 1 << 20
+#: Up to this size a bucket's pairs are all checked.
+SMALL = 96
 SHINGLE_BLOCK = 1 << 15
 
 
@@ -82,40 +85,50 @@ def _chained(x: np.ndarray, first: int, distance: int) -> np.ndarray:
     return keep
 
 
+@lru_cache(maxsize=SMALL)
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _bucket_links(fp: np.ndarray, first: int, distance: int) -> np.ndarray:
-    """Component labels of one bucket's fingerprints; all are equal in segment `first` of the ring."""
+    """Component labels of one bucket's fingerprints; all are equal in segment `first` of the ring.
+
+    A small bucket checks its pairs by the chains. In a larger one each fingerprint probes the few values of the next
+    segment that its chain allows, among fingerprints not yet in its component; components are joined after each block
+    of candidates, so a dense group costs few candidates, not its square.
+    """
     n = len(fp)
     label = np.arange(n)
-    second = _segment(fp, first + 1)
-    order = np.argsort(second, kind="stable")
-    ordered = second[order]
+    if n <= SMALL:
+        left, right = _all_pairs(n)
+        ok = _chained(fp[left] ^ fp[right], first, distance)
+        return labels_by_link(n, left[ok], right[ok])
+    second = _segment(fp, first + 1).astype(np.int64)
     width = SEGMENTS[(first + 1) % len(SEGMENTS)][1]
     slack = 2 * distance // len(SEGMENTS)
-    masks = [0] + [1 << k for k in range(width)] if slack >= 1 else [0]
-    if slack >= 2:
-        masks += [1 << k | 1 << j for k in range(width) for j in range(k)]
-    if slack >= 3:
+    if slack > 2:
         raise ValueError("distance may be 7 at most")
+    masks = [0, *(1 << k for k in range(width) if slack), *(1 << k | 1 << j for k in range(width) for j in range(k) if slack > 1)]
     for mask in masks:
-        want = second ^ np.uint64(mask)
-        lo, hi = np.searchsorted(ordered, want, "left"), np.searchsorted(ordered, want, "right")
-        reach = np.cumsum(hi - lo)
         at = 0
-        while at < n:  # blocks of about PAIR_BLOCK candidate pairs
-            base = reach[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(reach, base + PAIR_BLOCK, "right")))
-            size = (hi - lo)[at:to]
-            left = np.repeat(np.arange(at, to), size)
+        while at < n:  # blocks of about PAIR_BLOCK candidates
+            order = np.lexsort((label, second))
+            keys = second[order] * n + label[order]
+            want = (second[at:] ^ mask) * n
+            bounds = [np.searchsorted(keys, want + x) for x in (0, label[at:], label[at:] + 1, n)]
+            sizes = (bounds[1] - bounds[0]) + (bounds[3] - bounds[2])  # before and after those of the same component
+            to = max(1, int(np.searchsorted(np.cumsum(sizes), PAIR_BLOCK, "right")))
+            size = sizes[:to]
+            left = np.repeat(np.arange(to), size)
             step = np.arange(len(left)) - np.repeat(np.cumsum(size) - size, size)
-            right = order[np.repeat(lo[at:to], size) + step]
-            once = left < right
-            left, right = left[once], right[once]
+            below = (bounds[1] - bounds[0])[left]
+            right = order[np.where(step < below, bounds[0][left] + step, bounds[2][left] + step - below)]
+            left = left + at
             ok = _chained(fp[left] ^ fp[right], first, distance)
             if len(ok):
-                seen = np.arange(n) != label
-                a, b = np.concatenate((left[ok], np.nonzero(seen)[0])), np.concatenate((right[ok], label[seen]))
-                label = labels_by_link(n, a, b)
-            at = to
+                tied = np.nonzero(label != np.arange(n))[0]
+                label = labels_by_link(n, np.concatenate((left[ok], tied)), np.concatenate((right[ok], label[tied])))
+            at += to
     return label
 
 

@@ -72,8 +72,11 @@ def test_representatives_keep_one_row_of_each_component(spark):
     assert simhash.representatives(df.limit(0)).count() == 0 and simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [simhash.SMALL, 1])
 @pytest.mark.parametrize("spread", [3, 12])
-def test_bucket_links_find_all_pairs(spread):
+def test_bucket_links_find_all_pairs(spread, small, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL", small)
+    monkeypatch.setattr(simhash, "PAIR_BLOCK", 50)
     r = np.random.default_rng(spread)
     base = r.integers(0, 1 << 63, 20, dtype=np.uint64)
     fp = np.unique(np.concatenate([b ^ (np.uint64(1) << r.integers(0, 64, 40).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, spread * 5, 40).astype(np.uint64)) for b in base]))
@@ -107,3 +110,17 @@ def test_components(spark):
     want = {i: i // 10 * 10 for i in range(40)} | {i: 100 for i in range(100, 160)}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_dense_bucket_needs_few_candidates(monkeypatch):
+    """Twenty thousand fingerprints within a few bits of each other: their pairs are not listed."""
+    r = np.random.default_rng(4)
+    fp = np.zeros(40_000, np.uint64)
+    for _ in range(3):
+        fp ^= np.uint64(1) << r.integers(13, 64, len(fp)).astype(np.uint64)
+    fp = np.unique(fp)
+    listed = []
+    chained = simhash._chained
+    monkeypatch.setattr(simhash, "_chained", lambda x, *a: (listed.append(len(x)), chained(x, *a))[1])
+    assert (simhash._bucket_links(fp, 0, 4) == 0).all()
+    assert len(fp) > 15_000 and sum(listed) < len(fp) ** 2 / 10
