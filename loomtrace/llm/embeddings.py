@@ -9,6 +9,8 @@ vectors once, and returns counts and a spanning forest of its links, never its p
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,8 @@ from loomtrace.llm.components import connected_components
 
 #: Vectors in a block of the grid, about, and in a tile product.
 BLOCK = 8192
+#: A block is made smaller than BLOCK, to this at least, where there would be fewer cells than tasks.
+LEAST = 512
 TILE = 1024
 PAIRS = 1 << 18
 
@@ -92,7 +96,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     reps = v.where("ok").groupBy("key").agg(F.first("x").alias("x"), F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     reps = materialise(reps.withColumn("dim", F.size("x")), "vector-groups")
     n = reps.count()
-    grid = max(1, -(-n // block))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grid = max(1, -(-n // block), min(-(-n // LEAST), isqrt(4 * tasks)))  # enough cells for every task
     place = reps.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(grid)).cast("int"))
     cells = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).select(
         F.least("g", "other").alias("i"), F.greatest("g", "other").alias("j"), "g", "key", "x", "copies", "dim"
