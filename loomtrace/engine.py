@@ -25,8 +25,8 @@ class Engine:
     def __init__(self, layout):
         self.layout = layout
 
-    def query(self, text: str, ids: bool = False, check: bool = True) -> DataFrame:
-        """ids: also give logId, traceId and _id. check: look up names of ORDER BY and GROUP BY, which takes a small job
+    def query(self, text: str, ids: bool = False, check: bool = True, payload: bool = False) -> DataFrame:
+        """ids: also give logId, traceId and _id. payload: groups also give `events`, their representatives. check: look up names of ORDER BY and GROUP BY, which takes a small job
         where attributes are in maps."""
         query = analyse(parse(text))
         if isinstance(query, Delete):
@@ -35,7 +35,7 @@ class Engine:
         needed = {query.collection}
         for x in (*query.columns, *query.group, *query.order):
             needed |= {x.scope} if isinstance(x, Star) else needs(x)
-        if query.star:
+        if query.star or (payload and kind != "rows"):
             needed |= {EVENT, TRACE, LOG}
         if kind == "variants":
             needed |= {TRACE} & {g.scope for g in query.group}
@@ -46,12 +46,12 @@ class Engine:
         document = [F.col(c) for c in ORDER[query.collection]]
         frame.df = scoped(frame.df, query.collection, query.limit, query.offset, [*rows_order, *document])
         if kind == "variants":
-            return variants(frame, query)
+            return variants(frame, query, payload)
         if kind == "global":
-            return groups(frame, query)
+            return groups(frame, query, payload=payload)
         if kind == "groups":
             by_trace = not query.group and not query.columns
-            out = groups(frame, query, by_trace)
+            out = groups(frame, query, by_trace, payload)
             return out if query.group or by_trace else out.where("`count` > 0")
         df = frame.df.orderBy(*rows_order, *document) if rows_order else frame.df
         df = cut(df, query.limit, query.offset)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import values
 from loomtrace.functions.values import Value
-from loomtrace.operators.expressions import attribute, sort_keys, value
+from loomtrace.operators.expressions import attribute, value
 from loomtrace.operators.limits import cut
 from loomtrace.plans.analysis import has_aggregate
-from loomtrace.plans.syntax import EVENT, TRACE, Aggregate, Attribute, Query, Star, walk
+from loomtrace.plans.syntax import EVENT, LOG, TRACE, Aggregate, Attribute, Query, Star, walk
 from loomtrace.sources.layouts import IDS, Frame
 
 
@@ -26,9 +26,27 @@ def _names(pairs: list[tuple[str, Column]]) -> list[Column]:
     return [c.alias(n) for n, c in seen.items()]
 
 
-def groups(frame: Frame, query: Query, by_trace: bool = False) -> DataFrame:
+def row_map(frame: Frame) -> Column:
+    """All attributes of a row as text, under scope:name."""
+    parts = []
+    for scope in (EVENT, TRACE, LOG):
+        for name, column in frame.everything(scope):
+            if name == f"{scope}:*":
+                parts.append(F.coalesce(F.transform_keys(column, _prefix(scope)), F.create_map().cast("map<string,string>")))
+            else:
+                parts.append(F.create_map(F.lit(name), column.cast("string")))
+    return F.map_filter(F.map_concat(*parts), lambda _, v: v.isNotNull())
+
+
+def _prefix(scope: str):
+    return lambda k, _: F.concat(F.lit(f"{scope}:"), k)
+
+
+def groups(frame: Frame, query: Query, by_trace: bool = False, payload: bool = False) -> DataFrame:
     """A row per group (one for all rows without keys), with the number of its rows as `count`.
 
+    payload: also `events`, an array with the first row's attributes.
+
     Keys are GROUP BY names and, beside them, attributes in SELECT. Other projections without an aggregate are taken
     from a group's first row.
     """
@@ -66,6 +84,8 @@ def groups(frame: Frame, query: Query, by_trace: bool = False) -> DataFrame:
             out.append((c.raw, first(value(c, frame).output)))
     if not query.explicit and not by_trace:
         out = [(k.raw, F.first(f"_g{i}")) for i, k in enumerate(keys)]
+    if payload:
+        out.append(("events", F.array(first(row_map(frame)))))
     shown = list(dict.fromkeys(n for n, _ in out))
     sorts: list[tuple[str, bool]] = []
     extra: list[Column] = []
@@ -124,11 +144,12 @@ class _Partial:
         return Value("any", F.when(numeric, pick(c).cast("string")).otherwise(pick(self.name + "t")), F.when(numeric, pick(c)))
 
 
-def variants(frame: Frame, query: Query) -> DataFrame:
+def variants(frame: Frame, query: Query, payload: bool = False) -> DataFrame:
     """Traces grouped by the ordered sequence of an event attribute, and by keys of the trace or log.
 
     One shuffle brings a trace's events together, where the sequence and partial aggregates are made; another groups
-    the traces. `count` is the number of traces. A sequence has to fit in memory, as one value.
+    the traces. `count` is the number of traces. A sequence has to fit in memory, as one value. payload: also `events`,
+    the attributes of all events of a variant's first trace.
     """
     hoisted = next(g for g in query.group if g.hoist == 1)
     outer = [g for g in query.group if g.hoist == 0 and g.scope != EVENT]
@@ -140,7 +161,7 @@ def variants(frame: Frame, query: Query) -> DataFrame:
         key = [v.column] if v.kind in ("number", "time", "boolean") else [v.number, v.text]
     time = attribute(Attribute(EVENT, "timestamp", 0, False, ""), frame)
     parts = [*[F.isnull(k).alias(f"n{i}") for i, k in enumerate(key)], *[k.alias(f"k{i}") for i, k in enumerate(key)]]
-    item = F.struct(*parts, F.col("_ei").alias("ei"), time.text.alias("ts"), step.text.alias("x"))
+    item = F.struct(*parts, F.col("_ei").alias("ei"), time.text.alias("ts"), step.text.alias("x"), *([row_map(frame).alias("m")] if payload else []))
     df = frame.df
     for i, g in enumerate(outer):
         df = df.withColumn(f"_g{i}", attribute(g, frame).output)
@@ -168,7 +189,8 @@ def variants(frame: Frame, query: Query) -> DataFrame:
 
         items = F.array_sort(F.collect_list(item), after)
     traces = df.groupBy(*IDS[TRACE], *keys).agg(items.alias("_items"), F.min("_ls").alias("_ls"), F.min("_ts").alias("_ts"), *[c for _, p in partial for c in p.by_trace()], *first)
-    traces = traces.withColumn("_variant", F.expr("transform(_items, i -> i.x)")).drop("_items")
+    traces = traces.withColumn("_variant", F.expr("transform(_items, i -> i.x)"))
+    traces = traces.withColumn("_events", F.expr("transform(_items, i -> i.m)")).drop("_items") if payload else traces.drop("_items")
     merged = {n: p.merged() for n, p in partial}
     at = F.struct("_ls", "_ts")
 
@@ -191,8 +213,8 @@ def variants(frame: Frame, query: Query) -> DataFrame:
         v = settle(o.expr)
         sort = [(c.alias(f"_o{j}"), o.descending) for j, c in enumerate([v.column] if v.kind in ("number", "time", "boolean") else [v.number, v.text])]
     columns = _names([(c.raw, settle(c).output) for c in query.columns if not isinstance(c, (Star, Attribute))])
-    made = traces.groupBy("_variant", *keys).agg(F.count(F.lit(1)).alias("_count"), F.min(at).alias("_first"), *[c for c, _ in sort], *columns)
+    made = traces.groupBy("_variant", *keys).agg(F.count(F.lit(1)).alias("_count"), F.min(at).alias("_first"), *[c for c, _ in sort], *columns, *([F.min_by("_events", at).alias("events")] if payload else []))
     by = [F.col(f"_o{j}").desc_nulls_last() if d else F.col(f"_o{j}").asc_nulls_last() for j, (_, d) in enumerate(sort)] or [F.col("_count").desc()]
     made = cut(made.orderBy(*by, "_first"), query.limit, query.offset)
     names = [c.raw for c in query.columns if not isinstance(c, (Star, Attribute))]
-    return made.select(F.col("_variant").alias("variant"), *[F.col(k).alias(g.raw) for k, g in zip(keys, outer)], *[F.col(f"`{n}`") for n in dict.fromkeys(names)], F.col("_count").alias("count"))
+    return made.select(F.col("_variant").alias("variant"), *[F.col(k).alias(g.raw) for k, g in zip(keys, outer)], *[F.col(f"`{n}`") for n in dict.fromkeys(names)], F.col("_count").alias("count"), *(["events"] if payload else []))

@@ -21,7 +21,6 @@ from loomtrace.sources import xes
 from loomtrace.sources.layouts import ENTRY, EVENTS, HOT, IDS, LOGS, TRACES, LogLayout
 
 TABLES = {"logs": LOGS, "traces": TRACES, "events": EVENTS}
-_KEYS = {"logs": "log_id", "traces": "trace_id", "events": "event_id"}
 _HEADER = f"struct<extensions:array<struct<name:string,prefix:string,uri:string>>,globals:array<struct<scope:string,attrs:map<string,{ENTRY}>>>,classifiers:array<struct<name:string,keys:array<string>>>>"
 
 
@@ -88,7 +87,7 @@ class Store:
             "log_id", (F.row_number().over(by) + F.lit(-1 if last is None else last)).cast("bigint").alias("log_seq"), "source", F.current_timestamp().alias("import_ts"),
             "h.extensions", "h.globals", "h.classifiers", F.coalesce(_shown("attrs", "concept:name"), "log_id").alias("name"), "attrs",
         )
-        seq = F.broadcast(logs.select("log_id", "log_seq"))  # a row for each imported file
+        seq = logs.select("log_id", "log_seq")
         traces = raw.where("level = 'trace'").join(seq, "log_id").select(
             "log_id", "log_seq", "trace_id", "trace_seq", F.coalesce(_shown("attrs", "concept:name"), F.substring_index("trace_id", "_", -1)).alias("name"), "attrs"
         )
@@ -104,14 +103,14 @@ class Store:
 
     # --- query and delete ---
 
-    def query(self, text: str, ids: bool = False) -> DataFrame:
-        return Engine(self.layout()).query(text, ids)
+    def query(self, text: str, ids: bool = False, payload: bool = False) -> DataFrame:
+        return Engine(self.layout()).query(text, ids, payload=payload)
 
     def execute(self, text: str) -> str:
         """A query's rows, or a delete's result, as a JSON array; for small results."""
         if isinstance(parse(text), Delete):
             return json.dumps([self.delete(text)], indent=2)
-        return json.dumps([json.loads(r["json"]) for r in to_json(self.query(text, ids=True)).collect()], indent=2)
+        return json.dumps([json.loads(r["json"]) for r in to_json(self.query(text, ids=True, payload=True)).collect()], indent=2)
 
     def delete(self, text: str) -> dict:
         """Delete what a delete statement selects, with all below it: {"deleted": rows, "status": "success"}."""
