@@ -44,21 +44,15 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
 
-def _word_keys(text: np.ndarray) -> np.ndarray:
-    """For each position the next eight bytes as a big-endian number; zeros follow the end."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    keys = np.zeros(len(text), np.uint64)
+def _word_keys(text: np.ndarray, beyond: int) -> np.ndarray:
+    """For each position, and `beyond` more, the next eight bytes as a big-endian number; zeros follow the end."""
+    padded = np.concatenate((text, np.zeros(beyond + 8, np.uint8)))
+    keys = np.zeros(len(text) + beyond, np.uint64)
     for j in range(8):
-        keys = keys << np.uint64(8) | padded[j : j + len(text)]
+        keys = keys << np.uint64(8) | padded[j : j + len(keys)]
     return keys
 
 
-def _key_at(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-    out = keys[np.minimum(at, len(keys) - 1)]
-    out[at >= len(keys)] = 0
-    return out
-
-
 def ascending(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than their successors; the empty suffix is the smallest of all."""
     n = len(text)
@@ -72,24 +66,30 @@ def ascending(text: np.ndarray) -> np.ndarray:
 
 
 def _sort_directly(keys: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
-    """`chosen` suffixes in order of their first `depth` bytes or more, eight bytes a round, only where still tied."""
+    """`chosen` suffixes in order of their first `depth` bytes or more, eight bytes a round.
+
+    A round looks at suffixes that are still tied only, and sorts those of groups in which the eight bytes differ.
+    """
     order = chosen[np.argsort(keys[chosen], kind="stable")]
+    if len(order) < 2:
+        return order
     first = keys[order]
-    group = np.concatenate(([0], np.cumsum(first[1:] != first[:-1]))) if len(order) else first
+    new = np.concatenate(([True], first[1:] != first[:-1]))  # where a group of tied suffixes starts
     for at in range(8, depth, 8):
-        same = group[1:] == group[:-1]
-        tied = np.nonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))[0] if len(order) > 1 else []
+        tied = np.nonzero(~new | np.append(~new[1:], False))[0]
         if not len(tied):
             break
-        own, key = order[tied], _key_at(keys, order[tied] + at)
-        by = np.lexsort((key, group[tied]))
-        order[tied] = own[by]
+        group = np.cumsum(new[tied])
+        key = keys[order[tied] + at]
+        differs = (key[1:] != key[:-1]) & ~new[tied[1:]]
+        mixed = np.zeros(group[-1] + 1, bool)
+        mixed[group[1:][differs]] = True
+        some = mixed[group]
+        tied, group, key = tied[some], group[some], key[some]
+        by = np.lexsort((key, group))
+        order[tied] = order[tied[by]]
         key = key[by]
-        # groups are contiguous and stay so: split them where the key changes
-        cut = np.zeros(len(order), bool)
-        cut[tied[1:]] = (key[1:] != key[:-1]) & (np.diff(tied) == 1)
-        cut[1:] |= group[1:] != group[:-1]
-        group = np.cumsum(cut)
+        new[tied[1:]] |= (key[1:] != key[:-1]) & (group[1:] == group[:-1])
     return order
 
 
@@ -98,7 +98,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    keys, rising = _word_keys(text), ascending(text)
+    keys, rising = _word_keys(text, depth + 8), ascending(text)
     counts = np.bincount(text, minlength=256)
     ends = np.cumsum(counts)
     heads = ends - counts
@@ -135,18 +135,25 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in the array, `cap` at most; 0 for the first."""
-    keys = _word_keys(text)
+    if len(sa) < 2:
+        return np.zeros(len(sa), np.int64)
+    keys = _word_keys(text, cap + 8)
     out = np.zeros(len(sa), np.int64)
+    left = len(text) - np.maximum(sa[1:], sa[:-1])
     pair = np.arange(1, len(sa))
-    left = len(text) - np.maximum(sa[1:], sa[:-1]) if len(sa) > 1 else np.zeros(0, np.int64)
     for at in range(0, cap, 8):
-        x = _key_at(keys, sa[pair] + at) ^ _key_at(keys, sa[pair - 1] + at)
+        if 2 * len(pair) > len(sa):  # one look at each suffix serves both its pairs
+            own = keys[sa + at]
+            x = own[pair] ^ own[pair - 1]
+        else:
+            x = keys[sa[pair] + at] ^ keys[sa[pair - 1] + at]
         same = x == 0
-        part = same.astype(np.int64)
+        ends, x = pair[~same], x[~same]
+        out[ends] = at
         for bits in range(8, 64, 8):
-            part += x < np.uint64(1 << bits)
-        out[pair] += part
+            out[ends] += x < np.uint64(1 << bits)
         pair = pair[same]
+        out[pair] = at + 8
         if not len(pair):
             break
     out[1:] = np.minimum(np.minimum(out[1:], left), cap)
