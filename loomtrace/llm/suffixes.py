@@ -32,7 +32,7 @@ from loomtrace.llm.common import blocks, materialise, session, utf8
 GRAM = 32
 #: Bytes of text that are cut into runs at a time, and that one suffix array covers (a larger group has its own).
 BLOCK = 3 << 20
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 #: Runs that a task folds at a time.
 FOLD = 1 << 21
 HOT = 20_000
