@@ -35,7 +35,7 @@ BLOCK = 3 << 20
 CHUNK = 1 << 19
 #: Runs that a task folds at a time.
 FOLD = 1 << 21
-HOT = 20_000
+HOT = 4_000
 #: Stands for a null id while rows are compared.
 _NULL = -(1 << 63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
