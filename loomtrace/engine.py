@@ -116,5 +116,8 @@ def to_json(result: DataFrame) -> DataFrame:
         return F.transform_keys(known, lambda k, _: F.concat(F.lit(m[:2]), k))
 
     spread = [prefixed(m) for m in maps]
-    own = F.from_json(F.to_json(F.struct(*plain)), "map<string,string>") if plain else F.create_map().cast("map<string,string>")
-    return result.select(F.to_json(F.map_concat(own, *spread), {"ignoreNullFields": "false"}).alias("json"))
+    keep = {"ignoreNullFields": "false"}
+    parts = [F.to_json(F.struct(*plain), keep)] if plain else []
+    parts += [F.to_json(m, keep) for m in spread]
+    inner = F.filter(F.array(*[F.substring(p, F.lit(2), F.length(p) - 2) for p in parts]), lambda p: p != "")
+    return result.select(F.concat(F.lit("{"), F.array_join(inner, ","), F.lit("}")).alias("json"))

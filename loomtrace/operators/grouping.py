@@ -48,7 +48,7 @@ def groups(frame: Frame, query: Query, by_trace: bool = False, payload: bool = F
     payload: also `events`, an array with the first row's attributes.
 
     Keys are GROUP BY names and, beside them, attributes in SELECT. Other projections without an aggregate are taken
-    from a group's first row.
+    from a group's first row. Groups that ORDER BY leaves tied are ordered by their keys.
     """
     keys: list[Attribute] = []
     if query.group:
@@ -69,10 +69,12 @@ def groups(frame: Frame, query: Query, by_trace: bool = False, payload: bool = F
         """An attribute outside aggregates: the key, or the first row's value."""
         v = attribute(a, frame)
         at = next((i for i, k in enumerate(keys) if _same(a, k)), None)
-        pick = (lambda c: F.first(f"_g{at}")) if at is not None and v.kind != "any" else F.first if at is not None else first
+        if at is not None:
+            own = F.col(f"_g{at}")
+            return Value("any", own, own.try_cast("double")) if v.kind == "any" else Value(v.kind, own, ntz=v.ntz)
         if v.kind == "any":
-            return Value("any", pick(v.text), pick(v.number))
-        return Value(v.kind, pick(v.column), constant=v.constant, ntz=v.ntz)
+            return Value("any", first(v.text), first(v.number))
+        return Value(v.kind, first(v.column), ntz=v.ntz)
 
     out: list[tuple[str, Column]] = []
     for c in query.columns:
@@ -83,7 +85,7 @@ def groups(frame: Frame, query: Query, by_trace: bool = False, payload: bool = F
         else:
             out.append((c.raw, first(value(c, frame).output)))
     if not query.explicit and not by_trace:
-        out = [(k.raw, F.first(f"_g{i}")) for i, k in enumerate(keys)]
+        out = [(k.raw, F.col(f"_g{i}")) for i, k in enumerate(keys)]
     if payload:
         out.append(("events", F.array(first(row_map(frame)))))
     shown = list(dict.fromkeys(n for n, _ in out))
@@ -95,12 +97,9 @@ def groups(frame: Frame, query: Query, by_trace: bool = False, payload: bool = F
         for p in parts:
             sorts.append((f"_o{len(extra)}", o.descending))
             extra.append(p.alias(sorts[-1][0]))
-    limited = query.limit.get(None) is not None or query.offset.get(None)
-    if sorts or limited:
-        extra.append(F.min(frame.order).alias("_first"))
     made = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_count"), *extra, *[c for c in _names([(f"_c{shown.index(n)}", x) for n, x in out])])
     if sorts:
-        made = made.orderBy(*[F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_last() for n, d in sorts], "_first")
+        made = made.orderBy(*[F.col(n).desc_nulls_last() if d else F.col(n).asc_nulls_last() for n, d in sorts], *columns)
     made = cut(made, query.limit, query.offset)
     ids = [F.col(c).alias(n) for c, n in (("_log", "logId"), ("_trace", "traceId"))] if by_trace else []
     taken = {n.lower() for n in shown}
@@ -161,7 +160,7 @@ def variants(frame: Frame, query: Query, payload: bool = False) -> DataFrame:
         key = [v.column] if v.kind in ("number", "time", "boolean") else [v.number, v.text]
     time = attribute(Attribute(EVENT, "timestamp", 0, False, ""), frame)
     parts = [*[F.isnull(k).alias(f"n{i}") for i, k in enumerate(key)], *[k.alias(f"k{i}") for i, k in enumerate(key)]]
-    item = F.struct(*parts, F.col("_ei").alias("ei"), time.text.alias("ts"), step.text.alias("x"), *([row_map(frame).alias("m")] if payload else []))
+    item = F.struct(*parts, F.col("_ei").alias("ei"), time.text.alias("ts"), step.text.alias("x"), *([F.map_entries(row_map(frame)).alias("m")] if payload else []))
     df = frame.df
     for i, g in enumerate(outer):
         df = df.withColumn(f"_g{i}", attribute(g, frame).output)
@@ -171,7 +170,8 @@ def variants(frame: Frame, query: Query, payload: bool = False) -> DataFrame:
         if not any(n == other for other, _ in partial):
             partial.append((n, _Partial(n, frame, f"_p{len(partial)}")))
     firsts: dict[Attribute, str] = {}
-    for c in (*query.columns, *(o.expr for o in query.order)):
+    worked = [c for c in query.columns if not isinstance(c, (Star, Attribute))]
+    for c in (*worked, *(o.expr for o in query.order if has_aggregate(o.expr))):
         inside = {id(n.attribute) for n in walk(c) if isinstance(n, Aggregate)}
         for n in walk(c):
             if isinstance(n, Attribute) and id(n) not in inside:
@@ -190,7 +190,7 @@ def variants(frame: Frame, query: Query, payload: bool = False) -> DataFrame:
         items = F.array_sort(F.collect_list(item), after)
     traces = df.groupBy(*IDS[TRACE], *keys).agg(items.alias("_items"), F.min("_ls").alias("_ls"), F.min("_ts").alias("_ts"), *[c for _, p in partial for c in p.by_trace()], *first)
     traces = traces.withColumn("_variant", F.expr("transform(_items, i -> i.x)"))
-    traces = traces.withColumn("_events", F.expr("transform(_items, i -> i.m)")).drop("_items") if payload else traces.drop("_items")
+    traces = traces.withColumn("_events", F.expr("transform(_items, i -> map_from_entries(i.m))")).drop("_items") if payload else traces.drop("_items")
     merged = {n: p.merged() for n, p in partial}
     at = F.struct("_ls", "_ts")
 
@@ -212,9 +212,9 @@ def variants(frame: Frame, query: Query, payload: bool = False) -> DataFrame:
     for i, o in enumerate(ranks[:1]):
         v = settle(o.expr)
         sort = [(c.alias(f"_o{j}"), o.descending) for j, c in enumerate([v.column] if v.kind in ("number", "time", "boolean") else [v.number, v.text])]
-    columns = _names([(c.raw, settle(c).output) for c in query.columns if not isinstance(c, (Star, Attribute))])
-    made = traces.groupBy("_variant", *keys).agg(F.count(F.lit(1)).alias("_count"), F.min(at).alias("_first"), *[c for c, _ in sort], *columns, *([F.min_by("_events", at).alias("events")] if payload else []))
+    columns = _names([(c.raw, settle(c).output) for c in worked])
+    made = traces.groupBy("_variant", *keys).agg(F.count(F.lit(1)).alias("_count"), *[c for c, _ in sort], *columns, *([F.min_by("_events", at).alias("events")] if payload else []))
     by = [F.col(f"_o{j}").desc_nulls_last() if d else F.col(f"_o{j}").asc_nulls_last() for j, (_, d) in enumerate(sort)] or [F.col("_count").desc()]
-    made = cut(made.orderBy(*by, "_first"), query.limit, query.offset)
-    names = [c.raw for c in query.columns if not isinstance(c, (Star, Attribute))]
+    made = cut(made.orderBy(*by, "_variant", *keys), query.limit, query.offset)
+    names = [c.raw for c in worked]
     return made.select(F.col("_variant").alias("variant"), *[F.col(k).alias(g.raw) for k, g in zip(keys, outer)], *[F.col(f"`{n}`") for n in dict.fromkeys(names)], F.col("_count").alias("count"), *(["events"] if payload else []))
