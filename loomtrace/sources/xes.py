@@ -21,6 +21,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from loomtrace.workers import reach_workers
+
 ENTRY = "struct<tag:string,s:string,n:double,b:boolean,chain:string>"
 SCHEMA = (
     "level string, source string, log_id string, trace_id string, event_id string, trace_seq bigint, event_idx bigint, "
@@ -236,4 +238,5 @@ class XesSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    reach_workers(spark)
     spark.dataSource.register(XesSource)
