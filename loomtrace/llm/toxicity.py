@@ -61,19 +61,28 @@ def _coordinates(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield doc[gap:][same], ((pair * _ODD) >> shift).astype(np.int64)[same]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1) -> Model:
-    """One pass after another over the rows in the order given; no rows of either class give the constant model."""
-    share = float(labels.mean()) if len(labels) else 0.0
-    if share in (0.0, 1.0):
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 30.0 if share else -30.0)
-    rows: list[np.ndarray] = []
+def feature_rows(texts: list[bytes]) -> list[np.ndarray]:
+    """The different coordinates of each text."""
+    out: list[np.ndarray] = []
     for at in range(0, len(texts), 200):
         part = texts[at : at + 200]
-        doc, x = (np.concatenate(c) for c in zip(*_coordinates(part))) if any(words_of(t) for t in part) else (np.zeros(0, int), np.zeros(0, int))
-        both = np.unique(doc << BITS | x)
+        found = list(_coordinates(part))
+        both = np.unique(np.concatenate([doc << BITS | x for doc, x in found])) if found else np.zeros(0, np.int64)
         cut = np.searchsorted(both >> BITS, np.arange(len(part) + 1))
         both &= (1 << BITS) - 1
-        rows += [both[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
+        out += [both[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
+    return out
+
+
+def fit(texts: list[bytes], labels: np.ndarray, **settings) -> Model:
+    return fit_rows(feature_rows(texts), labels, **settings)
+
+
+def fit_rows(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1) -> Model:
+    """One pass after another over the rows in the order given; no rows of either class give the constant model."""
+    share = float(labels.mean()) if len(labels) else 0.0
+    if share in (0.0, 1.0):
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 30.0 if share else -30.0)
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias, bias_n = float(np.log(share / (1 - share))), 0.0
 
@@ -103,18 +112,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, size:
 
 
 def train(sample: DataFrame) -> Model:
-    """Fit in one task on the bounded sample; only the sparse weights come back."""
-    session(sample.sparkSession)
+    """Fit in one task on the bounded sample; only the sparse weights come back.
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("h", "ascending"), ("doc_id", "ascending")])
-        model = fit(utf8(table.column("text").combine_chunks()), table.column("y").to_numpy().astype(float))
-        index = np.concatenate(([-1], model.index))
-        return pa.table({"i": pa.array(index, pa.int64()), "w": pa.array(np.concatenate(([model.bias], model.weight)), pa.float64())})
+    Texts stream through the task, which keeps their coordinates alone.
+    """
+    session(sample.sparkSession)
 
-    got = sample.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "i bigint, w double").toPandas().sort_values("i")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, labels, rows = [], [], []
+        for b in batches:
+            rows += feature_rows(utf8(b.column(1)))
+            labels += b.column(2).to_pylist()
+            keys += zip(b.column(3).to_pylist(), b.column(0).to_pylist())
+        order = sorted(range(len(rows)), key=keys.__getitem__)
+        model = fit_rows([rows[i] for i in order], np.array([labels[i] for i in order], float))
+        index, weight = np.concatenate(([-1], model.index)), np.concatenate(([model.bias], model.weight))
+        yield pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), pa.array(weight, pa.float64())], names=["i", "w"])
+
+    got = sample.select("doc_id", "text", "y", "h").repartition(1).mapInArrow(run, "i bigint, w double").toPandas().sort_values("i")
     if got.empty:
-        return fit([], np.zeros(0))
+        return fit_rows([], np.zeros(0))
     return Model(got["i"].to_numpy()[1:], got["w"].to_numpy()[1:].astype(np.float32), float(got["w"].iloc[0]))
 
 
