@@ -5,7 +5,9 @@ of `grain` tokens. Deficit round-robin decides whose grains: each window, a queu
 target share of a window), it is served the whole grains it is owed, and what it is owed beyond that carries to the
 next window. Windows are grouped in blocks; at a block's start the served totals have a closed form, so the deficits
 carry across blocks and across partitions without anyone walking the windows before them. Only a task's own blocks
-are played out, in the task. What can't fill a grain, or is left when a queue of an explicit mixture runs dry, is
+are played out, in the task. More than FLAT sources are dealt in two or more levels: sources in groups of FAN, those in
+groups again, up to at most FLAT. The groups at the top take turns over the windows; a group's grains are dealt to its
+members one by one, by the same method, so every source keeps a deficit of its own. What can't fill a grain, or is left when a queue of an explicit mixture runs dry, is
 packed densely at the end, so only the very last window can be short.
 """
 
@@ -26,8 +28,11 @@ from pyspark.sql import functions as F
 from loomtrace.llm.common import materialise, session, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: More sources than this share queues by hash.
-MAX_QUEUES = 128
+#: Up to so many queues take turns directly; more do in groups of FAN.
+FLAT = 128
+FAN = 32
+#: The queue of rows with a null source.
+NO_SOURCE = "\0"
 #: Above so many (partition, queue) sums they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -46,9 +51,7 @@ def encoder(vocabulary: str = VOCABULARY):
 def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
     """(pid, queue, at, n, doc_id, ids): `at` is the tokens before it of the same partition and queue; ids are uint16."""
     session(docs.sparkSession)
-    queue = F.coalesce(F.col(source_col).cast("string"), F.lit("\0"))
-    if docs.select(queue.alias("q")).distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(MAX_QUEUES)).cast("string")
+    queue = F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), queue.alias("queue"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,19 +84,64 @@ def _apportion(total: int, weights: list[int]) -> list[int]:
     return shares
 
 
+class Deal:
+    """Deficit round-robin of some queues' whole grains over rounds of `slots` grains, in blocks with closed-form starts."""
+
+    def __init__(self, shares: list[int], slots: int):
+        self.shares, self.slots, self.n = shares, slots, sum(shares) // slots
+        self.block = max(256, -(-len(shares) ** 2 // slots))
+        self.last = max(1, self.n // self.block) - 1  # a short last block joins the one before
+        self.big = max(range(len(shares)), key=lambda s: shares[s])
+
+    def served(self, block: int) -> list[int]:
+        """Grains of each queue in the blocks before `block`; the largest queue evens out rounding."""
+        rounds = self.n if block > self.last else block * self.block
+        out = [rounds * g // self.n for g in self.shares]
+        out[self.big] += rounds * self.slots - sum(out)
+        return out
+
+    def play(self, block: int) -> tuple[list[int], list[int], np.ndarray]:
+        """(grains served before the block, where each queue's slots start, slots in the block by queue and grain)."""
+        start = self.served(block)
+        left = np.array(self.served(block + 1), np.int64) - np.array(start, np.int64)
+        w = int(left.sum()) // self.slots
+        quantum, deficit = left.copy(), np.zeros(len(left), np.int64)  # in units of 1/w grain
+        heads = np.concatenate(([0], np.cumsum(left))).tolist()
+        take = np.zeros((w, len(left)), np.int32)
+        for i in range(w):
+            deficit += quantum
+            now = np.clip(deficit // w, 0, left)
+            while (room := self.slots - int(now.sum())) > 0:
+                owed = np.argsort(now * w - deficit, kind="stable")
+                now[owed[(left > now)[owed]][:room]] += 1
+            while (over := int(now.sum()) - self.slots) > 0:
+                least = np.argsort(deficit - now * w, kind="stable")
+                now[least[(now > 0)[least]][:over]] -= 1
+            deficit -= now * w
+            left -= now
+            take[i] = now
+        whose = np.repeat(np.tile(np.arange(take.shape[1], dtype=np.int32), w), take.ravel())
+        return start, heads, np.argsort(whose, kind="stable").astype(np.int32)
+
+
 class Schedule:
     """Which window and place each token of each queue has. Small: a few numbers for each queue and phase."""
 
-    def __init__(self, totals: dict[str, int], window: int = 1024, grain: int = 128, targets: dict[str, float] | None = None):
+    def __init__(self, totals: dict[str, int], window: int = 1024, grain: int = 128, targets: dict[str | None, float] | None = None):
         if window % grain:
             raise ValueError("grain must divide window")
-        self.queues = sorted(totals)
+        self.window, self.grain, self.slots = window, grain, window // grain
+        wanted = {NO_SOURCE if q is None else q: round(1e12 * max(0.0, t)) for q, t in (targets or {}).items()}
+        mixed = sorted(totals if targets is None else (q for q in totals if wanted.get(q)))
+        if totals and not mixed:
+            raise ValueError("targets give none of the sources a share")
+        self.queues = mixed + sorted(q for q in totals if targets is not None and not wanted.get(q))
         self.index = {q: s for s, q in enumerate(self.queues)}
-        self.totals, self.window, self.grain, self.slots = [totals[q] for q in self.queues], window, grain, window // grain
-        self.block = max(256, -(-len(self.queues) ** 2 // self.slots))
-        self.phases: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]] = []  # first window, windows, grains, grains before
-        left, done, first = [t // grain for t in self.totals], [0] * len(self.queues), 0
-        weights = list(left) if targets is None else [round(1e6 * max(0.0, targets.get(q, 0))) for q in self.queues]
+        self.totals = [totals[q] for q in self.queues]
+        #: By phase: first window, windows, grains of each mixed queue, grains of each before.
+        self.phases: list[tuple[int, int, tuple[int, ...], tuple[int, ...]]] = []
+        left, done, first = [t // grain for t in self.totals[: len(mixed)]], [0] * len(mixed), 0
+        weights = list(left) if targets is None else [wanted[q] for q in mixed]
         while True:
             weights = [w if n else 0 for w, n in zip(weights, left)]
             if not sum(weights):
@@ -115,72 +163,72 @@ class Schedule:
                 break
             short = min((s for s, w in enumerate(weights) if w), key=lambda s: left[s] / weights[s])
             weights[short] = 0
-        self.full, self.done = first, done
-        tails = [t - g * grain for t, g in zip(self.totals, done)]
+        self.full, self.done = first, done + [0] * (len(totals) - len(mixed))
+        tails = [t - g * grain for t, g in zip(self.totals, self.done)]
         self.tail = np.concatenate(([0], np.cumsum(tails))).tolist()
-        self._played = lru_cache(maxsize=64)(self._play)
+        #: By phase and level: grains of the queues, then of groups of FAN of them, and so on.
+        self.levels: list[list[np.ndarray]] = []
+        for _, _, shares, _ in self.phases:
+            levels = [np.array(shares, np.int64)]
+            while len(levels[-1]) > FLAT:
+                levels.append(np.add.reduceat(levels[-1], np.arange(0, len(levels[-1]), FAN)))
+            self.levels.append(levels)
+        self._caches()
+
+    def _caches(self) -> None:
+        self._deal = lru_cache(maxsize=4096)(self._make_deal)
+        self._played = lru_cache(maxsize=1024)(lambda *key: self._deal(*key[:3]).play(key[3]))
+        self._served = lru_cache(maxsize=4096)(lambda *key: self._deal(*key[:3]).served(key[3]))
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_played"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_deal", "_played", "_served")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self._played = lru_cache(maxsize=64)(self._play)
-
-    def served(self, phase: int, block: int) -> list[int]:
-        """Grains of each queue that the phase's blocks before `block` hold; the largest queue evens out rounding."""
-        _, n, shares, _ = self.phases[phase]
-        windows = n if block >= max(1, n // self.block) else block * self.block  # a short last block joins the one before
-        out = [windows * g // n for g in shares]
-        big = max(range(len(shares)), key=lambda s: shares[s])
-        out[big] += windows * self.slots - sum(out)
-        return out
+        self._caches()
 
-    def _play(self, phase: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Deficit round-robin through one block: grains taken before each window, place in the window, block start."""
-        start = np.array(self.served(phase, block), np.int64)
-        left = np.array(self.served(phase, block + 1), np.int64) - start
-        w = int(left.sum()) // self.slots
-        quantum, deficit = left.copy(), np.zeros(len(left), np.int64)  # in units of 1/w grain
-        take = np.zeros((w, len(left)), np.int64)
-        for i in range(w):
-            deficit += quantum
-            now = np.clip(deficit // w, 0, left)
-            while (room := self.slots - int(now.sum())) > 0:
-                owed = np.argsort(now * w - deficit, kind="stable")
-                now[owed[(left > now)[owed]][:room]] += 1
-            while (over := int(now.sum()) - self.slots) > 0:
-                least = np.argsort(deficit - now * w, kind="stable")
-                now[least[(now > 0)[least]][:over]] -= 1
-            deficit -= now * w
-            left -= now
-            take[i] = now
-        before = np.vstack((np.zeros((1, len(left)), np.int64), np.cumsum(take, 0)))
-        return before, np.cumsum(take, 1) - take, start
+    def _make_deal(self, phase: int, level: int, group: int) -> Deal:
+        levels = self.levels[phase]
+        if level == len(levels) - 1:
+            return Deal(levels[level].tolist(), self.slots)
+        return Deal(levels[level][group * FAN : (group + 1) * FAN].tolist(), 1)
+
+    def _slots(self, phase: int, level: int, s: int, g: int, count: int) -> list[int]:
+        """Slots of the phase that grains g, g + 1, ... of a level's queue s have: at least one, at most `count`."""
+        top = level == len(self.levels[phase]) - 1
+        group, own = (0, s) if top else divmod(s, FAN)
+        key = (phase, level, group)
+        deal = self._deal(*key)
+        b = min(g * deal.n // (deal.shares[own] * deal.block), deal.last)
+        while self._served(*key, b)[own] > g:
+            b -= 1
+        while self._served(*key, b + 1)[own] <= g:
+            b += 1
+        start, heads, slots = self._played(*key, b)
+        at = heads[own] + g - start[own]
+        base = b * deal.block * deal.slots
+        found = [base + x for x in slots[at : min(at + count, heads[own + 1])].tolist()]
+        return found if top else [self._slots(phase, level + 1, group, x, 1)[0] for x in found]
 
     def pieces(self, queue: str, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
         """(stream position, length, sequence, offset) that together cover the queue's tokens lo..hi-1."""
         s = self.index[queue]
-        for p, (first, n, shares, done) in enumerate(self.phases):
-            end = (done[s] + shares[s]) * self.grain
-            while lo < min(hi, end):
-                g = lo // self.grain - done[s]
-                b = min(g * n // (shares[s] * self.block), max(1, n // self.block) - 1)
-                while self.served(p, b)[s] > g:
-                    b -= 1
-                while self.served(p, b + 1)[s] <= g:
-                    b += 1
-                before, place, start = self._played(p, b)
-                column, base = before[:, s], int(start[s])
-                i = int(np.searchsorted(column, g - base, "right")) - 1
-                while lo < min(hi, end) and i < len(place):
-                    stop = (base + int(column[i + 1]) + done[s]) * self.grain
-                    if stop > lo:
-                        offset = int(place[i, s]) * self.grain + lo - (base + int(column[i]) + done[s]) * self.grain
-                        size = min(hi, stop) - lo
-                        yield lo, size, first + b * self.block + i, offset
-                        lo += size
-                    i += 1
+        for p, (first, _, shares, done) in enumerate(self.phases):
+            if s >= len(shares):
+                break
+            end = min(hi, (done[s] + shares[s]) * self.grain)
+            while lo < end:
+                g = lo // self.grain
+                slots = self._slots(p, 0, s, g - done[s], -(-end // self.grain) - g)
+                i = 0
+                while i < len(slots):  # neighbouring slots of a window are one piece
+                    j = i + 1
+                    while j < len(slots) and slots[j] == slots[j - 1] + 1 and slots[j] % self.slots:
+                        j += 1
+                    size = min(end, (g + j) * self.grain) - lo
+                    yield lo, size, first + slots[i] // self.slots, slots[i] % self.slots * self.grain + lo - (g + i) * self.grain
+                    lo += size
+                    i = j
         while lo < hi:
             at = self.tail[s] + lo - self.done[s] * self.grain
             size = min(hi - lo, self.window - at % self.window)
@@ -189,15 +237,16 @@ class Schedule:
 
 
 def pack(
-    docs: DataFrame, window: int = 1024, grain: int = 128, targets: dict[str, float] | None = None,
+    docs: DataFrame, window: int = 1024, grain: int = 128, targets: dict[str | None, float] | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = VOCABULARY,
 ) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset): one row per piece; ids are little-endian uint32.
 
-    targets: token shares by source; by default those of the corpus. Null and empty texts hold the end id only; a null
+    targets: token shares by source, None for null; by default those of the corpus; an error if no source has one. Every
+    source is a queue of its own, at any number of them. Null and empty texts hold the end id only; a null
     source is a queue of its own; repeated rows and ids are packed as they come; an empty table gives no piece. A
     document of any length is cut by its windows. A hot source only has longer runs in each window. Other columns are
-    ignored. The totals sent to the driver are bounded: MAX_QUEUES queues.
+    ignored. One total for each distinct source goes to the driver and to the tasks.
     """
     tokens = materialise(tokenise(docs, id_col, text_col, source_col, vocabulary), "tokens")
     sums = tokens.groupBy("pid", "queue").agg(F.sum("n").alias("own"))

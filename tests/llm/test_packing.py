@@ -108,3 +108,45 @@ def test_schedule_covers_and_mixes(totals, targets):
             for w in range(n):
                 held += sum(size for offset, size, x in seen[w] if x == q)
                 assert abs(held - (w + 1) * shares[k] * 128 / n) <= 256 + 128 * (shares[k] == max(shares)) * len(totals)
+
+
+@pytest.mark.parametrize("n", [300, 5000])
+def test_many_sources_keep_their_shares(n):
+    totals = {f"s{i:04}": 128 * (6 + i % 37) + i % 128 for i in range(n)}
+    s = Schedule(totals)
+    first, windows, shares, _ = s.phases[0]
+    held = np.zeros((windows, len(s.queues)), np.int64)
+    used = np.zeros(windows, np.int64)
+    for q, t in totals.items():
+        at = 0
+        for start, size, sequence, _ in s.pieces(q, 0, t):
+            assert start == at
+            at += size
+            if sequence < windows:
+                held[sequence, s.index[q]] += size
+                used[sequence] += size
+        assert at == t
+    assert (used == 1024).all()
+    due = np.arange(1, windows + 1)[:, None] * np.array(shares)[None] * 128 / windows
+    assert np.abs(np.cumsum(held, 0) - due).max() <= 256
+
+
+def test_targets_hold_for_many_sources():
+    totals = {f"s{i}": 60_000 for i in range(200)} | {"\0": 60_000}
+    s = Schedule(totals, targets={"s7": 0.5, "s150": 0.25, None: 0.25})
+    got = {q: sum(size for _, size, sequence, _ in s.pieces(q, 0, t) if sequence < 100) for q, t in totals.items()}
+    assert {q: x for q, x in got.items() if x} == {"s7": 51_200, "s150": 25_600, "\0": 25_600}
+    even = Schedule(totals, targets={f"s{i}": 1 / 150 for i in range(150)})
+    got = [sum(size for _, size, sequence, _ in even.pieces(f"s{i}", 0, 60_000) if sequence < 1000) for i in range(200)]
+    assert all(abs(x - 1_024_000 / 150) <= 256 for x in got[:150]) and not any(got[150:])
+    with pytest.raises(ValueError):
+        Schedule(totals, targets={"unknown": 1.0})
+
+
+def test_packs_over_128_sources_once(spark):
+    data = [(i, t, f"s{i % 150}") for i, (_, t, _) in enumerate(rows(450, 3))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(5)
+    check(data, pack(df).collect())
+    got = pack(df, targets={"s3": 0.75, "s9": 0.25}).collect()
+    check(data, got)
+    assert {p["doc_id"] % 150 for p in got if p["sequence_id"] == 0} == {3, 9}
