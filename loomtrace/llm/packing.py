@@ -14,6 +14,7 @@ packed densely at the end, so only the very last window can be short.
 from __future__ import annotations
 
 import base64
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,10 @@ FLAT = 128
 FAN = 32
 #: The queue of rows with a null source.
 NO_SOURCE = "\0"
+#: White-space runs of so many characters are cut out; tiktoken's pattern fails at a million.
+LONG_SPACE = 1 << 16
+#: Unicode's White_Space, which Python's own class for it exceeds.
+SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_SPACE)
 #: Above so many (partition, queue) sums they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -48,6 +53,23 @@ def encoder(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
+    """The ids of any text. Long white-space runs, on which the library's pattern overflows, are cut out at pre-token borders.
+
+    Such a run is one pre-token, but for its last character if text follows, which belongs to what follows.
+    """
+    e = encoder(vocabulary)
+    if len(text) < LONG_SPACE:
+        return e.encode_ordinary(text)
+    ids, at = [], 0
+    for run in SPACES.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += e.encode_ordinary(text[at : run.start()])
+        ids += e._encode_single_piece(text[run.start() : stop].encode())
+        at = stop
+    return ids + e.encode_ordinary(text[at:])
+
+
 def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
     """(pid, queue, at, n, doc_id, ids): `at` is the tokens before it of the same partition and queue; ids are uint16."""
     session(docs.sparkSession)
@@ -55,11 +77,11 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, source_col: str, vocab
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), queue.alias("queue"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pid, ahead = encoder(vocabulary).encode_ordinary, TaskContext.get().partitionId(), defaultdict(int)
+        pid, ahead = TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
             ids, n, at = [], [], []
             for text, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                own = encode(text or "")
+                own = encode(text or "", vocabulary)
                 own.append(end_id)
                 ids.append(np.array(own, "<u2").tobytes())
                 n.append(len(own))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from loomtrace.llm.common import tokenizer_path
-from loomtrace.llm.packing import Schedule, encoder, pack
+from loomtrace.llm.packing import LONG_SPACE, Schedule, encode, encoder, pack
 
 TEXTS = ["Hello world", "", "  a\n\n b\t", "naïve café ñandú 你好 🙂", "it's we'll I'd", "x" * 3000, "<|endoftext|> 12345  67", "éß" * 700, "  tail "]
 
@@ -150,3 +150,13 @@ def test_packs_over_128_sources_once(spark):
     got = pack(df, targets={"s3": 0.75, "s9": 0.25}).collect()
     check(data, got)
     assert {p["doc_id"] % 150 for p in got if p["sequence_id"] == 0} == {3, 9}
+
+
+def test_white_space_of_over_a_million_characters(spark):
+    n = 1_000_100
+    texts = ["a" + " " * n + "b", " " * n, "\n" * n + "x", "it's" + " \n\u3000\xa0" * (n // 4) + ".\x1c" + " " * LONG_SPACE + "\x1d" + "\t" * LONG_SPACE]
+    for m in (LONG_SPACE - 1, LONG_SPACE, LONG_SPACE + 1):
+        texts += ["é" + " " * m + "1" + "\t" * m + "'s", " " * m + "\x85", "b\n" + " " * m + "\nb"]
+    assert [encode(t) for t in texts] == reference_ids(texts)
+    got = pack(spark.createDataFrame([(1, texts[0], "a"), (2, "b", "a")], "doc_id bigint, text string, source string")).collect()
+    check([(1, texts[0], "a"), (2, "b", "a")], got)
