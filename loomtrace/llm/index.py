@@ -63,7 +63,18 @@ class Segment:
         One span for each place that begins one: the shortest. No span runs across documents.
         """
         lists = [self.postings(t) for t in sorted(set(terms), key=lambda t: self.counts[t])]
-        first = np.unique(np.concatenate(lists))
+        rare = lists[0]  # a span holds one of these, with every other term less than `width` words away
+        for held in lists[1:]:
+            at = np.minimum(np.searchsorted(held, rare - width, "right"), len(held) - 1)
+            rare = rare[np.abs(held[at] - rare) < width]
+            if not len(rare):
+                return rare, rare
+        begins = []
+        for held in lists:
+            start = np.searchsorted(held, rare - width, "right")
+            n = np.searchsorted(held, rare, "right") - start
+            begins.append(held[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+        first = np.unique(np.concatenate(begins))
         last = first.copy()
         for held in lists:
             at = np.searchsorted(held, first)
@@ -135,44 +146,64 @@ def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
 
 
 class Phrases:
-    """Distinct phrases of a bounded set of test items, by term numbers."""
+    """Distinct phrases of a bounded set of test items, by term numbers.
+
+    For proximity a phrase's terms may stand in any order within `reach` times its words, and an item longer than
+    `width` words is one more such phrase as a whole.
+    """
 
-    def __init__(self, items: list[tuple[object, bytes]], width: int):
+    def __init__(self, items: list[tuple[object, bytes]], width: int, reach: float | None = None):
+        self.reach = reach
         owners: dict[tuple[bytes, ...], set[int]] = {}
+        wholes: dict[tuple[bytes, ...], set[int]] = {}
         self.items: list[object] = []
         known: dict[object, int] = {}
         for item, text in items:
             number = known.setdefault(item, len(known))
             if number == len(self.items):
                 self.items.append(item)
-            for w in windows_of(words_of(text), width):
+            words = words_of(text)
+            for w in windows_of(words, width):
                 owners.setdefault(w, set()).add(number)
+            if reach is not None and len(words) > width:
+                wholes.setdefault(tuple(words), set()).add(number)
         vocabulary: dict[bytes, int] = {}
-        for w in owners:
+        for w in (*owners, *wholes):
             for t in w:
                 vocabulary.setdefault(t, len(vocabulary))
         self.terms = list(vocabulary)
-        self.phrases = [np.array([vocabulary[t] for t in w]) for w in owners]
-        self.owners = [sorted(o) for o in owners.values()]
+        self.exact = len(owners)
+        self.phrases = [np.array([vocabulary[t] for t in w]) for w in (*owners, *wholes)]
+        self.owners = [sorted(o) for o in (*owners.values(), *wholes.values())]
         self.sizes = np.array([len(p) for p in self.phrases], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.concatenate(self.phrases) if self.phrases else np.zeros(0, np.int64)
 
-    def search(self, segment: Segment) -> tuple[np.ndarray, list[set[int]]]:
-        """(whether each position is hit, the items found in each document)."""
-        hit = np.zeros(int((segment.sizes + 1).sum()) + 1, np.int64)
-        found: list[set[int]] = [set() for _ in segment.doc_ids]
+    def search(self, segment: Segment) -> list[tuple[np.ndarray, list[set[int]]]]:
+        """(whether each position is hit, the items found in each document), exactly and, with a reach, by proximity."""
+        kinds = [(np.zeros(int((segment.sizes + 1).sum()) + 1, np.int64), [set() for _ in segment.doc_ids]) for _ in range(1 if self.reach is None else 2)]
+
+        def mark(kind: int, i: int, first: np.ndarray, stop: np.ndarray) -> None:
+            hit, found = kinds[kind]
+            np.add.at(hit, first, 1)
+            np.add.at(hit, stop, -1)
+            for d in np.unique(np.searchsorted(segment.first, first, "right") - 1).tolist():
+                found[d].update(self.owners[i])
+
         if len(self.flat) and segment.terms:
             local = np.array([segment.terms.get(t, -1) for t in self.terms])
             rarest = np.minimum.reduceat(local[self.flat], self.starts)
             for i in np.nonzero(rarest >= 0)[0].tolist():
-                at = segment.phrase(local[self.phrases[i]].tolist())
-                if len(at):
-                    np.add.at(hit, at, 1)
-                    np.add.at(hit, at + self.sizes[i], -1)
-                    for d in np.unique(np.searchsorted(segment.first, at, "right") - 1).tolist():
-                        found[d].update(self.owners[i])
-        return np.cumsum(hit) > 0, found
+                terms = local[self.phrases[i]].tolist()
+                if i < self.exact:
+                    at = segment.phrase(terms)
+                    if len(at):
+                        mark(0, i, at, at + self.sizes[i])
+                if self.reach is not None:
+                    first, last = segment.near(terms, int(self.reach * self.sizes[i]))
+                    if len(first):
+                        mark(1, i, first, last + 1)
+        return [(np.cumsum(hit) > 0, found) for hit, found in kinds]
 
 
 def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, bytes]]]:
@@ -187,39 +218,47 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[
     yield held
 
 
-def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, spans, items): one row per indexed row; spans are the hit word ranges [start, end).
+SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
+def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str = "item_id", text_col: str = "text", reach: float | None = 2) -> DataFrame:
+    """(doc_id, n_words, spans, items, near, near_items): one row per indexed row; spans are the hit word ranges [start, end).
 
     A window is `width` consecutive words of an item, or all words of a shorter one. items: the distinct ids of items
-    that have a window in the text; a null item id marks words but isn't listed. Items are searched in blocks, so what
+    that have a window in the text; a null item id marks words but isn't listed. near and near_items are the same for
+    proximity: the ranges that hold all words of a window, or of a whole item, in any order, repeated words once, in at
+    most `reach` times its number of words, from each word that begins such a range the shortest; ranges that overlap
+    or touch are joined. No reach: exact matches alone, without these columns. Items are searched in blocks, so what
     is sent to the tasks is bounded; with several blocks their results meet by row.
     """
     spark = session(index.sparkSession)
     item_kind = items.schema[item_col].dataType.simpleString()
     doc_kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    out = f"segment bigint, ordinal int, doc_id {doc_kind}, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<{item_kind}>"
+    columns = [("spans", "items")] if reach is None else [("spans", "items"), ("near", "near_items")]
+    out = f"segment bigint, ordinal int, doc_id {doc_kind}, n_words bigint" + "".join(f", {s} {SPANS}, {i} array<{item_kind}>" for s, i in columns)
 
     def one(block: list[tuple[object, bytes]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Phrases(block, width))  # QUERY_BYTES of text at most
+        sent = spark.sparkContext.broadcast(Phrases(block, width, reach))  # QUERY_BYTES of text at most
         item_type = pa.list_(pa.string()) if item_kind == "string" else pa.list_(pa.int64() if item_kind == "bigint" else pa.int32())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for number, s in _segments(batches):
-                hit, found = sent.value.search(s)
-                edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-                begin, end = np.nonzero(edge > 0)[0], np.nonzero(edge < 0)[0]
-                doc = np.searchsorted(s.first, begin, "right") - 1
-                spans: list[list[dict]] = [[] for _ in s.doc_ids]
-                for d, a, b in zip(doc.tolist(), (begin - s.first[doc]).tolist(), (end - s.first[doc]).tolist()):
-                    spans[d].append({"start": a, "end": b})
-                names = sent.value.items
-                got = [[names[i] for i in sorted(f) if names[i] is not None] for f in found]
+                names, arrays, n = sent.value.items, [], len(s.doc_ids)
+                for hit, found in sent.value.search(s):
+                    edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+                    begin, end = np.nonzero(edge > 0)[0], np.nonzero(edge < 0)[0]
+                    doc = np.searchsorted(s.first, begin, "right") - 1
+                    spans: list[list[dict]] = [[] for _ in s.doc_ids]
+                    for d, a, b in zip(doc.tolist(), (begin - s.first[doc]).tolist(), (end - s.first[doc]).tolist()):
+                        spans[d].append({"start": a, "end": b})
+                    got = [[names[i] for i in sorted(f) if names[i] is not None] for f in found]
+                    arrays += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(got, item_type)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(s.doc_ids, pa.int64() if doc_kind == "bigint" else None),
-                        pa.array(s.sizes), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(got, item_type),
+                        pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.doc_ids, pa.int64() if doc_kind == "bigint" else None),
+                        pa.array(s.sizes), *arrays,
                     ],
-                    names=["segment", "ordinal", "doc_id", "n_words", "spans", "items"],
+                    names=["segment", "ordinal", "doc_id", "n_words", *(c for pair in columns for c in pair)],
                 )
 
         return index.mapInArrow(run, out)
@@ -231,23 +270,25 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str =
     for p in parts[1:]:
         both = both.unionByName(p)
     both = both.groupBy("segment", "ordinal").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        *(F.sort_array(F.flatten(F.collect_list(s))).alias(s) for s, _ in columns), *(F.array_distinct(F.flatten(F.collect_list(i))).alias(i) for _, i in columns),
     )
     # hit ranges of several passes may overlap: fold the sorted ones into disjoint ones
-    merged = F.expr("""
-        aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
+    merged = lambda spans: F.expr(f"""
+        aggregate({spans}, cast(array() as {SPANS}), (acc, x) ->
             case when size(acc) > 0 and element_at(acc, -1).end >= x.start
                  then concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
                  else concat(acc, array(x)) end)
-    """)
-    return both.select("doc_id", "n_words", merged.alias("spans"), "items")
+    """)
+    return both.select("doc_id", "n_words", *(c for s, i in columns for c in (merged(s).alias(s), i)))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", reach: float | None = None) -> DataFrame:
     """(doc_id, n_words, spans, items): index the texts, write the index, search the items in it; see `search`.
 
+    With a reach, near and near_items follow.
+
     Null and empty texts have no words; repeated rows and ids each give their row; an empty table gives an empty
     result, no items give no hits; other columns are ignored.
     """
-    return search(materialise(build(docs, id_col, text_col), "index"), items, width)
+    return search(materialise(build(docs, id_col, text_col), "index"), items, width, reach=reach)

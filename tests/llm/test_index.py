@@ -68,3 +68,51 @@ def test_proximity(spark):
     assert near([b"b", b"c"], 2) == [(7, 8)]
     assert near([b"a", b"c"], 5) == [(0, 4), (4, 5)]
     assert s.phrase([s.terms[b"c"], s.terms[b"a"]]).tolist() == [4]
+
+
+def brute_near(docs, items, width=10, reach=2):
+    queries = {}
+    for i, t in items:
+        words = words_of((t or "").encode())
+        for w in [*index.windows_of(words, width), *([tuple(words)] if words else [])]:
+            queries.setdefault((frozenset(w), int(reach * len(w))), set()).add(i)
+    out = []
+    for d, t in docs:
+        words = words_of((t or "").encode())
+        hit, found = set(), set()
+        for (terms, most), own in queries.items():
+            for i in range(len(words)):
+                held = set()
+                for j in range(i, min(i + most, len(words)) if words[i] in terms else i):
+                    held |= {words[j]} & terms
+                    if len(held) == len(terms):
+                        hit.update(range(i, j + 1))
+                        found |= own
+                        break
+        ranges = [(a, next(b for b in range(a, len(words) + 1) if b not in hit)) for a in sorted(hit) if a - 1 not in hit]
+        out.append((d, tuple(ranges), tuple(sorted(x for x in found if x is not None))))
+    return sorted(out, key=str)
+
+
+def test_proximity_same_as_brute_force(spark, monkeypatch):
+    r = random.Random(4)
+    word = lambda n=40: f"w{r.randint(0, n)}"
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 2, 5, 10, 11, 30])))) for i in range(20)] + [(None, "w1 w2 w3 w4"), (90, None), (91, "")]
+    docs = []
+    for i in range(60):
+        own = ((items[i % 20][1]) or "").split()
+        own = [x for w in own for x in ([w, "xx"] if r.random() < 0.5 else [w])]
+        if r.random() < 0.5:
+            r.shuffle(own)
+        docs.append((i, " ".join([word(400) for _ in range(r.choice([0, 5, 60]))] + own + [word(400) for _ in range(9)])))
+    docs += [(7, docs[7][1]), (200, None), (201, "")]
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute_near(docs, items)
+    exact = index.decontaminate(d, i).collect()
+    assert sum(bool(x[1]) for x in want) > sum(bool(x["spans"]) for x in exact)
+    for size, block in ((index.SEGMENT_BYTES, index.QUERY_BYTES), (2000, 500)):
+        monkeypatch.setattr(index, "SEGMENT_BYTES", size)
+        monkeypatch.setattr(index, "QUERY_BYTES", block)
+        got = index.search(index.materialise(index.build(d), "index"), i).collect()
+        assert sorted(((x["doc_id"], tuple(map(tuple, x["near"])), tuple(sorted(x["near_items"]))) for x in got), key=str) == want
+        assert sorted((x["doc_id"] or 0, x["n_words"], x["spans"], sorted(x["items"])) for x in got) == sorted((x["doc_id"] or 0, x["n_words"], x["spans"], sorted(x["items"])) for x in exact)
