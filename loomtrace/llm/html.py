@@ -32,10 +32,11 @@ SAMPLE_CHARS = 200_000
 VARIANTS = 4
 
 # The HTML standard's element groups, and attribute words that sites use for parts of a page.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark picture q ruby rb rp rt rtc s samp small source span strike strong sub sup time track tt u var wbr".split())
+INLINE = frozenset("a abbr acronym area b bdi bdo big br cite code data del dfn em font i img ins kbd label map mark picture q ruby rb rp rt rtc s samp small source span strike strong sub sup time track tt u var wbr".split())
+INLINE |= frozenset("maction math menclose merror mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript svg math iframe textarea title object embed canvas audio video select option button datalist input map noframes noembed xmp meta link base".split())
+UNSEEN = frozenset("head script style template noscript svg annotation annotation-xml mphantom iframe textarea title object embed canvas audio video select option button datalist input noframes noembed xmp meta link base".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}, "body": {"head"}}
 SCOPES = frozenset("table ul ol dl div section article main aside nav body form".split())
@@ -138,9 +139,9 @@ def parse(source: str) -> list[Node]:
                     end_block()
             continue
         if tag in UNSEEN and tag not in VOID:
-            if tag not in INLINE and tag not in ("select", "option", "button", "object", "svg", "math", "map"):
+            if tag not in INLINE and tag not in ("select", "option", "button", "object", "svg", "annotation", "annotation-xml", "mphantom"):
                 end_block()
-            if rest.endswith("/") and tag in ("svg", "math"):
+            if rest.endswith("/") and tag in ("svg", "annotation", "annotation-xml", "mphantom"):
                 continue
             if tag == "head":
                 stop = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
@@ -152,9 +153,9 @@ def parse(source: str) -> list[Node]:
             at = stop.end() if stop else size if tag in RAW else at
             continue
         if tag in INLINE:
-            if tag == "br":
+            if tag in ("br", "mtd", "mtr", "mlabeledtr"):
                 pieces.append(" ")
-            elif tag not in VOID and not rest.endswith("/"):
+            if tag not in VOID and not rest.endswith("/"):
                 stack.append((tag, stack[-1][1]))
                 links[1] += tag == "a"
             continue

@@ -91,3 +91,9 @@ def test_table(spark):
         assert g["n_chars"] == len(g["text"])
         assert g["text"] == ("" if i in (100, 101) else "\n".join(pages[i or 0][1]))
     assert html.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_formulas_and_maps_are_text():
+    formula = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding='application/x-tex'>\\frac12</annotation></semantics></math>"
+    page = f"<p>Let {formula} be <math/>so, <map name=m><area href=x>see <a href=y>there</a></map>.<p><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable><mphantom>x</mphantom></math>"
+    assert [n.text for n in html.parse(page) if n.text is not None] == ["Let a=12 be so, see there.", "1 2"]
