@@ -90,7 +90,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     kind = rows.schema[vector_col].dataType.simpleString()
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     v = rows.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("x"))
-    good = F.expr("x is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < 1.7e308D) and exists(x, c -> c <> 0)")
+    good = F.expr("x is not null and size(x) > 0 and forall(x, c -> c is not null and not isnan(c) and abs(c) < double('inf')) and exists(x, c -> c <> 0)")
     v = v.withColumn("ok", good).withColumn("key", F.when(F.col("ok"), F.sha2(F.array_join(F.expr("transform(x, c -> c + 0D)"), ","), 256)))
     slim = v.select("vec_id", "key")
     reps = v.where("ok").groupBy("key").agg(F.first("x").alias("x"), F.min("vec_id").alias("low"), F.count("*").alias("copies"))

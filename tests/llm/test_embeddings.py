@@ -44,3 +44,9 @@ def test_bounds_hold():
     approx = (codes.astype(float) @ codes.T.astype(float)) * np.outer(scale, scale)
     slack = np.outer(norm, lost) + np.outer(lost, norm + lost)
     assert (np.abs(unit @ unit.T - approx) <= slack).all()
+
+
+def test_components_near_the_largest_double_are_finite(spark):
+    v = [[1.79e308, 1.0], [1.79e308, 1.0], [1.0, 0.0], [float("inf"), 1.0], [-1.79e308, 0.0], [float("-inf"), 0.0]]
+    got = embeddings.near_duplicates(spark.createDataFrame(list(enumerate(v)), "vec_id bigint, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3), (4, 0, 4), (5, 0, 5)]
