@@ -3,25 +3,27 @@
 A string of `length` bytes that also starts earlier is to go. Every start of such a string (a window) has an anchor:
 the GRAM-byte piece inside it with the smallest hash, leftmost on ties. Equal windows have equal anchors at equal
 offsets, so windows are compared only within an anchor's group. Neighbouring windows with one anchor form a run; a
-run's bytes are its context. Steps:
-
-1. Texts are cut into runs. Equal contexts that meet in one task are folded at once: all but the first are repeats.
-2. Runs are shuffled by anchor. Equal contexts fold again; groups with different contexts need sorting.
-3. Those contexts are cut from the texts and sent to their group. A group with more than `hot` contexts is sent window
-   by window instead, keyed by the whole window and folded per task, so no task gets it whole.
-4. Each task lays its contexts end to end in document order and builds one suffix array by two-stage sorting: only
-   suffixes smaller than their successors are sorted directly, all others are induced by scanning the buckets in order.
-   Neighbours with a common prefix of `length` bytes are equal windows; all but the first in the text are repeats.
-5. Repeats, merged to spans of bytes, are cut out of the texts.
+run's bytes are its context. Hashes only say which contexts meet; whether strings are equal is told by their bytes.
+
+1. Texts are cut into runs. A task counts each anchor's runs and sends one of them, with the number, to the anchor's
+   group; so a frequent anchor is a row for each task there, not one for each run. Runs that are alone are done.
+2. The contexts of all others are cut from the texts and sent to their group. A group with more than `hot` of them is
+   dealt window by window instead, by the hash of the whole window, and windows whose bytes were seen before in the
+   task don't go.
+3. Groups stream through a task in order of their keys. It lays their contexts end to end in document order and builds
+   one suffix array by two-stage sorting: only suffixes smaller than their successors are sorted directly, all others
+   are induced by scanning the buckets in order. Neighbours with a common prefix of `length` bytes are equal windows;
+   all but the first in the text are repeats.
+4. Repeats, merged to spans of bytes, are cut out of the texts.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,11 +34,18 @@ from loomtrace.llm.common import blocks, materialise, session, utf8
 GRAM = 32
 #: Bytes of text that are cut into runs at a time, and that one suffix array covers (a larger group has its own).
 BLOCK = 3 << 20
-CHUNK = 1 << 19
-#: Runs that a task folds at a time.
-FOLD = 1 << 21
+CHUNK = 1 << 16
+#: Runs that a task counts at a time, and rows of a batch that it sends.
+COUNTED = 1 << 20
+BATCH = 1 << 16
+#: A group of more contexts is dealt by whole windows; of those a task remembers SEEN different ones.
 HOT = 4_000
-#: Stands for a null id while rows are compared.
+SEEN = 1 << 17
+#: Up to so many anchors of such groups are broadcast; more are joined by shuffle.
+BROADCAST_ROWS = 500_000
+#: A run's place is start * PLACE + number of windows, so a length has to be below.
+PLACE = 1 << 16
+#: Stands for a null id; the tie of such a row is negative, that of others isn't.
 _NULL = -(1 << 63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -47,10 +56,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 def _word_keys(text: np.ndarray, beyond: int) -> np.ndarray:
     """For each position, and `beyond` more, the next eight bytes as a big-endian number; zeros follow the end."""
     padded = np.concatenate((text, np.zeros(beyond + 8, np.uint8)))
-    keys = np.zeros(len(text) + beyond, np.uint64)
-    for j in range(8):
-        keys = keys << np.uint64(8) | padded[j : j + len(keys)]
-    return keys
+    return np.ndarray((len(text) + beyond,), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def ascending(text: np.ndarray) -> np.ndarray:
@@ -65,7 +71,18 @@ def ascending(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sort_directly(keys: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
+def _block_hashes(keys: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` bytes, eight at least, from each position where they fit, from those of `_word_keys`."""
+    h, at = keys * _A, 8
+    while at < size:
+        step = min(at, size - at)
+        x, y = h[:-step], h[step:]
+        h = (x ^ (x >> np.uint64(29))) * _A + (y ^ (y >> np.uint64(32))) * _B
+        at += step
+    return h ^ (h >> np.uint64(31))
+
+
+def _by_rounds(keys: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
     """`chosen` suffixes in order of their first `depth` bytes or more, eight bytes a round.
 
     A round looks at suffixes that are still tied only, and sorts those of groups in which the eight bytes differ.
@@ -93,21 +110,44 @@ def _sort_directly(keys: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarr
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes, ordered by at least their first `depth` bytes; ties beyond come in any order."""
+def _sort_directly(keys: np.ndarray, chosen: np.ndarray, depth: int, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(`chosen` suffixes in order of their first `depth` bytes or more, which of them were taken for equal to the one before).
+
+    With `hashed`, suffixes whose first `depth` bytes have one hash are sorted as one, in order of the text; the caller
+    has to check that they are equal.
+    """
+    if not hashed or len(chosen) < 2:
+        return _by_rounds(keys, chosen, depth), np.zeros(len(chosen), bool)
+    low = np.uint64((1 << int(len(chosen)).bit_length()) - 1)
+    packed = np.sort((_block_hashes(keys, max(8, depth))[chosen] & ~low) | np.arange(len(chosen), dtype=np.uint64))
+    member = chosen[(packed & low).astype(np.int64)]
+    head = np.concatenate(([True], (packed[1:] & ~low) != (packed[:-1] & ~low)))
+    start = np.nonzero(head)[0]
+    size = np.diff(np.append(start, len(member)))
+    block = np.empty(len(keys), np.int64)
+    block[member[start]] = np.arange(len(start))
+    block = block[_by_rounds(keys, member[start], depth)]
+    size = size[block]
+    at = np.repeat(start[block] - (np.cumsum(size) - size), size) + np.arange(len(member))
+    return member[at], ~head[at]
+
+
+def _suffix_array(text: np.ndarray, keys: np.ndarray, depth: int, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all suffixes, ordered by at least their first `depth` bytes, and which were taken for equal to the one before."""
     n = len(text)
     if not n:
-        return np.zeros(0, np.int64)
-    keys, rising = _word_keys(text, depth + 8), ascending(text)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    rising = ascending(text)
     counts = np.bincount(text, minlength=256)
     ends = np.cumsum(counts)
     heads = ends - counts
-    sorted_rising = _sort_directly(keys, np.nonzero(rising)[0], depth)
-    rising_counts = np.bincount(text[sorted_rising], minlength=256)
-    sa = np.full(n, -1, np.int64)
-    offsets = np.cumsum(rising_counts) - rising_counts
+    sorted_rising, equal = _sort_directly(keys, np.nonzero(rising)[0], depth, hashed)
     first = text[sorted_rising]
-    sa[(ends - rising_counts)[first] + np.arange(len(first)) - offsets[first]] = sorted_rising
+    rising_counts = np.bincount(first, minlength=256)
+    sa, same = np.full(n, -1, np.int64), np.zeros(n, bool)
+    offsets = np.cumsum(rising_counts) - rising_counts
+    place = (ends - rising_counts)[first] + np.arange(len(first)) - offsets[first]
+    sa[place], same[place] = sorted_rising, equal
     fill = heads.copy()
 
     def induce(found: np.ndarray) -> None:
@@ -130,59 +170,65 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
             induce(sa[at:to])
             at = to
         induce(sa[ends[c] - rising_counts[c] : ends[c]])
-    return sa
-
-
-def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """Length of the common prefix of each suffix with the one before it in the array, `cap` at most; 0 for the first."""
-    if len(sa) < 2:
-        return np.zeros(len(sa), np.int64)
-    keys = _word_keys(text, cap + 8)
-    out = np.zeros(len(sa), np.int64)
-    left = len(text) - np.maximum(sa[1:], sa[:-1])
-    pair = np.arange(1, len(sa))
-    for at in range(0, cap, 8):
-        if 2 * len(pair) > len(sa):  # one look at each suffix serves both its pairs
-            own = keys[sa + at]
-            x = own[pair] ^ own[pair - 1]
-        else:
-            x = keys[sa[pair] + at] ^ keys[sa[pair - 1] + at]
-        same = x == 0
-        ends, x = pair[~same], x[~same]
-        out[ends] = at
-        for bits in range(8, 64, 8):
-            out[ends] += x < np.uint64(1 << bits)
-        pair = pair[same]
-        out[pair] = at + 8
-        if not len(pair):
-            break
-    out[1:] = np.minimum(np.minimum(out[1:], left), cap)
-    return out
+    return sa, same
 
 
-# --- runs ----------------------------------------------------------------------------------------------------------
+def common_prefixes(text: np.ndarray, keys: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in the array, `cap` at most; 0 for the first.
+
+    Where a position and the one that its suffix follows in the array both step on by one, so do their prefixes: bytes
+    are compared once along such a stretch, and in full only where it ends.
+    """
+    n = len(sa)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    other = np.full(n, -1, np.int64)
+    other[sa[1:]] = sa[:-1]
+    equal = (other >= 0) & (text == text[other])
+    steps = np.append(other[1:] == other[:-1] + 1, False)
+    stop = np.nonzero(~(equal & steps))[0]
+    known = np.zeros(len(stop), np.int64)
+    look = np.nonzero(equal[stop])[0]
+    if len(look):
+        for at in range(0, cap, 8):
+            x = keys[stop[look] + at] ^ keys[other[stop[look]] + at]
+            known[look] = at
+            for bits in range(8, 64, 8):
+                known[look] += x < np.uint64(1 << bits)
+            look = look[x == 0]
+            known[look] = at + 8
+            if not len(look):
+                break
+        known = np.minimum(known, n - np.maximum(stop, other[stop]))
+    return np.minimum(np.repeat(known + stop, np.diff(stop, prepend=-1)) - np.arange(n), cap)[sa]
+
+
+def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of all suffixes in order of their first `depth` bytes or more, common prefixes up to `depth`).
+
+    Ties beyond `depth` come in any order. Suffixes that only a hash took for equal are found by their common prefixes;
+    then all are sorted by their bytes alone.
+    """
+    keys = _word_keys(text, depth + 16)
+    sa, same = _suffix_array(text, keys, depth, True)
+    lcp = common_prefixes(text, keys, sa, depth)
+    at = np.nonzero(same)[0]
+    if (lcp[at] < np.minimum(depth, len(text) - np.maximum(sa[at], sa[at - 1]))).any():
+        sa, _ = _suffix_array(text, keys, depth, False)
+        lcp = common_prefixes(text, keys, sa, depth)
+    return sa, lcp
 
 
-def _gram_hashes(text: np.ndarray) -> np.ndarray:
-    """Hash of the GRAM (a power of two) bytes from each position where they fit, by doubling."""
-    h = (text.astype(np.uint64) + np.uint64(1)) * _A
-    size = 1
-    while size < GRAM:
-        if len(h) <= size:
-            return np.zeros(0, np.uint64)
-        a, b = h[:-size], h[size:]
-        h = (a ^ (a >> np.uint64(29))) * _A + (b ^ (b >> np.uint64(32))) * _B
-        size *= 2
-    return h ^ (h >> np.uint64(31))
+# --- runs ----------------------------------------------------------------------------------------------------------
 
 
 def _runs(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(text number, start in it, windows, anchor hash, context hash) of each run of a block of texts."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    h = _gram_hashes(buffer)
+    """(text number, start in it, windows, anchor hash) of each run of a block of texts."""
+    fits = np.maximum(sizes - length + 1, 0)
+    if not fits.any():
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    h = _block_hashes(_word_keys(buffer, 0), GRAM)[: len(buffer) - GRAM + 1]
     n = len(buffer) - length + 1
-    if n <= 0:
-        return none
     shift = np.uint64(int(len(buffer)).bit_length())
     low = (h >> shift << shift) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the leftmost is smallest
     width, span = length - GRAM + 1, 1
@@ -191,31 +237,11 @@ def _runs(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
         span *= 2
     low = np.minimum(low[:n], low[width - span : width - span + n])
     anchor = (low & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
-    owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-    window = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
-    if not len(owner):
-        return none
-    place = starts[owner] + window
-    a = anchor[place]
+    owner = np.repeat(np.arange(len(sizes)), fits)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(fits) - fits, fits)
+    a = anchor[starts[owner] + window]
     first = np.nonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (owner[1:] != owner[:-1]))))[0]
-    count = np.diff(np.append(first, len(a)))
-    p, key = place[first], h[a[first]]
-    size = count + length - 1
-    context = size.astype(np.uint64) * _A + (a[first] - p).astype(np.uint64)
-    for at in range(0, 2 * length, GRAM):  # pieces that together cover the context
-        context = (context ^ (context >> np.uint64(30))) * _B + h[p + np.minimum(at, size - GRAM)]
-    return owner[first], window[first], count, key, context ^ (context >> np.uint64(32))
-
-
-def _fold(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(first of each (key, context), all but the firsts): row numbers. Equal places count as one place, a first."""
-    order = np.lexsort((rows["start"], rows["tie"], rows["doc"], rows["context"], rows["key"]))
-    same = np.zeros(len(order), bool)
-    key, context = rows["key"][order], rows["context"][order]
-    same[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
-    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
-    at_head = (rows["doc"][order] == rows["doc"][head]) & (rows["tie"][order] == rows["tie"][head]) & (rows["start"][order] == rows["start"][head])
-    return order[~same], order[same & ~at_head]
+    return owner[first], window[first], np.diff(np.append(first, len(a))), h[a[first]]
 
 
 def _joined(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -229,29 +255,36 @@ def _joined(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, count: np.ndarr
     return doc[head], tie[head], start[head], np.add.reduceat(count, head)
 
 
-_RUN = "key bigint, context bigint, doc bigint, tie bigint, start bigint, count bigint, kind int"
-_REPEAT, _OPEN, _CROWDED = 1, 0, 2
+_RUN = "part bigint, key bigint, n bigint, doc bigint, tie bigint, place bigint"
+_CONTEXT = "key bigint, doc bigint, tie bigint, start bigint, known bigint, context binary"
+_REPEAT = "doc bigint, tie bigint, start bigint, count bigint"
+
 
+def _mixed(doc: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Spreads rows that need no group over the tasks."""
+    return ((doc.view(np.uint64) * _A) ^ (tie.view(np.uint64) * _B)).view(np.int64)
 
-def _batch(kind: int, doc, tie, start, count, key=None, context=None) -> pa.RecordBatch:
-    zero = np.zeros(len(doc), np.int64)
-    key = (np.asarray(doc) * 31 + tie).astype(np.int64) if key is None else key.view(np.int64)
-    context = zero if context is None else context.view(np.int64)
-    columns = [key, context, doc, tie, start, count, np.full(len(doc), kind, np.int32)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "context", "doc", "tie", "start", "count", "kind"])
+
+def _batches(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    n = len(next(iter(columns.values())))
+    for at in range(0, n, BATCH):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + BATCH]) for c in columns.values()], names=list(columns))
 
 
 def _cut_runs(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
+    """Texts -> runs. n: of one run of each anchor, the number of its runs that were counted together; 0 of the others."""
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            rows = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
-            held.clear()
-            first, rest = _fold(rows)
-            yield _batch(_OPEN, *(rows[c][first] for c in ("doc", "tie", "start", "count", "key", "context")))
-            yield _batch(_REPEAT, *_joined(*(rows[c][rest] for c in ("doc", "tie", "start", "count"))))
+    def counted(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        doc, tie, place, key = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        first = np.nonzero(np.concatenate(([True], key[order[1:]] != key[order[:-1]])))[0]
+        n = np.zeros(len(key), np.int64)
+        n[order[first]] = np.diff(np.append(first, len(key)))
+        key = key.view(np.int64)
+        yield from _batches({"part": np.where(n > 0, key, _mixed(doc, tie)), "key": key, "n": n, "doc": doc, "tie": tie, "place": place})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         total = 0
         for table in blocks(batches, BLOCK, "text"):
             texts = utf8(table.column("text").combine_chunks())
@@ -264,126 +297,147 @@ def _cut_runs(length: int):
                     to += 1
                 sizes = np.array([len(t) for t in texts[at:to]])
                 buffer = np.frombuffer(b"".join(texts[at:to]), np.uint8)
-                owner, start, count, key, context = _runs(buffer, np.cumsum(sizes) - sizes, sizes, length)
+                owner, start, count, key = _runs(buffer, np.cumsum(sizes) - sizes, sizes, length)
                 if len(owner):
-                    held.append({"doc": doc[at:to][owner], "tie": tie[at:to][owner], "start": start, "count": count, "key": key, "context": context})
+                    held.append((doc[at:to][owner], tie[at:to][owner], start * PLACE + count, key))
                     total += len(owner)
                 at = to
-            if total >= FOLD:
-                yield from flush()
-                total = 0
+                if total >= COUNTED:
+                    yield from counted(held)
+                    held, total = [], 0
         if held:
-            yield from flush()
+            yield from counted(held)
 
     return run
 
 
-def _match_runs(hot: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        rows = {c: table.column(c).to_numpy() for c in ("key", "context", "doc", "tie", "start", "count", "kind")}
-        done = rows["kind"] == _REPEAT
-        yield _batch(_REPEAT, *(rows[c][done] for c in ("doc", "tie", "start", "count")))
-        rows = {c: x[~done] for c, x in rows.items()}
-        first, rest = _fold(rows)
-        yield _batch(_REPEAT, *_joined(*(rows[c][rest] for c in ("doc", "tie", "start", "count"))))
-        _, group, size = np.unique(rows["key"][first], return_inverse=True, return_counts=True)
-        for kind, chosen in ((_OPEN, (size > 1) & (size <= hot)), (_CROWDED, size > hot)):
-            own = first[chosen[group]]
-            yield _batch(kind, *(rows[c][own] for c in ("doc", "tie", "start", "count", "key")))
-
-    return run
+def _windows(text: bytes, place: tuple[int, int], start: int, count: int, length: int, seen: dict[bytes, tuple]) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """(key, start, known repeats, bytes): the windows of a run one by one; stretches of those seen earlier in the text order as one."""
+    known = 0
+    for p in range(start, start + count):
+        window = text[p : p + length]
+        before = seen.get(window)
+        if before is not None and before < (*place, p):
+            known += 1
+            continue
+        if known:
+            yield 0, p - known, known, None
+            known = 0
+        if before is not None or len(seen) < SEEN:
+            seen[window] = (*place, p)
+        yield xxhash.xxh3_64_intdigest(window), p, 0, window
+    if known:
+        yield 0, start + count - known, known, None
 
 
 def _cut_contexts(length: int):
-    """Texts with their open runs -> (key, doc, tie, start, bytes); crowded runs go window by window."""
+    """Texts with their runs that aren't alone -> contexts; runs of crowded anchors go window by window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, tuple] = {}
         for b in batches:
-            keys, docs, ties, starts, parts = [], [], [], [], []
-            for text, doc, tie, runs in zip(utf8(b.column(0)), *(b.column(c).to_pylist() for c in (1, 2, 3))):
-                for r in runs:
-                    s, n = r["start"], r["count"]
-                    if r["kind"] == _CROWDED:
-                        pieces = []
-                        for p in range(s, s + n):
-                            window = text[p : p + length]
-                            digest = hashlib.blake2b(window, digest_size=16).digest()
-                            if digest in seen and seen[digest] < (doc, tie, p):
-                                # an earlier place of this task stands for it; it only has to learn that it is a repeat
-                                pieces.append((p, -1, b""))
-                            else:
-                                if len(seen) < FOLD:
-                                    seen[digest] = (doc, tie, p)
-                                pieces.append((p, int.from_bytes(digest[:8], "little", signed=True), window))
-                    else:
-                        pieces = [(s, r["key"], text[s : s + n + length - 1])]
-                    for p, key, part in pieces:
-                        keys.append(key if part else doc * 31 + tie)
-                        docs.append(doc)
-                        ties.append(tie)
-                        starts.append(p)
-                        parts.append(part)
-            keys = np.array([k & 0xFFFFFFFFFFFFFFFF for k in keys], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(docs, pa.int64()), pa.array(ties, pa.int64()), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())],
-                names=["key", "doc", "tie", "start", "part"],
-            )
+            texts, doc, tie, runs = utf8(b.column(0)), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3)
+            owner = np.repeat(np.arange(b.num_rows), runs.value_lengths().to_numpy())
+            runs = runs.flatten()
+            key, place, crowded = (runs.field(c).to_numpy(zero_copy_only=False) for c in ("key", "place", "crowded"))
+            start, count = place // PLACE, place % PLACE
+            for at in range(0, len(owner), BATCH):
+                own = np.arange(at, min(at + BATCH, len(owner)))
+                own = own[~crowded[own]]
+                o, s = owner[own], start[own]
+                parts = [texts[i][x:y] for i, x, y in zip(o.tolist(), s.tolist(), (s + count[own] + length - 1).tolist())]
+                yield _contexts(key[own], doc[o], tie[o], s, np.zeros(len(own), np.int64), parts)
+            out: list[tuple] = []
+            for r in np.nonzero(crowded)[0].tolist():
+                i = int(owner[r])
+                out += [(i, *w) for w in _windows(texts[i], (int(doc[i]), int(tie[i])), int(start[r]), int(count[r]), length, seen)]
+                if len(out) >= BATCH or (out and r == len(owner) - 1):
+                    yield _sent(out, doc, tie)
+                    out = []
+            if out:
+                yield _sent(out, doc, tie)
 
     return run
 
 
+def _contexts(key, doc, tie, start, known, parts) -> pa.RecordBatch:
+    columns = [pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(tie, pa.int64()), pa.array(start, pa.int64()), pa.array(known, pa.int64()), pa.array(parts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "doc", "tie", "start", "known", "context"])
+
+
+def _sent(rows: list[tuple], doc: np.ndarray, tie: np.ndarray) -> pa.RecordBatch:
+    owner, key, start, known, parts = zip(*rows)
+    o, known = np.array(owner), np.array(known, np.int64)
+    key = np.where(known > 0, _mixed(doc[o], tie[o]), np.array(key, np.uint64).view(np.int64))
+    return _contexts(key, doc[o], tie[o], np.array(start, np.int64), known, list(parts))
+
+
 def repeats(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(part number, offset) of each window that also starts earlier in the parts, which are in document order."""
     buffer = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)  # no UTF-8 text has this byte
     sizes = np.array([len(p) + 1 for p in parts])
     base = np.cumsum(sizes) - sizes
-    sa = suffix_array(buffer, length)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    whole = (base + sizes - 1)[owner[sa]] - sa >= length
+    sa, lcp = suffix_array(buffer, length)
+    whole = np.repeat(base + sizes - 1, sizes)[sa] - sa >= length
     same = np.zeros(len(sa), bool)
-    same[1:] = (common_prefixes(buffer, sa, length)[1:] >= length) & whole[1:] & whole[:-1]
+    same[1:] = (lcp[1:] >= length) & whole[1:] & whole[:-1]
     if not same.any():
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    group = np.cumsum(~same)
-    lowest = np.full(group[-1] + 1, len(buffer), np.int64)
-    np.minimum.at(lowest, group, sa)
-    size = np.bincount(group)
-    later = sa[(size[group] > 1) & (lowest[group] != sa)]
-    return owner[later], later - base[owner[later]]
+    group = np.cumsum(~same) - 1
+    lowest = np.minimum.reduceat(sa, np.nonzero(~same)[0])
+    later = sa[lowest[group] != sa]
+    owner = np.searchsorted(base, later, "right") - 1
+    return owner, later - base[owner]
+
+
+def _repeats(doc, tie, start, count) -> pa.RecordBatch:
+    columns = _joined(doc, tie, start, count)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "tie", "start", "count"])
 
 
 def _sort_contexts(length: int):
+    """Contexts in order of their keys -> repeats. Holds CHUNK bytes, or one larger group."""
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, doc, tie, start, known = (table.column(c).to_numpy() for c in ("key", "doc", "tie", "start", "known"))
+        parts = [p or b"" for p in table.column("context").to_pylist()]
+        told = np.nonzero(known)[0]
+        if len(told):
+            yield _repeats(doc[told], tie[told], start[told], known[told])
+        own = np.nonzero(known == 0)[0]
+        own = own[np.lexsort((start[own], tie[own], doc[own]))].tolist()
+        if own:
+            copies: dict[bytes, int] = {}
+            laid, alike = [], []
+            for i in own:
+                n = copies[parts[i]] = copies.get(parts[i], 0) + 1
+                (laid if n <= 2 else alike).append(i)
+            part, offset = repeats([parts[i] for i in laid], length)
+            which = np.array(laid)[part]
+            yield _repeats(doc[which], tie[which], start[which] + offset, np.ones(len(which), np.int64))
+            # all windows of a second copy are repeats, so those of further ones, whose bytes were compared, are too
+            if alike:
+                yield _repeats(doc[alike], tie[alike], start[alike], np.array([len(parts[i]) - length + 1 for i in alike]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        key, doc, tie, start = (table.column(c).to_numpy() for c in ("key", "doc", "tie", "start"))
-        parts = table.column("part").to_pylist()
-        sizes = np.array([len(p) for p in parts])
-        known = np.nonzero(sizes == 0)[0]
-        yield _batch(_REPEAT, *_joined(doc[known], tie[known], start[known], np.ones(len(known), np.int64)))
-        order = np.argsort(key, kind="stable")
-        order = order[sizes[order] > 0]
-        at = 0
-        while at < len(order):  # whole groups, up to CHUNK bytes
-            to, size = at, 0
-            while to < len(order) and (size < CHUNK or key[order[to]] == key[order[to - 1]]):
-                size += sizes[order[to]]
-                to += 1
-            own = order[at:to]
-            own = own[np.lexsort((start[own], tie[own], doc[own]))]
-            again = (np.diff(doc[own]) == 0) & (np.diff(tie[own]) == 0) & (np.diff(start[own]) == 0)  # equal rows
-            own = own[np.concatenate(([True], ~again))]
-            part, offset = repeats([parts[i] for i in own], length)
-            which = own[part]
-            yield _batch(_REPEAT, *_joined(doc[which], tie[which], start[which] + offset, np.ones(len(which), np.int64)))
-            at = to
+        held: list[pa.RecordBatch] = []
+        size, enough = 0, CHUNK
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                held.append(b)
+                size += b.column(5).nbytes
+                if size < enough:
+                    continue
+                table = pa.Table.from_batches(held).combine_chunks()
+                key = table.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                if cut:
+                    yield from done(table.slice(0, cut))
+                    held, size = table.slice(cut).to_batches(), table.slice(cut).column("context").nbytes
+                enough = max(CHUNK, 2 * size)  # a large group is looked at again when it has doubled
+        if held:
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -428,31 +482,40 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     a cut broke.
 
     A byte goes if a string of `length` bytes that covers it also starts earlier: in a smaller id, or before it in the
-    same text. Ids are integers; a null id is before all others; texts with one id are ordered by their hashes, and
+    same text. Ids are integers (others are an error); a null id is before all others; texts with one id are ordered by their hashes, and
     all but one of several equal rows are removed whole (if of `length` bytes or more). Null texts are empty. Texts may
     be of any length, a text's runs and spans being bounded by it. An empty table gives an empty result; other columns
     are ignored.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be {2 * GRAM} at least")
+    if not 2 * GRAM <= length < PLACE:
+        raise ValueError(f"length must be {2 * GRAM} at least and below {PLACE}")
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{id_col} must be an integer, not {docs.schema[id_col].dataType.simpleString()}: ids give the texts' order")
     spark = session(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL))
     rest = [F.struct(*carry).alias("rest")] if carry else []
-    rows = docs.select(doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *rest)
-    rows = rows.select("doc", F.xxhash64("text").alias("tie"), "text", *(["rest"] if carry else []))
-    runs = rows.select("doc", "tie", "text").mapInArrow(_cut_runs(length), _RUN)
-    matched = materialise(runs.repartition(n, "key").mapInArrow(_match_runs(hot), _RUN), "runs")
-    open_ = matched.where(f"kind <> {_REPEAT}").groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "start", "count", "kind")).alias("runs"))
-    cut = rows.join(open_, ["doc", "tie"])  # the texts' exchange is the one that the last join reuses
-    cut = cut.select("text", "doc", "tie", "runs").mapInArrow(_cut_contexts(length), "key bigint, doc bigint, tie bigint, start bigint, part binary")
-    sorted_ = cut.repartition(n, "key").mapInArrow(_sort_contexts(length), _RUN)
-    spans = matched.where(f"kind = {_REPEAT}").unionByName(sorted_).select("doc", "tie", "start", "count")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = F.xxhash64(text)
+    tie = F.when(F.col(id_col).isNull(), hashed.bitwiseOR(F.lit(_NULL))).otherwise(hashed.bitwiseAND(F.lit(~_NULL)))
+    rows = docs.select(doc.alias("doc"), tie.alias("tie"), text.alias("text"), *rest)
+    twice = rows.groupBy("doc", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    rows = rows.withColumn("again", F.row_number().over(W.partitionBy("doc", "tie").orderBy("doc")) > 1 if twice else F.lit(False))
+    once = rows.where("not again").select("doc", "tie", "text")
+
+    runs = once.mapInArrow(_cut_runs(length), _RUN).withColumn("total", F.sum("n").over(W.partitionBy("part")))
+    runs = materialise(runs.where("n = 0 or total > 1").select("key", "doc", "tie", "place", F.when(F.col("n") > 0, F.col("total")).alias("total")), "runs")
+    crowded = runs.where(F.col("total") > hot).select("key").distinct().withColumn("crowded", F.lit(True))
+    many = crowded.count()
+    if many:
+        runs = runs.join(F.broadcast(crowded) if many <= BROADCAST_ROWS else crowded, "key", "left")
+    runs = runs.select("doc", "tie", F.struct("key", "place", (F.coalesce("crowded", F.lit(False)) if many else F.lit(False)).alias("crowded")).alias("run"))
+    runs = runs.groupBy("doc", "tie").agg(F.collect_list("run").alias("runs"))
+    contexts = once.join(runs, ["doc", "tie"]).select("text", "doc", "tie", "runs").mapInArrow(_cut_contexts(length), _CONTEXT)
+    spans = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sort_contexts(length), _REPEAT)
     spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count")).alias("found"))
-    again = rows.groupBy("doc", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    number = F.row_number().over(W.partitionBy("doc", "tie").orderBy("doc")) > 1 if again else F.lit(False)
-    out = rows.join(spans, ["doc", "tie"], "left").withColumn("again", number)
-    out = out.select(F.when(F.col("doc") != _NULL, F.col("doc")).alias("doc_id"), "text", "found", "again", *(["rest"] if carry else []))
+    out = rows.join(spans, ["doc", "tie"], "left")
+    out = out.select(F.when(F.col("tie") >= 0, F.col("doc")).alias("doc_id"), "text", "found", "again", *(["rest"] if carry else []))
     if carry:
         kind = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), out.schema["rest"]])
         return out.mapInArrow(_apply(length, True), kind).select("doc_id", "text", "rest.*")

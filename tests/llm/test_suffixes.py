@@ -64,15 +64,62 @@ def test_equal_rows_and_empty_table(spark):
     assert result(df.limit(0)) == []
 
 
-def test_suffix_array_sorts_all_suffixes():
+@pytest.mark.parametrize("hashed", [True, False])
+def test_suffix_array_sorts_all_suffixes(monkeypatch, hashed):
     r = random.Random(3)
+    if not hashed:  # every hash is equal: all suffixes look alike until their bytes are compared
+        monkeypatch.setattr(suffixes, "_block_hashes", lambda keys, size: np.zeros(len(keys), np.uint64))
     for n, letters in ((1, b"a"), (50, b"ab"), (400, b"abc"), (300, b"a"), (2000, bytes(range(97, 123)))):
         raw = bytes(r.choice(letters) for _ in range(n))
+        if n == 2000:
+            raw = raw[:900] + raw[100:800] + raw[900:]
         text = np.frombuffer(raw, np.uint8)
-        sa = suffixes.suffix_array(text, n + 8)
-        assert sa.tolist() == sorted(range(n), key=lambda i: raw[i:])
-        lcp = suffixes.common_prefixes(text, sa, n)
-        for k in range(1, n):
+        sa, lcp = suffixes.suffix_array(text, len(raw) + 8)
+        assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        for k in range(1, len(raw)):
             a, b = raw[sa[k - 1] :], raw[sa[k] :]
             want = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
             assert lcp[k] == want
+        for depth in (8, 12, 100):  # to a depth only
+            sa, lcp = suffixes.suffix_array(text, depth)
+            assert sorted(sa.tolist()) == list(range(len(raw)))
+            assert all(raw[a:][:depth] <= raw[b:][:depth] for a, b in zip(sa, sa[1:]))
+            assert lcp[1:].tolist() == [next((i for i in range(depth) if raw[a + i : a + i + 1] != raw[b + i : b + i + 1] or a + i >= len(raw)), depth) for a, b in zip(sa, sa[1:])]
+
+
+def test_ids(spark):
+    text = " ".join(str(i) for i in range(200))
+    low = -(1 << 63)
+    df = spark.createDataFrame([(low, text), (None, text), (3, text + "x")], "doc_id bigint, text string")
+    n = len(text)
+    assert [(r[0], r[2]) for r in result(df)] == [(None, 0), (low, n), (3, n)]
+    assert [r[0] for r in result(df.select(F.expr("try_cast(doc_id as int)").alias("doc_id"), "text"))] == [None, None, 3]
+    with pytest.raises(TypeError, match="integer"):
+        suffixes.deduplicate(df.select(F.col("doc_id").cast("string"), "text"))
+
+
+def test_only_equal_bytes_are_removed(spark, monkeypatch):
+    """With hashes that say nothing, groups mix all texts, and the suffix arrays still tell what repeats."""
+    monkeypatch.setattr(suffixes, "BLOCK", 400)
+    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    rows = corpus(5, 25)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = [(i, *b) for (i, _), b in zip(ordered, brute(ordered))]
+    whole = suffixes._cut_runs
+
+    def one_key(length):  # every run has the same anchor
+        made = whole(length)
+
+        def run(batches):
+            for b in made(batches):
+                key = np.zeros(b.num_rows, np.int64)
+                n = np.zeros(b.num_rows, np.int64)
+                n[0] = b.num_rows
+                yield b.set_column(0, "part", suffixes.pa.array(key)).set_column(1, "key", suffixes.pa.array(key)).set_column(2, "n", suffixes.pa.array(n))
+
+        return run
+
+    monkeypatch.setattr(suffixes, "_cut_runs", one_key)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert result(df) == want
+    assert result(df, hot=1) == want
