@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from loomtrace.llm.common import materialise, session, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The added tokens of a vocabulary. Their strings are cut out of a text before anything else is.
+ADDED = {VOCABULARY: {"<|endoftext|>": 50256}}
 #: Up to so many queues take turns directly; more do in groups of FAN.
 FLAT = 128
 FAN = 32
@@ -53,8 +55,28 @@ def encoder(vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _added(vocabulary: str) -> re.Pattern | None:
+    tokens = ADDED.get(vocabulary)
+    return re.compile("|".join(map(re.escape, sorted(tokens, key=len, reverse=True)))) if tokens else None
+
+
 def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
-    """The ids of any text. Long white-space runs, on which the library's pattern overflows, are cut out at pre-token borders.
+    """The ids of any text, without special tokens before or after it.
+
+    Strings of the vocabulary's added tokens have those tokens' ids; what stands between them is encoded by itself.
+    """
+    added = _added(vocabulary)
+    ids, at = [], 0
+    for found in added.finditer(text) if added else ():
+        ids += _plain(text[at : found.start()], vocabulary)
+        ids.append(ADDED[vocabulary][found[0]])
+        at = found.end()
+    return ids + _plain(text[at:], vocabulary) if ids or at else _plain(text, vocabulary)
+
+
+def _plain(text: str, vocabulary: str) -> list[int]:
+    """The ids of a text without added tokens. Long white-space runs, on which the library's pattern overflows, are cut out at pre-token borders.
 
     Such a run is one pre-token, but for its last character if text follows, which belongs to what follows.
     """

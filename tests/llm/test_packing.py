@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from loomtrace.llm.common import tokenizer_path
-from loomtrace.llm.packing import LONG_SPACE, Schedule, encode, encoder, pack
+from loomtrace.llm.packing import LONG_SPACE, Schedule, encode, pack
 
 TEXTS = ["Hello world", "", "  a\n\n b\t", "naïve café ñandú 你好 🙂", "it's we'll I'd", "x" * 3000, "<|endoftext|> 12345  67", "éß" * 700, "  tail "]
 
@@ -14,14 +14,16 @@ def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_ids_are_those_of_the_tokenizers_library():
     r = random.Random(1)
     texts = TEXTS + ["".join(r.choice("abc éñ\n\t.,'0189ßÄ　🙂") for _ in range(r.randint(0, 300))) for _ in range(300)]
-    assert [encoder().encode_ordinary(t) for t in texts] == reference_ids(texts)
+    mark = "<|endoftext|>"
+    texts += [mark, "see <|endoftext|> here", mark * 3, f"a\n{mark} \nb", f" {mark}  {mark}x", "<|endoftext|", "<<|endoftext|>>", f"it{mark}'s", "<|startoftext|>"]
+    texts += ["".join(r.choice([" ", "a", "\n", mark, "é", "'s", "<", "|>", "12"]) for _ in range(r.randint(0, 40))) for _ in range(300)]
+    assert [encode(t) for t in texts] == reference_ids(texts)
 
 
 def check(rows, got, window=1024):
@@ -154,9 +156,50 @@ def test_packs_over_128_sources_once(spark):
 
 def test_white_space_of_over_a_million_characters(spark):
     n = 1_000_100
-    texts = ["a" + " " * n + "b", " " * n, "\n" * n + "x", "it's" + " \n\u3000\xa0" * (n // 4) + ".\x1c" + " " * LONG_SPACE + "\x1d" + "\t" * LONG_SPACE]
+    texts = ["a" + " " * n + "b", " " * n + "<|endoftext|>" + " " * n + "a", "\n" * n + "x", "it's" + " \n\u3000\xa0" * (n // 4) + ".\x1c" + " " * LONG_SPACE + "\x1d" + "\t" * LONG_SPACE]
     for m in (LONG_SPACE - 1, LONG_SPACE, LONG_SPACE + 1):
         texts += ["é" + " " * m + "1" + "\t" * m + "'s", " " * m + "\x85", "b\n" + " " * m + "\nb"]
     assert [encode(t) for t in texts] == reference_ids(texts)
     got = pack(spark.createDataFrame([(1, texts[0], "a"), (2, "b", "a")], "doc_id bigint, text string, source string")).collect()
     check([(1, texts[0], "a"), (2, "b", "a")], got)
+
+
+def plain_round_robin(totals, grain=128, slots=8):
+    """Windows by deficit round-robin, one after the other: how many grains each queue has had after each window."""
+    left = {q: t // grain for q, t in totals.items()}
+    n = sum(left.values()) // slots
+    whole = sum(left.values())
+    deficit, had, out = dict.fromkeys(left, 0.0), dict.fromkeys(left, 0), []
+    for _ in range(n):
+        room = slots
+        for q in left:
+            deficit[q] += slots * (totals[q] // grain) / whole
+        for q in sorted(left, key=lambda q: -deficit[q]):
+            take = min(room, left[q], max(0, int(deficit[q] + 1e-9)))
+            left[q], room, deficit[q], had[q] = left[q] - take, room - take, deficit[q] - take, had[q] + take
+        while room:
+            q = max((q for q in left if left[q]), key=lambda q: deficit[q])
+            left[q], room, deficit[q], had[q] = left[q] - 1, room - 1, deficit[q] - 1, had[q] + 1
+        out.append(dict(had))
+    return out
+
+
+@pytest.mark.parametrize("totals", [{"a": 900_000, "b": 70_000, "c": 40_000}, {str(i): 9000 + 5970 * i for i in range(20)}, {"a": 128 * 8 * 50, "b": 128 * 8 * 50}])
+def test_mixture_is_that_of_a_plain_round_robin(totals):
+    s, want = Schedule(totals), plain_round_robin(totals)
+    first, windows, shares, _ = s.phases[0]
+    assert windows == len(want) and not first
+    held = np.zeros((windows, len(s.queues)), np.int64)
+    for q, t in totals.items():
+        for _, size, sequence, _ in s.pieces(q, 0, t):
+            if sequence < windows:
+                held[sequence, s.index[q]] += size
+    held = np.cumsum(held, 0) // 128
+    for w, had in enumerate(want):
+        assert all(abs(held[w, s.index[q]] - x) <= 2 for q, x in had.items() if s.index[q] != int(np.argmax(shares)))
+
+
+def test_clashing_columns(spark):
+    data = [(i, t, "a") for i, t in enumerate(TEXTS)]
+    df = spark.createDataFrame([(*d, 1, "x", b"y") for d in data], "doc_id bigint, text string, source string, pid int, queue string, ids binary")
+    check(data, pack(df).collect())
