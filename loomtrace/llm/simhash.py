@@ -105,10 +105,7 @@ def _bucket_links(fp: np.ndarray, first: int, distance: int) -> np.ndarray:
         return labels_by_link(n, left[ok], right[ok])
     second = _segment(fp, first + 1).astype(np.int64)
     width = SEGMENTS[(first + 1) % len(SEGMENTS)][1]
-    slack = 2 * distance // len(SEGMENTS)
-    if slack > 2:
-        raise ValueError("distance may be 7 at most")
-    masks = [0, *(1 << k for k in range(width) if slack), *(1 << k | 1 << j for k in range(width) for j in range(k) if slack > 1)]
+    masks = [0, *(1 << k for k in range(width) if 2 * distance // len(SEGMENTS))]
     for mask in masks:
         at = 0
         while at < n:  # blocks of about PAIR_BLOCK candidates
@@ -135,8 +132,11 @@ def _bucket_links(fp: np.ndarray, first: int, distance: int) -> np.ndarray:
 def links(reps: DataFrame, distance: int = 4) -> DataFrame:
     """(a, b): edges that connect just what links of `distance` bits connect; reps: distinct (rid, fp).
 
-    Each bucket sends a spanning forest, never its pairs.
+    Each bucket sends a spanning forest, never its pairs. A distance above 4 is an error: only for 0 to 4 does some
+    chain start with an equal segment, which is the key of a bucket.
     """
+    if not 0 <= distance < len(SEGMENTS):
+        raise ValueError(f"distance must be 0 to {len(SEGMENTS) - 1}")
     spark = reps.sparkSession
     keyed = reps.select(
         "rid", "fp",

@@ -124,3 +124,25 @@ def test_dense_bucket_needs_few_candidates(monkeypatch):
     monkeypatch.setattr(simhash, "_chained", lambda x, *a: (listed.append(len(x)), chained(x, *a))[1])
     assert (simhash._bucket_links(fp, 0, 4) == 0).all()
     assert len(fp) > 15_000 and sum(listed) < len(fp) ** 2 / 10
+
+
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+def test_smaller_distances(spark, distance):
+    r = np.random.default_rng(distance)
+    prints = r.integers(0, 1 << 63, 40, dtype=np.uint64)
+    for _ in range(3):  # neighbours of neighbours, up to 5 bits away each
+        near = r.choice(prints, 60)
+        for i in range(len(near)):
+            for bit in r.choice(64, r.integers(0, 6), replace=False):
+                near[i] ^= np.uint64(1) << np.uint64(bit)
+        prints = np.unique(np.concatenate((prints, near)))
+    own = {int(x) - (1 << 64) if x >> np.uint64(63) else int(x): int(x) for x in prints}
+    reps = spark.createDataFrame([(i, i) for i in own], "rid bigint, fp bigint")
+    got = {c["node"]: c["component"] for c in connected_components(simhash.links(reps, distance)).collect()}
+    assert {i: got.get(i, i) for i in own} == components(own, distance)
+
+
+@pytest.mark.parametrize("distance", [-1, 5, 8])
+def test_distances_that_chains_do_not_cover_are_refused(spark, distance):
+    with pytest.raises(ValueError, match="0 to 4"):
+        simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), distance=distance)
