@@ -105,10 +105,15 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, bet
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, size: int) -> DataFrame:
-    """(doc_id, text, y, h): at most `size` rows that have a 0/1 label and satisfy `keep`, a condition on doc_id."""
+    """(doc_id, text, y, h): at most `size` rows that have a 0/1 label and satisfy `keep`, a condition on doc_id.
+
+    An id has one row, that of the smallest text hash (null text last), however often it comes.
+    """
     y = labels.select("doc_id", F.col(label).alias("y")).where("doc_id is not null and y in (0, 1)").where(keep)
     y = y.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(size)
-    return text_rows(docs).join(F.broadcast(y), "doc_id")  # `size` rows of numbers at most
+    rows = text_rows(docs).join(F.broadcast(y), "doc_id")  # `size` rows of numbers at most
+    first = F.min_by(F.struct("text"), F.struct(F.col("text").isNull(), F.xxhash64("text")))
+    return rows.groupBy("doc_id").agg(first["text"].alias("text"), F.first("y").alias("y"), F.first("h").alias("h"))
 
 
 def train(sample: DataFrame) -> Model:

@@ -106,3 +106,70 @@ def test_boosting_fits_a_simple_rule():
     y = ((x[:, 1] > 0) ^ (x[:, 3] > 0.5)).astype(float)
     assert ((boost(x, y).predict(x) > 0.5) == y).mean() > 0.97
     assert (boost(x, np.ones(500)).predict(x) > 0.99).all()
+
+
+def test_the_training_bound_holds_for_repeated_ids(spark):
+    docs = [(1, f"text {i}") for i in range(300)] + [(1, None), (2, None), (3, "x"), (3, "x")] + [(i, f"w{i}") for i in range(10, 60)]
+    labels = [(1, 1), (2, 0), (3, 1)] + [(i, 0) for i in range(10, 60)]
+    d, y = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    for size in (10, 100):
+        got = toxicity.labelled_sample(d, y, "toxic", F.lit(True), size).collect()
+        assert len(got) == len({r["doc_id"] for r in got}) == min(size, 53)
+    text = {r["doc_id"]: r["text"] for r in got}
+    assert text[1].startswith("text ") and text[2] is None and text[3] == "x"
+    again = {r["doc_id"]: r["text"] for r in toxicity.labelled_sample(d.repartition(7), y, "toxic", F.lit(True), 100).collect()}
+    assert again == text
+
+
+def test_ftrl_same_as_plain_one():
+    """One coordinate after the other, in dictionaries."""
+    docs, truth, _ = made(120, seed=6)
+    texts, y = [t.encode() for _, t in docs], [float(truth[i]) for i, _ in docs]
+    rows = toxicity.feature_rows(texts)
+    words = texts[0].lower().split()
+    grams = {(w,) for w in words} | {(a, g, b) for g in toxicity.GAPS for a, b in zip(words, words[g:])}
+    assert len(rows[0]) == len(set(rows[0].tolist())) and len(grams) - 2 <= len(rows[0]) <= len(grams)
+    alpha, beta, l1, l2 = 1.0, 1.0, 6.0, 0.1
+    z, n, share = {}, {}, sum(y) / len(y)
+    bias, bias_n = np.log(share / (1 - share)), 0.0
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= l1 else (np.sign(zi) * l1 - zi) / ((beta + n[i] ** 0.5) / alpha + l2)
+
+    for _ in range(toxicity.EPOCHS):
+        for x, t in zip(rows, y):
+            w = {i: weight(i) for i in x.tolist()}
+            g = 1 / (1 + np.exp(-(sum(w.values()) + bias))) - t
+            for i, wi in w.items():
+                ni = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((ni + g * g) ** 0.5 - ni**0.5) / alpha * wi
+                n[i] = ni + g * g
+            bias_n += g * g
+            bias -= alpha * g / (beta + bias_n**0.5)
+    want = {i: weight(i) for i in z if weight(i)}
+    model = toxicity.fit(texts, np.array(y))
+    assert model.index.tolist() == sorted(want) and want
+    assert np.allclose(model.weight, [want[i] for i in sorted(want)]) and np.isclose(model.bias, bias)
+    scores = toxicity.score_texts(texts, model.dense(), model.bias)
+    assert np.allclose(scores, [1 / (1 + np.exp(-(bias + sum(want.get(i, 0.0) for i in x.tolist())))) for x in rows], atol=1e-6)
+
+
+def test_statistics_same_as_plain_ones():
+    r = random.Random(3)
+    for _ in range(60):
+        text = "".join(r.choice("abC9 \n\t#!.,é\x01") for _ in range(r.randint(1, 300)))
+        raw = text.encode()
+        got = dict(zip(quality.STATISTICS, quality.statistics(raw)))
+        words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+        n, k = len(raw), len(words) or 1
+        runs = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        want = {
+            "log_bytes": np.log1p(n), "upper": sum(65 <= b <= 90 for b in raw) / n, "digits": sum(48 <= b <= 57 for b in raw) / n, "spaces": sum(b in b" \t" for b in raw) / n,
+            "newlines": raw.count(b"\n") / n, "symbols": raw.count(b"#") / n, "shouts": raw.count(b"!") / n, "stops": sum(b in b".," for b in raw) / n,
+            "non_ascii": sum(b > 127 for b in raw) / n, "controls": raw.count(b"\x01") / n, "log_words": np.log1p(len(words)), "word_bytes": sum(map(len, words)) / k,
+            "distinct_words": len(set(words)) / k, "top_word": max((words.count(w) for w in words), default=0) / k, "short_words": sum(len(w) <= 3 for w in words) / k,
+            "long_words": sum(len(w) >= 15 for w in words) / k, "marked_words": sum(w[-1] in b"#!" for w in words) / k,
+            "repeated_lines": 1 - len(set(lines)) / (len(lines) or 1), "line_bytes": n / (len(lines) or 1), "repeated_runs": 1 - len(set(runs)) / len(runs) if runs else 0.0,
+        }
+        assert all(np.isclose(got[s], want[s]) for s in quality.STATISTICS), got
