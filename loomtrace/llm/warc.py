@@ -36,6 +36,8 @@ FIELDS = {
 #: A task starts another archive when one has so many bytes.
 ARCHIVE_BYTES = 64 << 20
 HEAD = 1024
+#: Bytes that are read, and inflated, at a time.
+PIECE = 1 << 18
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Above so many groups of equal payloads they are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -73,81 +75,116 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 class _Member:
-    """A gzip member that is inflated as far as is asked."""
+    """A gzip member that is inflated as far as is asked; `data` is what has been inflated and not been dropped."""
 
     def __init__(self, file, at: int, size: int):
         self.file, self.at, self.end = file, at, size
         start = file.read_at(min(HEAD, size - at), at)
         if start[:3] != b"\x1f\x8b\x08":
             raise ValueError(f"no gzip member at byte {at}")
-        flags, skip, self.length = start[3], 10, None
+        flags, skip, self.length, self.full = start[3], 10, None, None
         if flags & 4:
             extra = struct.unpack_from("<H", start, 10)[0]
+            while len(start) < min(12 + extra + HEAD, size - at):
+                start += file.read_at(min(12 + extra + HEAD, size - at) - len(start), at + len(start))
             if extra >= 12 and start[12:14] == b"sl":
-                self.length = struct.unpack_from("<I", start, 16)[0]
+                self.length, self.full = struct.unpack_from("<II", start, 16)
             skip += 2 + extra
         for bit in (8, 16):
             if flags & bit:
                 skip = start.index(b"\0", skip) + 1
         skip += 2 if flags & 2 else 0
-        self.inflate, self.data, self.next = zlib.decompressobj(-15), b"", at + len(start)
+        self.inflate, self.data, self.next, self.gone = zlib.decompressobj(-15), bytearray(), at + len(start), 0
         self._feed(start[skip:])
 
     def _feed(self, raw: bytes) -> None:
-        self.data += self.inflate.decompress(raw)
-
-    def until(self, enough) -> None:
-        """Inflate until enough(data), or to the end."""
-        while not enough(self.data) and not self.inflate.eof and self.next < self.end:
-            size = min(1 << 18, self.end - self.next, (self.at + self.length - self.next) if self.length else 1 << 18)
+        self.data += self.inflate.decompress(raw, PIECE)
+
+    def _more(self) -> bool:
+        """Inflate a further piece; False at the member's end."""
+        if self.inflate.eof:
+            return False
+        raw = self.inflate.unconsumed_tail
+        if not raw:
+            size = min(PIECE, self.end - self.next, (self.at + self.length - self.next) if self.length else PIECE)
             if size <= 0:
-                break
+                return False
             raw = self.file.read_at(size, self.next)
             self.next += len(raw)
-            self._feed(raw)
+        self._feed(raw)
+        return True
+
+    def until(self, enough) -> None:
+        """Inflate until enough(data), or to the end."""
+        while not enough(self.data) and self._more():
+            pass
+
+    def follows(self, used: int) -> bool:
+        """Whether something comes after the next `used` bytes; they are dropped then. Skip lengths tell without inflating."""
+        if self.full is not None and self.gone + used >= self.full:
+            return False
+        while len(self.data) <= used:
+            used -= len(self.data)
+            self.gone += len(self.data)
+            self.data.clear()
+            if not self._more():
+                return False
+        del self.data[:used]
+        self.gone += used
+        return True
 
     def after(self) -> int:
         """Where the next member starts, by skip length if there is one."""
         if self.length:
             return self.at + self.length
-        self.until(lambda _: False)
+        while self._more():
+            self.data.clear()
         return self.next - len(self.inflate.unused_data) + 8
 
 
 class _Plain:
-    """A record of an archive without compression; only what is asked is read."""
-
-    length = None
+    """An archive without compression, as one member; only what is asked is read."""
 
     def __init__(self, file, at: int, size: int):
-        self.file, self.at, self.end, self.data = file, at, size, b""
+        self.file, self.at, self.end, self.data = file, at, size, bytearray()
 
     def until(self, enough) -> None:
         while not enough(self.data) and self.at + len(self.data) < self.end:
             self.data += self.file.read_at(max(HEAD, len(self.data)), self.at + len(self.data))
 
+    def follows(self, used: int) -> bool:
+        self.at += used
+        del self.data[:used]
+        return self.at < self.end
+
+    def after(self) -> int:
+        return self.end
+
 
 def read_archive(file, size: int, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(header fields, payload or None) of the records whose fields satisfy `wanted`."""
+    """(header fields, payload or None) of the records whose fields satisfy `wanted`. A gzip member may hold any number of records."""
     at = 0
-    gz = file.read_at(2, 0) == b"\x1f\x8b" if size else False
+    kind = _Member if size and file.read_at(2, 0) == b"\x1f\x8b" else _Plain
     while at < size:
-        record = _Member(file, at, size) if gz else _Plain(file, at, size)
-        record.until(lambda d: b"\r\n\r\n" in d)
-        cut = record.data.find(b"\r\n\r\n")
-        if cut < 0:
-            if record.data.strip():
-                raise ValueError(f"record without end of headers at byte {at}")
-            return
-        fields, body = parse_head(record.data[:cut]), cut + 4
-        length = int(fields.get("content-length", 0))
-        if wanted(fields):
-            payload = None
-            if with_payload:
-                record.until(lambda d: len(d) >= body + length)
-                payload = record.data[body : body + length]
-            yield fields, payload
-        at = record.after() if gz else at + body + length + 4
+        member = kind(file, at, size)
+        more = True
+        while more:
+            member.until(lambda d: b"\r\n\r\n" in d)
+            cut = member.data.find(b"\r\n\r\n")
+            if cut < 0:
+                if member.data.strip():
+                    raise ValueError(f"record without end of headers in the member at byte {at}")
+                break
+            fields, body = parse_head(bytes(member.data[:cut]).lstrip(b"\r\n")), cut + 4
+            length = int(fields.get("content-length", 0))
+            if wanted(fields):
+                payload = None
+                if with_payload:
+                    member.until(lambda d: len(d) >= body + length)
+                    payload = bytes(member.data[body : body + length])
+                yield fields, payload
+            more = member.follows(body + length + 4)
+        at = member.after()
 
 
 @dataclass

@@ -73,13 +73,21 @@ def test_uncommitted_files_are_not_read(spark, folder):
     assert warc.read(spark, f"file://{folder}").count() == len(PAGES)
 
 
-@pytest.mark.parametrize("form", ["plain", "gz", "one member"])
+def record(kind, body):
+    return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://x\r\n  /more\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("form", ["plain", "gz", "one member", "two members", "long extra field"])
 def test_archives_of_others(spark, tmp_path, form):
-    record = lambda kind, body: b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://x\r\n  /more\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
-    parts = [record(b"warcinfo", b"a: b\r\n\r\n"), record(b"response", b"y" * 5000), record(b"request", b"")]
+    parts = [record(b"warcinfo", b"a: b\r\n\r\n"), record(b"response", b"y" * 2_000_000), record(b"request", b""), record(b"response", bytes(range(256)) * 9), record(b"metadata", b"\r\n\r\n")]
     if form == "plain":
         (tmp_path / "a.warc").write_bytes(b"".join(parts))
     else:
-        (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
-    rows = warc.read(spark, f"file://{tmp_path}").orderBy("record_type").collect()
-    assert [(r["record_type"], len(r["payload"]), r["target_uri"]) for r in rows] == [("request", 0, "http://x /more"), ("response", 5000, "http://x /more"), ("warcinfo", 8, "http://x /more")]
+        made = {"gz": [*map(gzip.compress, parts)], "one member": [gzip.compress(b"".join(parts))], "two members": [gzip.compress(b"".join(parts[:2])), gzip.compress(b"".join(parts[2:]))]}
+        field = [x[:3] + b"\x04" + x[4:10] + b"\xd0\x07" + b"zz\xcc\x07" + b"\0" * 1996 + x[10:] for x in made["gz"]]
+        (tmp_path / "a.warc.gz").write_bytes(b"".join(made.get(form, field)))
+    rows = warc.read(spark, f"file://{tmp_path}").orderBy("record_type", "payload").collect()
+    assert [(r["record_type"], len(r["payload"]), r["target_uri"]) for r in rows] == [(t, n, "http://x /more") for t, n in (("metadata", 4), ("request", 0), ("response", 2304), ("response", 2_000_000), ("warcinfo", 8))]
+    assert rows[2]["payload"] == bytes(range(256)) * 9
+    slim = warc.read(spark, f"file://{tmp_path}", "record_type string, target_uri string").where("record_type in ('response', 'metadata')")
+    assert sorted(r["record_type"] for r in slim.collect()) == ["metadata", "response", "response"]
