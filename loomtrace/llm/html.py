@@ -15,6 +15,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,6 +40,9 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 UNSEEN = frozenset("head script style template noscript svg annotation annotation-xml mphantom iframe textarea title object embed canvas audio video select option button datalist input noframes noembed xmp meta link base".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSES_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}, "body": {"head"}}
+#: Unseen elements that don't end a block, and those that may end themselves.
+FLOATING = frozenset("select option button object svg annotation annotation-xml mphantom".split())
+FOREIGN = frozenset("svg annotation annotation-xml mphantom".split())
 SCOPES = frozenset("table ul ol dl div section article main aside nav body form".split())
 GROUPS = {
     "main": {"article", "main"}, "nav": {"nav", "menu", "dir"}, "edge": {"footer", "header", "hgroup"}, "aside": {"aside", "dialog"}, "form": {"form", "fieldset", "legend"},
@@ -48,7 +52,7 @@ GOOD = frozenset("article content entry main post story text body page blog news
 BAD = frozenset("ad ads advert advertisement adsbygoogle banner breadcrumb breadcrumbs byline comment comments commentlist cookie cookies consent copyright disqus dropdown footer form gdpr header hidden legal links login menu modal nav navbar navigation newsletter notice notification pagination pager popup promo promoted promotion related reply replies search share sharing shoutbox sidebar signup site social sponsor sponsored subscribe tags toolbar tooltip widget".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^>]*\Z", re.S
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+(?:>|\Z)|</?[A-Za-z][^>]*+\Z", re.S
 )
 _ATTRIBUTE = re.compile(r"(class|id|role|data-main)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
@@ -83,100 +87,131 @@ def _attributes(source: str) -> tuple[int, int, bool, bool]:
     return good, bad, main, marked
 
 
-def parse(source: str) -> list[Node]:
-    """The page's block elements and text blocks in document order; node 0 is the page. Unseen elements are left out."""
-    nodes = [Node("#page", -1, 0)]
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; inline ones share their block's node
-    pieces: list[str] = []
-    links = [0, 0]  # characters inside links in this block; open links
-    marked = [0]
-
-    def end_block() -> None:
-        if pieces:
-            text = " ".join(entities.unescape("".join(pieces)).split())
-            pieces.clear()
+class _Parser:
+    """One pass over a page. Counts of open elements tell whether a tag ends any before the stack is searched, so what a
+    search looks at is closed by it, and a page takes time in proportion to its length."""
+
+    def __init__(self):
+        self.nodes = [Node("#page", -1, 0)]
+        self.stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; inline ones share their block's node
+        self.open: Counter = Counter()
+        #: Open elements by tag: inline ones since each open block, and all since each open element of SCOPES.
+        self.inline: list[Counter] = [Counter()]
+        self.scopes: list[Counter] = [Counter()]
+        self.pieces: list[str] = []
+        self.linked, self.links, self.marked = 0, 0, 0  # characters inside links in this block; open links, marked elements
+
+    def end_block(self) -> None:
+        if self.pieces:
+            text = " ".join("".join(self.pieces).split())
+            self.pieces.clear()
             if text:
-                at = stack[-1][1]
-                nodes[at].children.append(len(nodes))
-                nodes.append(Node("#text", at, nodes[at].depth + 1, text=text, link=min(links[0], len(text)), marked=marked[0] > 0))
-        links[0] = 0
-
-    def pop_to(i: int) -> None:
-        if any(t not in INLINE for t, _ in stack[i:]):
-            end_block()
-        for t, n in stack[i:]:
-            links[1] -= t == "a"
-            marked[0] -= nodes[n].marked and t not in INLINE
-        del stack[i:]
-
-    def add(text: str) -> None:
-        pieces.append(text)
-        if links[1] > 0:
-            links[0] += len(text.strip())
+                at = self.stack[-1][1]
+                self.nodes[at].children.append(len(self.nodes))
+                self.nodes.append(Node("#text", at, self.nodes[at].depth + 1, text=text, link=min(self.linked, len(text)), marked=self.marked > 0))
+        self.linked = 0
+
+    def push(self, tag: str, node: int) -> None:
+        self.stack.append((tag, node))
+        self.open[tag] += 1
+        self.scopes[-1][tag] += 1
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.inline.append(Counter())
+        if tag in SCOPES:
+            self.scopes.append(Counter())
+
+    def pop_to(self, i: int) -> None:
+        if any(t not in INLINE for t, _ in self.stack[i:]):
+            self.end_block()
+        while len(self.stack) > i:
+            tag, node = self.stack.pop()
+            self.open[tag] -= 1
+            if tag in SCOPES:
+                self.scopes.pop()
+            self.scopes[-1][tag] -= 1
+            if tag in INLINE:
+                self.inline[-1][tag] -= 1
+                self.links -= tag == "a"
+            else:
+                self.inline.pop()
+                self.marked -= self.nodes[node].marked
+
+    def add(self, text: str) -> None:
+        text = entities.unescape(text)
+        self.pieces.append(text)
+        if self.links > 0:
+            self.linked += len(text.strip())
+
+    def close(self, tag: str) -> None:
+        if (self.inline[-1] if tag in INLINE else self.open)[tag] > 0:
+            self.pop_to(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag))
+        elif tag not in INLINE:
+            self.end_block()
+
+    def close_implied(self, tag: str) -> None:
+        """End what the start of `tag` ends: paragraphs, and items or cells of the same list or table."""
+        ended = CLOSES_SELF.get(tag, frozenset()) | ({"p"} if tag in CLOSES_P else frozenset())
+        while any(self.scopes[-1][t] > 0 for t in ended):
+            self.pop_to(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] in ended))
+
+    def start(self, tag: str, rest: str) -> None:
+        if tag in INLINE:
+            if tag in ("br", "mtd", "mtr", "mlabeledtr"):
+                self.pieces.append(" ")
+            if tag not in VOID and not rest.endswith("/"):
+                self.push(tag, self.stack[-1][1])
+                self.links += tag == "a"
+            return
+        self.end_block()
+        if tag in VOID or tag in ("html", "body"):
+            return
+        self.close_implied(tag)
+        good, bad, main, own = _attributes(rest) if rest else (0, 0, False, False)
+        parent = self.stack[-1][1]
+        self.nodes[parent].children.append(len(self.nodes))
+        self.push(tag, len(self.nodes))
+        self.nodes.append(Node(tag, parent, self.nodes[parent].depth + 1, good, bad, main, own))
+        self.marked += own
 
+
+def parse(source: str) -> list[Node]:
+    """The page's block elements and text blocks in document order; node 0 is the page. Unseen elements are left out."""
+    p = _Parser()
+    unclosed: set[str] = set()  # unseen elements without an end in the rest of the page
     at, size = 0, len(source)
     while at < size:
         m = _TOKEN.search(source, at)
         if m is None:
-            add(source[at:])
+            p.add(source[at:])
             break
         if m.start() > at:
-            add(source[at : m.start()])
+            p.add(source[at : m.start()])
         at = m.end()
         close, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
             continue
         tag = tag.lower()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    pop_to(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            else:
-                if tag not in INLINE:
-                    end_block()
-            continue
-        if tag in UNSEEN and tag not in VOID:
-            if tag not in INLINE and tag not in ("select", "option", "button", "object", "svg", "annotation", "annotation-xml", "mphantom"):
-                end_block()
-            if rest.endswith("/") and tag in ("svg", "annotation", "annotation-xml", "mphantom"):
-                continue
-            if tag == "head":
-                stop = re.compile(r"</head\s*>|<body\b", re.I).search(source, at)
-                if stop is None:  # only leading metadata can be dropped
-                    continue
-                at = stop.end() if stop[0][1] == "/" else stop.start()
+            p.close(tag)
+        elif tag not in UNSEEN or tag in VOID:
+            p.start(tag, rest)
+        else:
+            if tag not in INLINE and tag not in FLOATING:
+                p.end_block()
+            if rest.endswith("/") and tag in FOREIGN:
                 continue
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-            at = stop.end() if stop else size if tag in RAW else at
-            continue
-        if tag in INLINE:
-            if tag in ("br", "mtd", "mtr", "mlabeledtr"):
-                pieces.append(" ")
-            if tag not in VOID and not rest.endswith("/"):
-                stack.append((tag, stack[-1][1]))
-                links[1] += tag == "a"
-            continue
-        end_block()
-        if tag in VOID or tag in ("html", "body"):
-            continue
-        shut = CLOSES_SELF.get(tag, ())
-        for i in range(len(stack) - 1, 0, -1):
-            t = stack[i][0]
-            if t in shut or (t == "p" and tag in CLOSES_P):
-                pop_to(i)
-            elif t in SCOPES and t not in shut:
-                break
-        good, bad, main, own = _attributes(rest) if rest else (0, 0, False, False)
-        parent = stack[-1][1]
-        nodes[parent].children.append(len(nodes))
-        stack.append((tag, len(nodes)))
-        nodes.append(Node(tag, parent, nodes[parent].depth + 1, good, bad, main, own))
-        marked[0] += own
-    end_block()
-    return nodes
+            end = None
+            if tag not in unclosed:
+                end = re.compile(r"</head\s*>|<body\b" if tag == "head" else rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
+            if end is None:
+                unclosed.add(tag)
+                at = size if tag in RAW else at
+            else:
+                at = end.start() if end[0][1] != "/" else end.end()
+    p.end_block()
+    return p.nodes
 
 
 _GROUP_OF = {tag: i for i, (_, tags) in enumerate(GROUPS.items()) for tag in tags}
@@ -370,9 +405,10 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): one row per row; text is empty if a page has none or is null.
 
-    A block's character references are decoded and its white space becomes single spaces; kept blocks are joined by
-    newlines in page order. Broken markup is read as browsers do: open elements end with their parents, an unfinished
-    tag at the end is dropped. Repeated rows give equal results; an empty table an empty result; other columns are
+    A block's character references are decoded (none is made by joining text across a tag) and its white space becomes
+    single spaces; kept blocks are joined by newlines in page order. Broken markup is read as browsers do: open elements
+    end with their parents, an unfinished tag at the end is dropped. Pages of any length take time in proportion to it.
+    Null ids and urls are kept. Repeated rows give equal results; an empty table an empty result; other columns are
     ignored.
     """
     spark = session(pages.sparkSession)

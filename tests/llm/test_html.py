@@ -97,3 +97,37 @@ def test_formulas_and_maps_are_text():
     formula = "<math><semantics><mrow><mi>a</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation encoding='application/x-tex'>\\frac12</annotation></semantics></math>"
     page = f"<p>Let {formula} be <math/>so, <map name=m><area href=x>see <a href=y>there</a></map>.<p><math><mtable><mtr><mtd>1</mtd><mtd>2</mtd></mtr></mtable><mphantom>x</mphantom></math>"
     assert [n.text for n in html.parse(page) if n.text is not None] == ["Let a=12 be so, see there.", "1 2"]
+
+
+ODD = {
+    "unopened inline": "<i>" * 20_000 + "</u>" * 20_000, "below a block": "<u><div>" + "<i>" * 20_000 + "</u>" * 20_000, "unclosed unseen": "<svg>" * 20_000,
+    "paragraphs in spans": "<span>" * 20_000 + "<p>x" * 20_000, "deep": "<div>" * 20_000 + "</p>" * 20_000, "cells": "<table>" + "<td>x" * 20_000, "items": "<ul><li>x" * 9_000,
+    "heads": "<head>" * 20_000, "comments": "<!--" * 20_000, "open quotes": '<a "x' * 20_000, "mixed quotes": "<a \"'>" * 20_000, "open tags": "<a" * 50_000, "brackets": "<" * 200_000,
+    "references": "&amp" * 50_000, "long text": "word " * 200_000, "long attribute": '<p class="' + "a " * 100_000 + '">x',
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_pages_take_time_in_proportion(name):
+    import time
+
+    def seconds(source):
+        at = time.process_time()
+        html.features(html.parse(source))
+        return time.process_time() - at
+
+    n = len(ODD[name])
+    assert seconds(ODD[name]) < 3
+    assert seconds((ODD[name] * (1_000_000 // n + 1))[:1_000_000]) < 60
+
+
+def test_references_are_decoded_before_text_is_joined():
+    assert blocks("<p>&<b>lt;</b> &am<!-- -->p; &lt;i&gt; &amp;lt;") == ["&lt; &amp; <i> &lt;"]
+
+
+def test_clashing_columns_and_null_urls(spark):
+    r = random.Random(6)
+    source, want = page(r)
+    rows = [(1, None, source, "x", 5), (None, "u", None, None, 6)]
+    got = html.extract(spark.createDataFrame(rows * 2, "page_id int, url string, html string, text string, n_chars int")).collect()
+    assert sorted(((g["page_id"], g["url"], g["n_chars"]) for g in got), key=str) == sorted([(1, None, len("\n".join(want))), (None, "u", 0)] * 2, key=str)
