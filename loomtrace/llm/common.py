@@ -24,39 +24,61 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by bytes as well as rows, and let Python data sources see filters."""
+    """Bound Arrow batches by bytes as well as rows, where the session has no lower bounds, and let Python data sources see filters."""
     reach_workers(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The cluster's shared folder (spark.checkpoint.dir). A temporary folder of our own only where it is unset and all runs on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        current = spark.sparkContext.getCheckpointDir()
-        found = current if current else "file://" + tempfile.mkdtemp(prefix="loomtrace-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="loomtrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def job_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; others that share the parent have their own."""
+    return f"{shared_dir(spark)}/loomtrace/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomtrace/{name}-{uuid.uuid4().hex}"
+    return f"{job_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there and survives lost executors."""
+    return materialised(df, name)[0]
+
+
+def materialised(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As `materialise`, with the path, for tables that are deleted when the next is written."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find shuffles that nothing refers to any more, whose files else stay until the driver's heap fills."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def clean(spark: SparkSession) -> None:
-    """Delete the intermediate tables of all jobs that share this folder; results that still read them are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomtrace")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete the intermediate tables of this application, and of no other; results that still read them are lost."""
+    delete(spark, job_dir(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import materialise
+from loomtrace.llm.common import delete, materialised, release
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,7 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    e = materialise(e, "links")
+    spark = edges.sparkSession
+    e, path = materialised(e, "links")
     before = _mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -32,7 +33,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialise(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last = path
+        e, path = materialised(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
+        delete(spark, last)  # nothing reads the round before any more
+        del both, low, large, root, small
+        release(spark)
         after = _mark(e)
         if after == before:
             break
