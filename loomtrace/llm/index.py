@@ -16,13 +16,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomtrace.llm.common import blocks, materialise, session, text_rows, utf8, words_of
 
 #: Bytes of text in a segment, about; a longer document is a segment of its own.
 SEGMENT_BYTES = 3 << 20
-#: Bytes of test items that one pass over the index searches; more items take more passes.
+#: Bytes of test items that one pass over the index searches; more items take more passes. A pass sends some ten times
+#: as much to each worker at the very most, if all words are of one letter, and about four times as much of prose.
 QUERY_BYTES = 8 << 20
+#: Places of rarest terms that are intersected at a time, and phrases whose terms are ordered at a time.
+PLACES = 1 << 20
+PHRASES = 1 << 15
 
 
 @dataclass
@@ -38,24 +43,59 @@ class Segment:
     def __post_init__(self):
         self.ends = np.cumsum(self.counts)
         self.first = np.cumsum(self.sizes + 1) - (self.sizes + 1)
+        self.span = int((self.sizes + 1).sum()) + 1
         self._lists: dict[int, np.ndarray] = {}
+        self._all: np.ndarray | None = None
+
+    @property
+    def combined(self) -> np.ndarray:
+        """All postings lists one after the other, as term * span + position: in order, so one search finds a place in any list."""
+        if self._all is None:
+            whole = np.cumsum(self.deltas, dtype=np.int64)
+            starts = self.ends - self.counts
+            before = np.where(starts > 0, whole[np.maximum(starts, 1) - 1], 0)
+            term = np.repeat(np.arange(len(self.counts)), self.counts)
+            self._all = whole - before[term] + term * self.span
+        return self._all
 
     def postings(self, term: int) -> np.ndarray:
         if term not in self._lists:
             self._lists[term] = np.cumsum(self.deltas[self.ends[term] - self.counts[term] : self.ends[term]], dtype=np.int64)
         return self._lists[term]
 
-    def phrase(self, terms: list[int]) -> np.ndarray:
-        """Where the terms stand consecutively: starts in order."""
-        order = sorted(range(len(terms)), key=lambda i: (self.counts[terms[i]], i))
-        found = self.postings(terms[order[0]]) - order[0]
-        for i in order[1:]:
-            if not len(found):
-                break
-            held = self.postings(terms[i])
-            at = np.minimum(np.searchsorted(held, found + i), len(held) - 1)
-            found = found[held[at] == found + i]
-        return found
+    def phrases(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(phrase number, start) wherever the terms of a row stand consecutively, some phrases at a time.
+
+        Each phrase takes the list of its rarest term, adjusted by the term's offset, and intersects it with the lists
+        of its other terms from the next rarest on. All phrases take a step together.
+        """
+        counts, n = self.counts.astype(np.int64), terms.shape[1]
+        ends = self.ends.astype(np.int64)
+        for lo in range(0, len(terms), PHRASES):
+            own = terms[lo : lo + PHRASES]
+            order = np.argsort(counts[own], axis=1, kind="stable")
+            rare = own[np.arange(len(own)), order[:, 0]]
+            places = np.cumsum(counts[rare])
+            a = 0
+            while a < len(own):
+                b = max(a + 1, int(np.searchsorted(places, (places[a - 1] if a else 0) + PLACES, "right")))
+                size = counts[rare[a:b]]
+                which = np.repeat(np.arange(a, b), size)
+                at = np.arange(len(which)) + np.repeat((ends - counts)[rare[a:b]] - (np.cumsum(size) - size), size)
+                start = self.combined[at] - rare[which] * self.span - order[which, 0]
+                keep = (start >= 0) & (start + n < self.span)
+                which, start = which[keep], start[keep]
+                for k in range(1, n):
+                    if not len(which):
+                        break
+                    i = order[which, k]
+                    sought = own[which, i] * self.span + start + i
+                    at = np.minimum(np.searchsorted(self.combined, sought), len(self.combined) - 1)
+                    keep = self.combined[at] == sought
+                    which, start = which[keep], start[keep]
+                if len(which):
+                    yield which + lo, start
+                a = b
 
     def near(self, terms: list[int], width: int) -> tuple[np.ndarray, np.ndarray]:
         """(first, last) positions of the spans of at most `width` words that hold every term, in any order.
@@ -145,8 +185,15 @@ def windows_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+def _csr(group: np.ndarray, member: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where each group's members start, members): distinct ones, in order."""
+    pairs = np.unique(np.stack((group, member), 1), axis=0) if len(group) else np.zeros((0, 2), np.int64)
+    return np.concatenate(([0], np.cumsum(np.bincount(pairs[:, 0], minlength=n)))), pairs[:, 1].astype(np.int32)
+
+
 class Phrases:
-    """Distinct phrases of a bounded set of test items, by term numbers.
+    """Distinct phrases of a bounded set of test items, in flat arrays: a phrase is a place and a size in the items' term
+    numbers, so overlapping windows share their terms.
 
     For proximity a phrase's terms may stand in any order within `reach` times its words, and an item longer than
     `width` words is one more such phrase as a whole.
@@ -154,55 +201,71 @@ class Phrases:
 
     def __init__(self, items: list[tuple[object, bytes]], width: int, reach: float | None = None):
         self.reach = reach
-        owners: dict[tuple[bytes, ...], set[int]] = {}
-        wholes: dict[tuple[bytes, ...], set[int]] = {}
-        self.items: list[object] = []
         known: dict[object, int] = {}
+        words, sizes, owner = [], [], []
         for item, text in items:
-            number = known.setdefault(item, len(known))
-            if number == len(self.items):
-                self.items.append(item)
-            words = words_of(text)
-            for w in windows_of(words, width):
-                owners.setdefault(w, set()).add(number)
-            if reach is not None and len(words) > width:
-                wholes.setdefault(tuple(words), set()).add(number)
-        vocabulary: dict[bytes, int] = {}
-        for w in (*owners, *wholes):
-            for t in w:
-                vocabulary.setdefault(t, len(vocabulary))
-        self.terms = list(vocabulary)
-        self.exact = len(owners)
-        self.phrases = [np.array([vocabulary[t] for t in w]) for w in (*owners, *wholes)]
-        self.owners = [sorted(o) for o in (*owners.values(), *wholes.values())]
-        self.sizes = np.array([len(p) for p in self.phrases], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.flat = np.concatenate(self.phrases) if self.phrases else np.zeros(0, np.int64)
+            own = words_of(text)
+            words += own
+            sizes.append(len(own))
+            owner.append(known.setdefault(item, len(known)))
+        self.items = list(known)
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        del words
+        self.terms = b" ".join(coded.dictionary.to_pylist())
+        self.codes = coded.indices.to_numpy().astype(np.int32)
+        sizes, owner = np.array(sizes, np.int64), np.array(owner, np.int64)
+        first = np.cumsum(sizes) - sizes
+        #: By size of phrase: places of its distinct phrases, and the numbers of the items that have them.
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in sorted({min(n, width) for n in sizes.tolist() if n}):
+            own = np.nonzero(sizes == size if size < width else sizes >= width)[0]
+            n = sizes[own] - size + 1
+            at = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+            self.windows[size] = self._distinct(at, size, np.repeat(owner[own], n))
+        #: Whole items that are longer, each with its own size, where proximity is asked for.
+        self.wholes: list[tuple[int, int, int]] = []
+        if reach is not None:
+            self.wholes = [(int(first[i]), int(sizes[i]), int(owner[i])) for i in np.nonzero(sizes > width)[0]]
+
+    def _distinct(self, at: np.ndarray, size: int, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.codes, size)[at])
+        _, index, inverse = np.unique(rows.view(np.dtype((np.void, rows.itemsize * size))).ravel(), return_index=True, return_inverse=True)
+        return at[index].astype(np.int32), *_csr(inverse, owner, len(index))
 
     def search(self, segment: Segment) -> list[tuple[np.ndarray, list[set[int]]]]:
         """(whether each position is hit, the items found in each document), exactly and, with a reach, by proximity."""
-        kinds = [(np.zeros(int((segment.sizes + 1).sum()) + 1, np.int64), [set() for _ in segment.doc_ids]) for _ in range(1 if self.reach is None else 2)]
+        kinds = [(np.zeros(segment.span, np.int64), [set() for _ in segment.doc_ids]) for _ in range(1 if self.reach is None else 2)]
+        if not len(self.codes) or not segment.terms:
+            return [(np.cumsum(hit) > 0, found) for hit, found in kinds]
+        local = np.array([segment.terms.get(t, -1) for t in self.terms.split(b" ")])[self.codes]
+        present = np.concatenate(([0], np.cumsum(local >= 0)))
 
-        def mark(kind: int, i: int, first: np.ndarray, stop: np.ndarray) -> None:
+        def mark(kind: int, first: np.ndarray, stop: np.ndarray, owners: Iterable) -> None:
             hit, found = kinds[kind]
             np.add.at(hit, first, 1)
             np.add.at(hit, stop, -1)
-            for d in np.unique(np.searchsorted(segment.first, first, "right") - 1).tolist():
-                found[d].update(self.owners[i])
-
-        if len(self.flat) and segment.terms:
-            local = np.array([segment.terms.get(t, -1) for t in self.terms])
-            rarest = np.minimum.reduceat(local[self.flat], self.starts)
-            for i in np.nonzero(rarest >= 0)[0].tolist():
-                terms = local[self.phrases[i]].tolist()
-                if i < self.exact:
-                    at = segment.phrase(terms)
-                    if len(at):
-                        mark(0, i, at, at + self.sizes[i])
-                if self.reach is not None:
-                    first, last = segment.near(terms, int(self.reach * self.sizes[i]))
-                    if len(first):
-                        mark(1, i, first, last + 1)
+            docs = np.searchsorted(segment.first, first, "right") - 1
+            for d, own in {(d, o): None for d, o in zip(docs.tolist(), owners)}:
+                found[d].update(own)
+
+        def near(at: int, size: int, owners: tuple[int, ...]) -> None:
+            first, last = segment.near(local[at : at + size].tolist(), int(self.reach * size))
+            mark(1, first, last + 1, [owners] * len(first))
+
+        for size, (places, heads, members) in self.windows.items():
+            some = np.nonzero(present[places + size] - present[places] == size)[0]  # every term occurs
+            if not len(some):
+                continue
+            owners = lambda i: tuple(members[heads[i] : heads[i + 1]].tolist())
+            terms = np.lib.stride_tricks.sliding_window_view(local, size)[places[some]]
+            for which, start in segment.phrases(terms):
+                mark(0, start, start + size, map(owners, some[which].tolist()))
+            if self.reach is not None:
+                for i in some.tolist():
+                    near(int(places[i]), size, owners(i))
+        for at, size, owner in self.wholes:
+            if present[at + size] - present[at] == size:
+                near(at, size, (owner,))
         return [(np.cumsum(hit) > 0, found) for hit, found in kinds]
 
 
@@ -239,7 +302,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str =
 
     def one(block: list[tuple[object, bytes]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(Phrases(block, width, reach))  # QUERY_BYTES of text at most
-        item_type = pa.list_(pa.string()) if item_kind == "string" else pa.list_(pa.int64() if item_kind == "bigint" else pa.int32())
+        item_type, doc_type = pa.list_(to_arrow_type(items.schema[item_col].dataType)), to_arrow_type(index.schema["doc_ids"].dataType.elementType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for number, s in _segments(batches):
@@ -255,7 +318,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str =
                     arrays += [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(got, item_type)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.doc_ids, pa.int64() if doc_kind == "bigint" else None),
+                        pa.array([number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.doc_ids, doc_type),
                         pa.array(s.sizes), *arrays,
                     ],
                     names=["segment", "ordinal", "doc_id", "n_words", *(c for pair in columns for c in pair)],
@@ -288,7 +351,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
 
     With a reach, near and near_items follow.
 
-    Null and empty texts have no words; repeated rows and ids each give their row; an empty table gives an empty
+    Ids of documents and items may be of any type that compares; null ids are kept (see `search` for items). Null and
+    empty texts have no words; repeated rows and ids each give their row; an empty table gives an empty
     result, no items give no hits; other columns are ignored.
     """
     return search(materialise(build(docs, id_col, text_col), "index"), items, width, reach=reach)

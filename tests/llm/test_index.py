@@ -1,5 +1,8 @@
+import pickle
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.llm import index
@@ -67,7 +70,8 @@ def test_proximity(spark):
     assert near([b"a", b"b"], 4) == [(0, 2), (2, 5)]
     assert near([b"b", b"c"], 2) == [(7, 8)]
     assert near([b"a", b"c"], 5) == [(0, 4), (4, 5)]
-    assert s.phrase([s.terms[b"c"], s.terms[b"a"]]).tolist() == [4]
+    ((which, start),) = s.phrases(np.array([[s.terms[b"c"], s.terms[b"a"]]]))
+    assert which.tolist() == [0] and start.tolist() == [4]
 
 
 def brute_near(docs, items, width=10, reach=2):
@@ -116,3 +120,35 @@ def test_proximity_same_as_brute_force(spark, monkeypatch):
         got = index.search(index.materialise(index.build(d), "index"), i).collect()
         assert sorted(((x["doc_id"], tuple(map(tuple, x["near"])), tuple(sorted(x["near_items"]))) for x in got), key=str) == want
         assert sorted((x["doc_id"] or 0, x["n_words"], x["spans"], sorted(x["items"])) for x in got) == sorted((x["doc_id"] or 0, x["n_words"], x["spans"], sorted(x["items"])) for x in exact)
+
+
+@pytest.mark.parametrize("doc,item", [("int", "int"), ("string", "string"), ("bigint", "smallint"), ("date", "bigint")])
+def test_ids_of_any_type(spark, doc, item):
+    docs, items = corpus(2)
+    docs, items = docs[:30] + docs[-5:], items[:8] + items[-2:]
+    text = lambda rows, kind, name: spark.createDataFrame(rows, "i bigint, text string").selectExpr(f"cast({'date_from_unix_date(cast(i as int))' if kind == 'date' else 'i'} as {kind}) as {name}", "text")
+    got = index.decontaminate(text(docs, doc, "doc_id"), text(items, item, "item_id"))
+    assert got.schema["doc_id"].dataType.simpleString() == doc and got.schema["items"].dataType.elementType.simpleString() == item
+    shown = sorted((len(r["items"]), r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["doc_id"] is None) for r in got.collect())
+    assert shown == sorted((len(b[3]), b[1], b[2], b[0] is None) for b in brute(docs, items))
+
+
+def test_few_places_at_a_time(spark, monkeypatch):
+    docs, items = corpus(3)
+    whole = index.Phrases([(i, (t or "").encode()) for i, t in items], 10)
+    batch = index.build(spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1)).toArrow().to_batches()
+    found = lambda: [(hit.tolist(), items) for _, s in index._segments(batch) for hit, items in whole.search(s)]
+    want = found()
+    for places, phrases in ((1, 3), (50, 7)):
+        monkeypatch.setattr(index, "PLACES", places)
+        monkeypatch.setattr(index, "PHRASES", phrases)
+        assert found() == want
+
+
+def test_what_is_sent_is_bounded():
+    r = random.Random(1)
+    items = [(i, " ".join(f"w{r.randint(0, 100_000)}" for _ in range(1000)).encode()) for i in range(130)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(index.Phrases(items, 10))) < 6 * size
+    short = [(i, b"a b c d e f g h i j k l") for i in range(30_000)]
+    assert len(pickle.dumps(index.Phrases(short, 10))) < 10 * sum(len(t) for _, t in short)
