@@ -71,11 +71,6 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner find shuffles that nothing refers to any more, whose files else stay until the driver's heap fills."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def clean(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, and of no other; results that still read them are lost."""
     delete(spark, job_dir(spark))

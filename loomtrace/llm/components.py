@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import delete, materialised, release
+from loomtrace.llm.common import delete, materialised
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -36,8 +36,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         last = path
         e, path = materialised(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct(), "links")
         delete(spark, last)  # nothing reads the round before any more
-        del both, low, large, root, small
-        release(spark)
         after = _mark(e)
         if after == before:
             break
