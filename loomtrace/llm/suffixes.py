@@ -33,8 +33,8 @@ from loomtrace.llm.common import blocks, materialise, session, utf8
 
 GRAM = 32
 #: Bytes of text that are cut into runs at a time, and that one suffix array covers (a larger group has its own).
-BLOCK = 3 << 20
-CHUNK = 1 << 16
+BLOCK = 1 << 20
+CHUNK = 1 << 18
 #: Runs that a task counts at a time, and rows of a batch that it sends.
 COUNTED = 1 << 20
 BATCH = 1 << 16
@@ -71,17 +71,24 @@ def ascending(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _block_hashes(keys: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the `size` bytes, eight at least, from each position where they fit, from those of `_word_keys`."""
-    h, at = keys * _A, 8
-    while at < size:
-        step = min(at, size - at)
-        x, y = h[:-step], h[step:]
+def _gram_hashes(keys: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each position where they fit, from `_word_keys`, by doubling."""
+    h, size = keys * _A, 8
+    while size < GRAM:
+        x, y = h[:-size], h[size:]
         h = (x ^ (x >> np.uint64(29))) * _A + (y ^ (y >> np.uint64(32))) * _B
-        at += step
+        size *= 2
     return h ^ (h >> np.uint64(31))
 
 
+def _prefix_hashes(keys: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of the first `depth` bytes, or eight if that is more, of the `chosen` suffixes."""
+    h = keys[chosen] * _A
+    for at in [*range(8, depth - 7, 8), *([depth - 8] if depth > 8 and depth % 8 else [])]:
+        h = ((h ^ (h >> np.uint64(29))) + keys[chosen + at]) * _A
+    return (h ^ (h >> np.uint64(32))) * _B
+
+
 def _by_rounds(keys: np.ndarray, chosen: np.ndarray, depth: int) -> np.ndarray:
     """`chosen` suffixes in order of their first `depth` bytes or more, eight bytes a round.
 
@@ -119,9 +126,10 @@ def _sort_directly(keys: np.ndarray, chosen: np.ndarray, depth: int, hashed: boo
     if not hashed or len(chosen) < 2:
         return _by_rounds(keys, chosen, depth), np.zeros(len(chosen), bool)
     low = np.uint64((1 << int(len(chosen)).bit_length()) - 1)
-    packed = np.sort((_block_hashes(keys, max(8, depth))[chosen] & ~low) | np.arange(len(chosen), dtype=np.uint64))
+    packed = np.sort((_prefix_hashes(keys, chosen, depth) & ~low) | np.arange(len(chosen), dtype=np.uint64))
     member = chosen[(packed & low).astype(np.int64)]
-    head = np.concatenate(([True], (packed[1:] & ~low) != (packed[:-1] & ~low)))
+    first = keys[member]
+    head = np.concatenate(([True], ((packed[1:] & ~low) != (packed[:-1] & ~low)) | (first[1:] != first[:-1])))
     start = np.nonzero(head)[0]
     size = np.diff(np.append(start, len(member)))
     block = np.empty(len(keys), np.int64)
@@ -132,29 +140,26 @@ def _sort_directly(keys: np.ndarray, chosen: np.ndarray, depth: int, hashed: boo
     return member[at], ~head[at]
 
 
-def _suffix_array(text: np.ndarray, keys: np.ndarray, depth: int, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of all suffixes, ordered by at least their first `depth` bytes, and which were taken for equal to the one before."""
+def _suffix_array(text: np.ndarray, keys: np.ndarray, depth: int, wanted: np.ndarray, rising: np.ndarray, hashed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the wanted suffixes, ordered by at least their first `depth` bytes, and which were taken for equal to the one before."""
     n = len(text)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
-    rising = ascending(text)
-    counts = np.bincount(text, minlength=256)
+    counts = np.bincount(text[wanted], minlength=256)
     ends = np.cumsum(counts)
     heads = ends - counts
-    sorted_rising, equal = _sort_directly(keys, np.nonzero(rising)[0], depth, hashed)
+    sorted_rising, equal = _sort_directly(keys, np.nonzero(rising & wanted)[0], depth, hashed)
     first = text[sorted_rising]
     rising_counts = np.bincount(first, minlength=256)
-    sa, same = np.full(n, -1, np.int64), np.zeros(n, bool)
+    sa, same = np.full(ends[-1], -1, np.int64), np.zeros(ends[-1], bool)
     offsets = np.cumsum(rising_counts) - rising_counts
     place = (ends - rising_counts)[first] + np.arange(len(first)) - offsets[first]
     sa[place], same[place] = sorted_rising, equal
     fill = heads.copy()
+    induced = np.append(wanted & ~rising, False)  # the last one is for the place before the first
 
     def induce(found: np.ndarray) -> None:
         """Put the predecessors of suffixes scanned in order at the fronts of their buckets, if not sorted directly."""
         before = found - 1
-        before = before[before >= 0]
-        before = before[~rising[before]]
+        before = before[induced[before]]
         byte = text[before]
         by = np.argsort(byte, kind="stable")
         byte, before = byte[by], before[by]
@@ -176,45 +181,58 @@ def _suffix_array(text: np.ndarray, keys: np.ndarray, depth: int, hashed: bool)
 def common_prefixes(text: np.ndarray, keys: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in the array, `cap` at most; 0 for the first.
 
-    Where a position and the one that its suffix follows in the array both step on by one, so do their prefixes: bytes
-    are compared once along such a stretch, and in full only where it ends.
+    Where a suffix and the one that it follows in the array both step on by one, so do their prefixes: bytes are
+    compared once along such a stretch, and in full only where it ends.
     """
-    n = len(sa)
-    if n < 2:
-        return np.zeros(n, np.int64)
-    other = np.full(n, -1, np.int64)
-    other[sa[1:]] = sa[:-1]
-    equal = (other >= 0) & (text == text[other])
-    steps = np.append(other[1:] == other[:-1] + 1, False)
+    m = len(sa)
+    if m < 2:
+        return np.zeros(m, np.int64)
+    before = np.full(len(text), -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    own = np.sort(sa)
+    other = before[own]
+    equal = (other >= 0) & (text[own] == text[other])
+    steps = np.append((other[1:] == other[:-1] + 1) & (own[1:] == own[:-1] + 1), False)
     stop = np.nonzero(~(equal & steps))[0]
+    a, b = own[stop], other[stop]
     known = np.zeros(len(stop), np.int64)
     look = np.nonzero(equal[stop])[0]
-    if len(look):
-        for at in range(0, cap, 8):
-            x = keys[stop[look] + at] ^ keys[other[stop[look]] + at]
-            known[look] = at
-            for bits in range(8, 64, 8):
-                known[look] += x < np.uint64(1 << bits)
-            look = look[x == 0]
-            known[look] = at + 8
-            if not len(look):
-                break
-        known = np.minimum(known, n - np.maximum(stop, other[stop]))
-    return np.minimum(np.repeat(known + stop, np.diff(stop, prepend=-1)) - np.arange(n), cap)[sa]
-
-
-def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts of all suffixes in order of their first `depth` bytes or more, common prefixes up to `depth`).
-
-    Ties beyond `depth` come in any order. Suffixes that only a hash took for equal are found by their common prefixes;
-    then all are sorted by their bytes alone.
+    for at in range(0, cap, 8):
+        if not len(look):
+            break
+        x = keys[a[look] + at] ^ keys[b[look] + at]
+        known[look] = at
+        for bits in range(8, 64, 8):
+            known[look] += x < np.uint64(1 << bits)
+        look = look[x == 0]
+        known[look] = at + 8
+    known = np.minimum(known, len(text) - np.maximum(a, b))
+    before[own] = np.minimum(np.repeat(known + stop, np.diff(stop, prepend=-1)) - np.arange(m), cap)
+    return before[sa]
+
+
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of suffixes in order of their first `depth` bytes or more, common prefixes up to `depth`).
+
+    All suffixes, or those that are `wanted` and what they are induced from. Ties beyond `depth` come in any order.
+    Suffixes that only a hash took for equal are found by their common prefixes; then all are sorted by their bytes alone.
     """
-    keys = _word_keys(text, depth + 16)
-    sa, same = _suffix_array(text, keys, depth, True)
+    if not len(text):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, rising = _word_keys(text, depth + 16), ascending(text)
+    if wanted is None:
+        wanted = np.ones(len(text), bool)
+    else:  # up to the next suffix that is sorted directly
+        direct = np.append(np.nonzero(rising)[0], len(text) - 1)
+        at = np.nonzero(wanted & ~rising & ~np.append(wanted[1:], False))[0]
+        to = direct[np.searchsorted(direct, at)]
+        wanted = wanted.copy()
+        wanted[np.repeat(at - (np.cumsum(to - at) - (to - at)), to - at) + np.arange((to - at).sum()) + 1] = True
+    sa, same = _suffix_array(text, keys, depth, wanted, rising, True)
     lcp = common_prefixes(text, keys, sa, depth)
     at = np.nonzero(same)[0]
     if (lcp[at] < np.minimum(depth, len(text) - np.maximum(sa[at], sa[at - 1]))).any():
-        sa, _ = _suffix_array(text, keys, depth, False)
+        sa, _ = _suffix_array(text, keys, depth, wanted, rising, False)
         lcp = common_prefixes(text, keys, sa, depth)
     return sa, lcp
 
@@ -227,7 +245,7 @@ def _runs(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
     fits = np.maximum(sizes - length + 1, 0)
     if not fits.any():
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
-    h = _block_hashes(_word_keys(buffer, 0), GRAM)[: len(buffer) - GRAM + 1]
+    h = _gram_hashes(_word_keys(buffer, 0))[: len(buffer) - GRAM + 1]
     n = len(buffer) - length + 1
     shift = np.uint64(int(len(buffer)).bit_length())
     low = (h >> shift << shift) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the leftmost is smallest
@@ -377,8 +395,10 @@ def repeats(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     buffer = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8)  # no UTF-8 text has this byte
     sizes = np.array([len(p) + 1 for p in parts])
     base = np.cumsum(sizes) - sizes
-    sa, lcp = suffix_array(buffer, length)
-    whole = np.repeat(base + sizes - 1, sizes)[sa] - sa >= length
+    owner = np.repeat(np.arange(len(parts)), sizes)
+    begins = np.arange(len(buffer)) <= (base + sizes - 1 - length)[owner]
+    sa, lcp = suffix_array(buffer, length, begins)
+    whole = begins[sa]
     same = np.zeros(len(sa), bool)
     same[1:] = (lcp[1:] >= length) & whole[1:] & whole[:-1]
     if not same.any():
@@ -386,8 +406,7 @@ def repeats(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     group = np.cumsum(~same) - 1
     lowest = np.minimum.reduceat(sa, np.nonzero(~same)[0])
     later = sa[lowest[group] != sa]
-    owner = np.searchsorted(base, later, "right") - 1
-    return owner, later - base[owner]
+    return owner[later], later - base[owner[later]]
 
 
 def _repeats(doc, tie, start, count) -> pa.RecordBatch:

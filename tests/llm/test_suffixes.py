@@ -68,7 +68,7 @@ def test_equal_rows_and_empty_table(spark):
 def test_suffix_array_sorts_all_suffixes(monkeypatch, hashed):
     r = random.Random(3)
     if not hashed:  # every hash is equal: all suffixes look alike until their bytes are compared
-        monkeypatch.setattr(suffixes, "_block_hashes", lambda keys, size: np.zeros(len(keys), np.uint64))
+        monkeypatch.setattr(suffixes, "_prefix_hashes", lambda keys, chosen, depth: np.zeros(len(chosen), np.uint64))
     for n, letters in ((1, b"a"), (50, b"ab"), (400, b"abc"), (300, b"a"), (2000, bytes(range(97, 123)))):
         raw = bytes(r.choice(letters) for _ in range(n))
         if n == 2000:
@@ -83,6 +83,10 @@ def test_suffix_array_sorts_all_suffixes(monkeypatch, hashed):
         for depth in (8, 12, 100):  # to a depth only
             sa, lcp = suffixes.suffix_array(text, depth)
             assert sorted(sa.tolist()) == list(range(len(raw)))
+            wanted = np.array([r.random() < 0.3 for _ in raw])
+            some, _ = suffixes.suffix_array(text, depth, wanted)
+            assert set(np.nonzero(wanted)[0].tolist()) <= set(some.tolist()) and len(set(some.tolist())) == len(some)
+            assert all(raw[a:][:depth] <= raw[b:][:depth] for a, b in zip(some, some[1:]))
             assert all(raw[a:][:depth] <= raw[b:][:depth] for a, b in zip(sa, sa[1:]))
             assert lcp[1:].tolist() == [next((i for i in range(depth) if raw[a + i : a + i + 1] != raw[b + i : b + i + 1] or a + i >= len(raw)), depth) for a, b in zip(sa, sa[1:])]
 
