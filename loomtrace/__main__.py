@@ -1,4 +1,4 @@
-"""A shell over a store: python -m loomtrace STORE query|import|export|delete-all ..."""
+"""A shell over a store: python -m loomtrace STORE query|import|export|vacuum|delete-all ..."""
 
 from __future__ import annotations
 
@@ -18,6 +18,7 @@ def main(argv: list[str] | None = None) -> None:
     export = actions.add_parser("export", help="write a log as XES")
     export.add_argument("log_id")
     export.add_argument("target")
+    actions.add_parser("vacuum", help="delete files that the last version doesn't use; prints how many").add_argument("--hours", type=float, default=24, help="only files older than that")
     actions.add_parser("delete-all", help="delete the store")
     args = parser.parse_args(argv)
     store = Store(SparkSession.builder.appName("loomtrace").config("spark.sql.session.timeZone", "UTC").getOrCreate(), args.store)
@@ -27,6 +28,8 @@ def main(argv: list[str] | None = None) -> None:
         print("\n".join(store.import_log(args.path)))
     elif args.action == "export":
         store.export_log(args.log_id, args.target)
+    elif args.action == "vacuum":
+        print(store.vacuum(args.hours))
     else:
         store.delete_all()
 

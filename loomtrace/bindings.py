@@ -24,7 +24,16 @@ SALES = Binding(
     log="o_orderstatus", trace="concat(o_orderstatus, '|', o_custkey)", event="o_orderkey", trace_order=("o_custkey",), event_order=("o_orderdate", "o_orderkey"),
     attributes={"e": {"concept:name": "o_orderpriority", "time:timestamp": "cast(o_orderdate as timestamp)", "cost:total": "o_totalprice", "identity:id": "o_orderkey"}, "t": {"concept:name": "cast(o_custkey as string)", "custkey": "o_custkey"}, "l": {"concept:name": "o_orderstatus"}},
 )
-TABLES = {"web": ("events", WEB), "users": ("events", USERS), "chat": ("conversations", CHAT), "sales": ("orders", SALES)}
+#: The same events as four logs, by user; what the queries over imported logs write and read back.
+SHARDS = Binding(
+    log="concat('web-', user_id % 4)", trace="concat(user_id, '|', cast(ts as date))", event="event_id", trace_order=("user_id", "cast(ts as date)"), event_order=("ts", "event_id"),
+    attributes={
+        "e": {"concept:name": "event_type", "time:timestamp": "ts", "cost:total": "value", "org:resource": "cast(user_id as string)", "k": "cast(get_json_object(props, '$.k') as bigint)", "number": "event_id"},
+        "t": {"concept:name": "concat(user_id, '|', cast(ts as date))", "user": "user_id", "early": "day(ts) < 8"},
+        "l": {"concept:name": "concat('web-', user_id % 4)", "identity:id": "concat('00000000-0000-0000-0000-00000000000', user_id % 4)"},
+    },
+)
+TABLES = {"web": ("events", WEB), "shards": ("events", SHARDS), "users": ("events", USERS), "chat": ("conversations", CHAT), "sales": ("orders", SALES)}
 
 
 def bound(spark: SparkSession, sf_dir: str, name: str) -> BoundLayout:

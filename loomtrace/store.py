@@ -1,7 +1,10 @@
 """A store of imported event logs: import, query, delete, export.
 
-Tables are parquet snapshots in the store's folder. A change writes the next snapshot beside the last and then names it
-in the folder `current`, so readers see one snapshot or the other, never a mixture.
+Each change (an import or a delete) writes the parquet files of the logs that it touches, and no others, into folders of
+its own: data/TABLE/change=X/log_id=Y. A manifest says which change each log of each table is read from. Versions of the
+manifest are numbered; a new one is put in place by a rename that fails if that number is taken, so of two writers one
+sees the other's version first. It then applies its change to that version, unless both touched the same log, which is
+a Conflict. Readers see one version as a whole. `vacuum` deletes files that the last version doesn't name.
 """
 
 from __future__ import annotations
@@ -9,21 +12,31 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from xml.sax.saxutils import quoteattr
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from loomtrace.engine import Engine, to_json
 from loomtrace.plans.syntax import EVENT, LOG, TRACE, Delete, QueryError, parse
 from loomtrace.sources import xes
 from loomtrace.sources.layouts import ENTRY, EVENTS, HOT, IDS, LOGS, TRACES, LogLayout
+from loomtrace.sources.xes_writer import elements, output
 
 TABLES = {"logs": LOGS, "traces": TRACES, "events": EVENTS}
+#: Columns with bloom filters: a lookup by one of their values reads only the row groups that may have it.
+LOOKUPS = {"logs": (), "traces": ("trace_id", "name"), "events": ("trace_id", "event_id", "activity", "resource")}
 _HEADER = f"struct<extensions:array<struct<name:string,prefix:string,uri:string>>,globals:array<struct<scope:string,attrs:map<string,{ENTRY}>>>,classifiers:array<struct<name:string,keys:array<string>>>>"
 
 
+class Conflict(QueryError):
+    """Another writer changed the same log meanwhile."""
+
+
 def _shown(attrs: str, key: str):
     e = F.col(attrs)[key]
     return F.coalesce(e["s"], e["n"].cast("string"), e["b"].cast("string"))
@@ -36,70 +49,142 @@ class Store:
         self.spark, self.path = spark, path.rstrip("/")
         xes.register(spark)
 
-    # --- snapshots ---
+    # --- versions ---
 
     def _fs(self, path: str):
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _current(self) -> str | None:
-        fs, folder = self._fs(f"{self.path}/current")
-        if not fs.exists(folder):
-            return None
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        return max(names, default=None)
-
-    def _write(self, frames: dict[str, DataFrame]) -> None:
-        name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-        for t, df in frames.items():
-            keys = [c for c in ("log_seq", "trace_seq", "event_idx") if c in df.columns]
-            df.sortWithinPartitions(*keys).write.partitionBy("log_id").parquet(f"{self.path}/snapshots/{name}/{t}")
-        fs, mark = self._fs(f"{self.path}/current/{name}")
-        fs.create(mark, False).close()
-
-    def table(self, name: str) -> DataFrame:
-        current = self._current()
-        empty = self.spark.createDataFrame([], TABLES[name])
-        if current is None:
-            return empty
-        fs, where = self._fs(f"{self.path}/snapshots/{current}/{name}")
-        if not any(s.getPath().getName().startswith("log_id=") for s in fs.listStatus(where)):
-            return empty
-        return self.spark.read.schema(empty.schema).parquet(f"{self.path}/snapshots/{current}/{name}").select(*empty.columns)
-
-    def layout(self) -> LogLayout:
-        return LogLayout(*(self.table(t) for t in TABLES))
+    def _listed(self, path: str) -> list:
+        fs, folder = self._fs(path)
+        return list(fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _state(self) -> dict:
+        """The last version: {"version": n, "logs": {log_id: {table: change}}, "sizes": {change: {table: logs}}}."""
+        last = max((f.getPath().getName() for f in self._listed(f"{self.path}/manifests") if f.getPath().getName().endswith(".json")), default=None)
+        if last is None:
+            return {"version": 0, "logs": {}, "sizes": {}}
+        fs, where = self._fs(f"{self.path}/manifests/{last}")
+        stream = fs.open(where)
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
+
+    def _publish(self, state: dict) -> bool:
+        """Make a version the last one; False if its number is taken."""
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        fs, made = self._fs(f"{self.path}/manifests/.{uuid.uuid4().hex}")
+        stream = fs.create(made, False)
+        stream.write(json.dumps(state).encode())
+        stream.close()
+        _, name = self._fs(f"{self.path}/manifests/{state['version']:012d}.json")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(made).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            context.rename(fs.makeQualified(made), fs.makeQualified(name), gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as e:
+            fs.delete(made, False)
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def _commit(self, read: dict, logs: dict[str, dict[str, str] | None], change: str, sizes: dict[str, int]) -> None:
+        """Give logs new entries (None: none any more) in the next version. `read` is the version that they were made from."""
+        while True:
+            state = self._state()
+            changed = [x for x in logs if state["logs"].get(x) != read["logs"].get(x)]
+            if changed:
+                raise Conflict(f"log {changed[0]!r} was changed by another writer")
+            kept = {x: e for x, e in state["logs"].items() if x not in logs} | {x: e for x, e in logs.items() if e}
+            used = {c for e in kept.values() for c in e.values()}
+            all_sizes = {c: n for c, n in (state["sizes"] | {change: sizes}).items() if c in used}
+            if self._publish({"version": state["version"] + 1, "logs": kept, "sizes": all_sizes}):
+                return
+
+    def _write(self, name: str, df: DataFrame, change: str) -> set[str]:
+        """Write rows as a change's part of a table; the logs that it has rows of."""
+        keys = [c for c in ("log_seq", "trace_seq", "event_idx") if c in df.columns]
+        out = df.sortWithinPartitions(*keys).write.partitionBy("log_id")
+        for c in LOOKUPS[name]:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        folder = f"{self.path}/data/{name}/change={change}"
+        out.parquet(folder)
+        return {n.removeprefix("log_id=") for f in self._listed(folder) if (n := f.getPath().getName()).startswith("log_id=")}
+
+    def table(self, name: str, state: dict | None = None, logs: set[str] | None = None) -> DataFrame:
+        """A table of the last or another version, of all or some logs."""
+        state = state or self._state()
+        schema = StructType.fromDDL(TABLES[name])
+        by: dict[str, list[str]] = {}
+        for log, entry in state["logs"].items():
+            if name in entry and (logs is None or log in logs):
+                by.setdefault(entry[name], []).append(log)
+        root, paths = f"{self.path}/data/{name}", []
+        for change, own in by.items():
+            whole = len(own) == state["sizes"].get(change, {}).get(name)
+            paths += [f"{root}/change={change}"] if whole else [f"{root}/change={change}/log_id={x}" for x in own]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(StructType([*schema.fields]).add("change", "string")).option("basePath", root).parquet(*paths).select(*schema.names)
+
+    def layout(self, state: dict | None = None) -> LogLayout:
+        state = state or self._state()
+        return LogLayout(*(self.table(t, state) for t in TABLES))
+
+    def vacuum(self, hours: float = 24) -> int:
+        """Delete folders that the last version doesn't name, and past versions, if older than that; how many. Readers
+        of past versions lose their files."""
+        state, before, gone = self._state(), (time.time() - 3600 * hours) * 1000, 0
+        live = {(t, c, x) for x, e in state["logs"].items() for t, c in e.items()}
+        for t in TABLES:
+            for change in self._listed(f"{self.path}/data/{t}"):
+                for log in self._listed(change.getPath().toString()):
+                    names = (t, change.getPath().getName().removeprefix("change="), log.getPath().getName().removeprefix("log_id="))
+                    if log.isDirectory() and names not in live and log.getModificationTime() <= before:
+                        gone += self._fs(log.getPath().toString())[0].delete(log.getPath(), True)
+        last = f"{state['version']:012d}.json"
+        for f in [*self._listed(f"{self.path}/manifests"), *self._listed(f"{self.path}/staging")]:
+            if f.getPath().getName() != last and f.getModificationTime() <= before:
+                gone += self._fs(f.getPath().toString())[0].delete(f.getPath(), True)
+        return gone
 
     # --- import ---
 
     def import_log(self, path: str) -> list[str]:
         """Add the logs of a file or folder; their ids, in order. Unknown file types are an error."""
-        raw = self.spark.read.format("xes").load(path)
-        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        raw.write.parquet(staged)  # ids are made while reading, so it is read once
+        started, read = time.time_ns(), self._state()
+        staged = self._staged(self.spark.read.format("xes").load(path))  # ids are made while reading, so it is read once
         raw = self.spark.read.parquet(staged)
-        old = self.table("logs")
-        last = old.agg(F.max("log_seq")).first()[0]
         head = raw.where("level = 'log'").withColumn("h", F.from_json("header", _HEADER))
         by = W.orderBy("source", "log_id")  # a row for each imported log
         logs = head.select(
-            "log_id", (F.row_number().over(by) + F.lit(-1 if last is None else last)).cast("bigint").alias("log_seq"), "source", F.current_timestamp().alias("import_ts"),
+            "log_id", (F.row_number().over(by) + F.lit(started)).cast("bigint").alias("log_seq"), "source", F.timestamp_micros(F.lit(started // 1000)).alias("import_ts"),
             "h.extensions", "h.globals", "h.classifiers", F.coalesce(_shown("attrs", "concept:name"), "log_id").alias("name"), "attrs",
         )
-        seq = logs.select("log_id", "log_seq")
+        order = [(r["log_id"], r["log_seq"]) for r in logs.select("log_id", "log_seq").orderBy("log_seq").collect()]
+        seq = F.broadcast(self.spark.createDataFrame(order, "log_id string, log_seq bigint"))  # a row for each imported log
         traces = raw.where("level = 'trace'").join(seq, "log_id").select(
             "log_id", "log_seq", "trace_id", "trace_seq", F.coalesce(_shown("attrs", "concept:name"), F.substring_index("trace_id", "_", -1)).alias("name"), "attrs"
         )
         events = raw.where("level = 'event'").join(seq, "log_id").select(
             "log_id", "log_seq", "trace_id", "trace_seq", "event_id", "event_idx", *[_shown("attrs", k).alias(c) for k, c in HOT.items()], "attrs"
         )
-        new = {"logs": logs, "traces": traces, "events": events}
-        self._write({t: self.table(t).unionByName(df.select(*self.table(t).columns)) for t, df in new.items()})
-        added = self.table("logs").where(F.col("log_seq") > (-1 if last is None else last)).orderBy("log_seq").select("log_id").collect()
-        fs, where = self._fs(staged)
+        change = uuid.uuid4().hex
+        held = {t: self._write(t, df, change) for t, df in {"logs": logs, "traces": traces, "events": events}.items()}
+        self._commit(read, {x: {t: change for t in TABLES if x in held[t]} for x, _ in order}, change, {t: len(x) for t, x in held.items()})
+        self._drop(staged)
+        return [x for x, _ in order]
+
+    def _staged(self, df: DataFrame) -> str:
+        path = f"{self.path}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path
+
+    def _drop(self, path: str) -> None:
+        fs, where = self._fs(path)
         fs.delete(where, True)
-        return [r["log_id"] for r in added]
 
     # --- query and delete ---
 
@@ -113,28 +198,36 @@ class Store:
         return json.dumps([json.loads(r["json"]) for r in to_json(self.query(text, ids=True, payload=True)).collect()], indent=2)
 
     def delete(self, text: str) -> dict:
-        """Delete what a delete statement selects, with all below it: {"deleted": rows, "status": "success"}."""
-        layout = self.layout()
-        scope, gone = Engine(layout).victims(text)
+        """Delete what a delete statement selects, with all below it: {"deleted": rows, "status": "success"}.
+
+        Only logs that lose rows are written again, and of them only the tables that do.
+        """
+        read = self._state()
+        scope, gone = Engine(self.layout(read)).victims(text)
         names = {"_log": "log_id", "_trace": "trace_id", "_event": "event_id"}
         key = names[IDS[scope][-1]]
-        gone = gone.select(F.col(IDS[scope][-1]).alias(key)).distinct()
+        staged = self._staged(gone.select(F.col("_log").alias("log_id"), *([F.col(IDS[scope][-1]).alias(key)] if scope != LOG else [])).distinct())
+        gone = self.spark.read.parquet(staged)
+        logs = {r[0] for r in gone.select("log_id").distinct().collect()}  # a row for each log
         hit = {LOG: ("logs", "traces", "events"), TRACE: ("traces", "events"), EVENT: ("events",)}[scope]
-        frames = {t: self.table(t) for t in TABLES}
-        deleted = sum(frames[t].join(gone, key, "left_semi").count() for t in hit)
-        if not deleted:
-            return {"deleted": 0}
-        self._write({t: df.join(gone, key, "left_anti").select(*df.columns) if t in hit else df for t, df in frames.items()})
-        return {"deleted": deleted, "status": "success"}
+        frames = {t: self.table(t, read, logs) for t in hit}
+        deleted = sum(df.join(gone, ["log_id", key] if key != "log_id" else key, "left_semi").count() for df in frames.values())
+        if deleted:
+            change, held = uuid.uuid4().hex, {}
+            if scope != LOG:
+                held = {t: self._write(t, df.join(gone, ["log_id", key], "left_anti").select(*df.columns), change) for t, df in frames.items()}
+            entries = {x: None if scope == LOG else {t: c for t, c in read["logs"][x].items() if t not in hit} | {t: change for t in hit if x in held[t]} for x in logs}
+            self._commit(read, entries, change, {t: len(x) for t, x in held.items()})
+        self._drop(staged)
+        return {"deleted": deleted, "status": "success"} if deleted else {"deleted": 0}
 
     def delete_all(self) -> None:
-        fs, where = self._fs(self.path)
-        fs.delete(where, True)
+        self._drop(self.path)
 
     # --- export ---
 
     def export_log(self, log_id: str, target: str) -> None:
-        """Write a log as XES to a file of the driver. Traces stream to it one partition at a time."""
+        """Write a log as XES to a file, of the driver or of a file system that a URI names. Traces stream to it one partition at a time."""
         log = self.table("logs").where(F.col("log_id") == log_id).first()
         if log is None:
             raise QueryError(f"log {log_id!r} not found")
@@ -143,7 +236,7 @@ class Store:
         )
         traces = self.table("traces").where(F.col("log_id") == log_id).select("trace_id", "trace_seq", F.map_entries("attrs").alias("attrs"))
         rows = traces.join(events, "trace_id", "left").orderBy("trace_seq").select("attrs", "events")
-        with open(target, "w", encoding="utf-8") as out:
+        with output(target) as out:
             out.write('<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="1.0" xmlns="http://www.xes-standard.org/">\n')
             for e in log["extensions"] or ():
                 out.write("  <extension" + "".join(f" {k}={quoteattr(e[k])}" for k in ("name", "prefix", "uri") if e[k] is not None) + "/>\n")
@@ -160,41 +253,3 @@ class Store:
                 out.write("  </trace>\n")
             out.write("</log>\n")
 
-
-def _text(value) -> str | None:
-    if value["b"] is not None:
-        return "true" if value["b"] else "false"
-    if value["n"] is not None:
-        return str(int(value["n"])) if value["tag"] == "int" else repr(value["n"])
-    return value["s"]
-
-
-def _steps(chain: str) -> list[tuple[str, str]]:
-    """A type chain tag[key]|tag[key] as pairs."""
-    out = []
-    for step in chain.split("]|"):
-        tag, _, key = step.partition("[")
-        out.append((tag, key))
-    out[-1] = (out[-1][0], out[-1][1].removesuffix("]"))
-    return out
-
-
-def elements(attributes, depth: int) -> str:
-    """Flat attributes as nested elements again, by their type chains; values of parents are kept."""
-    root: dict = {}
-    for _, value in attributes:
-        at = root
-        steps = _steps(value["chain"])
-        for tag, key in steps:
-            node = at.setdefault(key, {"tag": tag, "value": None, "in": {}})
-            at = node["in"]
-        node["tag"], node["value"] = value["tag"], _text(value)
-
-    def shown(nodes: dict, level: int) -> str:
-        out = []
-        for key, n in nodes.items():
-            head = "  " * level + f"<{n['tag']} key={quoteattr(key)}" + (f" value={quoteattr(n['value'])}" if n["value"] is not None else "")
-            out.append(f"{head}>\n{shown(n['in'], level + 1)}{'  ' * level}</{n['tag']}>\n" if n["in"] else head + "/>\n")
-        return "".join(out)
-
-    return shown(root, depth)

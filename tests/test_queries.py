@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from loomtrace import queries
+from loomtrace import imported, queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -26,9 +26,10 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-@pytest.mark.parametrize("name", [*queries.SPECS, *queries.DELETES])
+@pytest.mark.parametrize("name", [*queries.queries(), *imported.queries()])
 def test_equals_sql(spark, duck, name):
-    got, want = queries.queries()[name](spark, SF).toPandas(), duck.sql(queries.oracle_sql()[name]).df()
+    module = imported if name in imported.queries() else queries
+    got, want = module.queries()[name](spark, SF).toPandas(), duck.sql(module.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
