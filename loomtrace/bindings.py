@@ -10,6 +10,7 @@ _EVENT = {"concept:name": "event_type", "time:timestamp": "ts", "cost:total": "v
 WEB = Binding(
     log="'web'", trace="concat(user_id, '|', cast(ts as date))", event="event_id", trace_order=("user_id", "cast(ts as date)"), event_order=("ts", "event_id"),
     attributes={"e": _EVENT, "t": {"concept:name": "concat(user_id, '|', cast(ts as date))", "user": "user_id", "day": "cast(ts as date)"}, "l": {"concept:name": "'web'"}},
+    implied={("t", "concept:name"): {"user": "try_cast(substring_index(:v, '|', 1) as bigint)"}},
 )
 USERS = Binding(
     log="'users'", trace="user_id", event="event_id", trace_order=("user_id",), event_order=("ts", "event_id"),

@@ -23,7 +23,7 @@ class Value:
     """kind: string, number, boolean, time, any or null.
 
     time is a timestamp column, or one without time zone (ntz), which is read as UTC; any has text and, where numeric,
-    num. constant marks a literal.
+    num. constant marks a literal; whole a column of integers.
     """
 
     kind: str
@@ -31,6 +31,7 @@ class Value:
     num: Column | None = None
     constant: object = None
     ntz: bool = False
+    whole: bool = False
 
     @property
     def text(self) -> Column:
@@ -81,7 +82,9 @@ def of_column(column: Column, spark_type: str) -> Value:
         return Value("time", column, ntz=spark_type == "timestamp_ntz")
     if spark_type == "date":
         return Value("time", column.cast("timestamp_ntz"), ntz=True)
-    if spark_type in ("tinyint", "smallint", "int", "bigint", "float", "double") or spark_type.startswith("decimal"):
+    if spark_type in ("tinyint", "smallint", "int", "bigint"):
+        return Value("number", column, whole=True)
+    if spark_type in ("float", "double") or spark_type.startswith("decimal"):
         return Value("number", column)
     return Value("string", column.cast("string"))
 
@@ -200,13 +203,23 @@ def _numeric(v: Value) -> bool:
     return v.kind == "number"
 
 
+def _constant_like(v: Value, number: float) -> Column:
+    """A number in the type of the column that it is compared to, so the comparison reaches the scan.
+
+    Doubles and integers compare alike where the constant is whole and exact as a double.
+    """
+    return F.lit(int(number)) if v.whole and abs(number) < 2**53 and number == int(number) else F.lit(number)
+
+
 def compare(op: str, a: Value, b: Value) -> Column:
     """Numbers if a side is one, times if both are, else text. Null on a missing side."""
     if "null" in (a.kind, b.kind):
         return F.lit(None).cast("boolean")
     use = {"=": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}[op]
     if _numeric(a) and _numeric(b):
-        return use(a.column, b.column)
+        if b.constant is not None:
+            return use(a.column, _constant_like(a, float(b.constant)))
+        return use(_constant_like(b, float(a.constant)), b.column) if a.constant is not None else use(a.column, b.column)
     if a.kind == "boolean" and b.kind == "boolean":
         return use(a.column, b.column)
     if a.kind == "time" or b.kind == "time":
@@ -227,7 +240,7 @@ def compare(op: str, a: Value, b: Value) -> Column:
             as_number = _as_number(t.constant)
             if as_number is None:
                 return use(a.text, b.text)
-            return use(a.column, F.lit(as_number)) if n is a else use(F.lit(as_number), b.column)
+            return use(a.column, _constant_like(a, as_number)) if n is a else use(_constant_like(b, as_number), b.column)
         x, y = a.number, b.number
         by_text = use(a.text, b.text) if op in ("=", "!=") else F.lit(None).cast("boolean")
         return F.when(x.isNotNull() & y.isNotNull(), use(x, y)).otherwise(by_text)
@@ -248,7 +261,9 @@ def among(a: Value, items: list[Value]) -> Column:
     if a.kind == "string" and all(v.kind == "string" and v.constant is not None for v in items):
         return a.column.isin([v.constant for v in items])
     if a.kind == "number" and all(v.constant is not None and _as_number(v.constant) is not None and v.kind != "boolean" for v in items):
-        return a.column.isin([_as_number(v.constant) for v in items])
+        numbers = [_as_number(v.constant) for v in items]
+        whole = a.whole and all(abs(n) < 2**53 and n == int(n) for n in numbers)
+        return a.column.isin([int(n) for n in numbers] if whole else numbers)
     out = F.lit(False)
     for v in items:
         out = out | compare("=", a, v)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from loomtrace.functions.names import standard_name
 from loomtrace.operators.expressions import condition
 from loomtrace.plans.analysis import scopes_of
-from loomtrace.plans.syntax import LEVEL, LOG, TRACE, Attribute, Both, walk
+from loomtrace.plans.syntax import LEVEL, LOG, TRACE, Attribute, Both, Compare, Literal, walk
 from loomtrace.sources.layouts import IDS, BoundLayout, Frame
 
 
@@ -40,10 +42,15 @@ def filtered(layout, collection: str, where, needed: set[str]) -> Frame:
             parents[deepest].append(c)
         else:
             own.append(c)
-    frame = layout.frame(collection, needed.union(*map(needs, own)) if own else needed)
-    df = frame.df
-    for c in own:
-        df = df.where(condition(c, frame))
+    needed = needed.union(*map(needs, own)) if own else needed
+    if isinstance(layout, BoundLayout):  # conditions come before events are grouped to traces or logs
+        frame = layout.frame(collection, needed, [lambda f, c=c: _narrowed(f.df, c, f, layout).where(condition(c, f)) for c in own])
+        df = frame.df
+    else:
+        frame = layout.frame(collection, needed)
+        df = frame.df
+        for c in own:
+            df = df.where(condition(c, frame))
     for scope, found in parents.items():
         if found:
             df = _semi(df, layout, scope, found, IDS[scope])
@@ -57,6 +64,16 @@ def filtered(layout, collection: str, where, needed: set[str]) -> Frame:
 def _semi(df: DataFrame, layout, scope: str, found: list, keys: list[str]) -> DataFrame:
     other = layout.frame(scope, set().union(*map(needs, found)))
     test = reduce(lambda a, b: a & b, [condition(c, other) for c in found])
-    return df.join(other.df.where(test).select(*keys).distinct(), keys, "left_semi")
+    return df.join(other.df.where(test).select(*keys), keys, "left_semi")
+
+
+def _narrowed(df: DataFrame, node, frame: Frame, layout: BoundLayout) -> DataFrame:
+    """What `attribute = 'text'` implies for other attributes, as the binding says; those predicates reach the scan."""
+    if isinstance(node, Compare) and node.op == "=":
+        for a, b in ((node.left, node.right), (node.right, node.left)):
+            if isinstance(a, Attribute) and a.classifier is None and isinstance(b, Literal) and b.kind == "string":
+                for name, expression in layout.binding.implied.get((a.scope, standard_name(a.name, a.literal)), {}).items():
+                    df = df.where(frame.find(a.scope, name).column == F.expr(expression.replace(":v", "'" + b.value.replace("\\", "\\\\").replace("'", "\\'") + "'")))
+    return df
 
 

@@ -6,7 +6,7 @@ identity columns _log, _trace, _event and order columns _ls, _ts, _ei (document
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -80,6 +80,8 @@ class Binding:
     attributes: dict[str, dict[str, str]]
     log_order: tuple[str, ...] = ()
     classifiers: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: (scope, name) -> {name of another attribute of the scope: SQL of the value that it has where the first is :v}
+    implied: dict[tuple[str, str], dict[str, str]] = field(default_factory=dict)
 
 
 class BoundLayout:
@@ -99,11 +101,8 @@ class BoundLayout:
         self.events = table.select(*columns)
         self.types = {f.name: f.dataType.simpleString() for f in self.events.schema.fields}
 
-    def frame(self, scope: str, needed: set[str]) -> Frame:
-        df = self.events
-        if scope != EVENT:
-            own = [c for s in (LOG, TRACE) if LEVEL[s] <= LEVEL[scope] for c in self.names.get(s, {}).values()]
-            df = df.groupBy(*IDS[scope]).agg(*[F.min(c).alias(c) for c in ORDER[scope]], *[F.first(c, ignorenulls=True).alias(c) for c in own])
+    def frame(self, scope: str, needed: set[str], early: Iterable[Callable[[Frame], DataFrame]] = ()) -> Frame:
+        """early: filters over attributes that don't vary within a row of the scope; they apply before events are grouped."""
 
         def find(s: str, name: str) -> Value | None:
             column = self.names.get(s, {}).get(name.lower())
@@ -119,7 +118,13 @@ class BoundLayout:
         def everything(s: str) -> list[tuple[str, Column]]:
             return [(f"{s}:{n}", F.col(self.names[s][n.lower()])) for n in self.binding.attributes.get(s, {})]
 
-        return Frame(df, scope, find, classifier, everything)
+        frame = Frame(self.events, scope, find, classifier, everything)
+        for test in early:
+            frame.df = test(frame)
+        if scope != EVENT:
+            own = [c for s in (LOG, TRACE) if LEVEL[s] <= LEVEL[scope] for c in self.names.get(s, {}).values()]
+            frame.df = frame.df.groupBy(*IDS[scope]).agg(*[F.min(c).alias(c) for c in ORDER[scope]], *[F.first(c, ignorenulls=True).alias(c) for c in own])
+        return frame
 
 
 ENTRY = "struct<tag:string,s:string,n:double,b:boolean,chain:string>"

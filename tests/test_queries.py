@@ -57,3 +57,8 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert flat.count("hashpartitioning") == 1 and "SortAggregate" not in flat and "TakeOrderedAndProject" in flat
     assert plan(web.query("select sum(e:total) group by ^e:name")).count("hashpartitioning") == 2
     assert "TakeOrderedAndProject" in plan(web.query("select e:name order by e:total desc limit 5"))
+    one = plan(web.query("select e:name where t:name = '8|2024-01-01' limit 100"))
+    assert "EqualTo(user_id,8)" in one
+    traces = plan(web.query("select t:name, t:day where t:user < 9 and t:name like '%02%'"))
+    assert "LessThan(user_id,9)" in traces and traces.count("hashpartitioning") == 1
+    assert web.query("select e:name where t:name = 'it\\'s|x\\\\'").count() == 0
