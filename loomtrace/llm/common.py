@@ -124,6 +124,22 @@ def labels_by_link(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+#: A key of more rows than both HUB and a HUBS-th of all is a hub: so there are fewer than HUBS of them at any size.
+HUB, HUBS = 1_000, 100_000
+
+
+def join_spread(rows: DataFrame, values: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Rows with the values of their key; values has one row for each key, whose column `size` is its number of rows.
+
+    Hubs' values are broadcast, fewer than HUBS rows, so their rows stay where they are and no task gets a hub whole;
+    all others meet by shuffle.
+    """
+    most = max(HUB, total // HUBS)
+    hubs = F.broadcast(values.where(F.col(size) > most).drop(size))
+    rest = rows.join(F.broadcast(values.where(F.col(size) > most).select(key)), key, "left_anti")
+    return rows.join(hubs, key).unionByName(rest.join(values.where(F.col(size) <= most).drop(size), key))
+
+
 def text_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names, so other columns can't clash."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

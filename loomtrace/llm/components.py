@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import delete, materialised
+from loomtrace.llm.common import delete, join_spread, materialised
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,7 +17,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of comparable ids -> (node, component): the smallest id reachable, for each node with a link.
 
     Loops and repeated links change nothing; links with a null end are ignored; no link gives no row. A hub's
-    neighbours are reduced with map-side combination, and its join can be split, as only minima are looked up.
+    neighbours are reduced with map-side combination, and its minimum goes to where they are.
     """
     e = (
         edges.where("a is not null and b is not null and a <> b")
@@ -29,8 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d")).select("u", F.least("u", "m").alias("m"), "d")
+        large = join_spread(both, low, "u", "d", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last = path

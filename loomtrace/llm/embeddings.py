@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import labels_by_link, materialise, session
+from loomtrace.llm.common import join_spread, labels_by_link, materialise, session
 from loomtrace.llm.components import connected_components
 
 #: Vectors in a block of the grid, about, and in a tile product.
@@ -134,8 +134,10 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     near = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("near").alias("near"))
     joined = connected_components(found.where("b is not null").select("a", "b"))
     named = reps.select("key", "low", "copies").join(joined, F.col("key") == F.col("node"), "left").withColumn("c", F.coalesce("component", "key"))
-    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"))
-    named = named.join(lowest, "c").join(near, "key", "left").select("key", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = slim.where("key is not null").join(named, "key").select("vec_id", "n_links", "component_id")
+    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    named = join_spread(named, lowest, "c", "members", n).join(near, "key", "left")
+    named = named.select("key", "component_id", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    total = reps.agg(F.sum("copies")).first()[0] or 0
+    out = join_spread(slim.where("key is not null"), named, "key", "copies", total).select("vec_id", "n_links", "component_id")
     out = out.unionByName(slim.where("key is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("vec_id").isNull() & F.col("component_id").isNull()))

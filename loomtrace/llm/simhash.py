@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomtrace.llm.common import labels_by_link, materialise, session, text_rows, utf8
+from loomtrace.llm.common import join_spread, labels_by_link, materialise, session, text_rows, utf8
 from loomtrace.llm.components import connected_components
 
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -186,10 +186,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id is in it). An empty table gives an empty result; other columns are ignored.
     """
     prints = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     named = materialise(_named(prints, distance).join(low, "fp"), "components")
-    named = named.join(named.groupBy("c").agg(F.min("low").alias("component_id")), "c").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    lowest = named.groupBy("c").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    named = join_spread(named, lowest, "c", "members", named.count()).select("fp", "component_id", "copies")
+    return join_spread(prints, named, "fp", "copies", prints.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, distance: int = 4) -> DataFrame:

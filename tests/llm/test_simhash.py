@@ -146,3 +146,22 @@ def test_smaller_distances(spark, distance):
 def test_distances_that_chains_do_not_cover_are_refused(spark, distance):
     with pytest.raises(ValueError, match="0 to 4"):
         simhash.near_duplicates(spark.createDataFrame([(1, "a")], "doc_id bigint, text string"), distance=distance)
+
+
+@pytest.mark.parametrize("hub,hubs", [(1, 1_000_000), (3, 1_000_000), (1_000, 2)])
+def test_hubs_change_no_result(spark, monkeypatch, hub, hubs):
+    from loomtrace.llm import common
+
+    monkeypatch.setattr(common, "HUB", hub)
+    monkeypatch.setattr(common, "HUBS", hubs)
+    r = random.Random(2)
+    edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(25)] + [(100, i) for i in range(101, 130)]
+    label = {i: i for e in edges for i in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {c["node"]: c["component"] for c in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {i: x for i, x in label.items() if any(i in e and e[0] != e[1] for e in edges)}
+    data = [(i, "same words in all of these") for i in range(30)] + [(40 + i, f"some other words {i}") for i in range(9)]
+    found = simhash.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()
+    assert len(found) == len(data) and {x["component_id"] for x in found if x["doc_id"] < 30} == {0}
