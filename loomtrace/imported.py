@@ -17,6 +17,7 @@ from loomtrace.store import Store
 
 CLASSIFIERS = {"Activity and user": ("concept:name", "org:resource")}
 _STORES: dict[tuple[str, str], tuple[Store, str]] = {}
+_FLAT: dict[tuple[str, str], Store] = {}
 
 
 def _written(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
@@ -35,6 +36,15 @@ def imported(spark: SparkSession, sf_dir: str) -> Store:
     return _written(spark, sf_dir)[0]
 
 
+def flat(spark: SparkSession, sf_dir: str) -> Store:
+    """The same logs, with their parents' attributes on the events."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FLAT:
+        _FLAT[key] = Store(spark, f"{job_folder(spark)}/flat-{uuid.uuid4().hex}")
+        _FLAT[key].import_log(_written(spark, sf_dir)[1], parents=True)
+    return _FLAT[key]
+
+
 _W = "with w as (select *, user_id || '|' || cast(cast(ts as date) as varchar) as tr, 'web-' || (user_id % 4) as lg, cast(json_extract_string(props, '$.k') as bigint) as k from events)"
 _SEQ = _W + ", s as (select tr, min(lg) as lg, string_agg(event_type, ',' order by ts, event_id) as v, count(*) as n, sum(value) as total from w group by tr)"
 _ONE = "8|2024-01-01"
@@ -159,13 +169,21 @@ CUSTOM: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
 }
 
 
+#: Queries of SPECS that also run on the logs whose events hold their parents' attributes.
+FLAT = ("semi_trace", "semi_trace_number", "semi_both", "semi_up", "join_parent", "mixed_or", "group_log", "group_trace", "nested", "classifier", "variants_by_log", "limit", "order_parent")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def spec(name: str) -> Callable[[SparkSession, str], DataFrame]:
         text, names, _ = SPECS[name]
         return lambda spark, sf_dir: tidy(imported(spark, sf_dir).query(text), names)
 
-    return {n: spec(n) for n in SPECS} | {n: _delete(d[0]) for n, d in DELETES.items()} | {n: c[0] for n, c in CUSTOM.items()}
+    def on_flat(name: str) -> Callable[[SparkSession, str], DataFrame]:
+        text, names, _ = SPECS[f"log_{name}"]
+        return lambda spark, sf_dir: tidy(flat(spark, sf_dir).query(text), names)
+
+    return {n: spec(n) for n in SPECS} | {f"flat_{n}": on_flat(n) for n in FLAT} | {n: _delete(d[0]) for n, d in DELETES.items()} | {n: c[0] for n, c in CUSTOM.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: s[2] for n, s in SPECS.items()} | {n: d[1] for n, d in DELETES.items()} | {n: c[1] for n, c in CUSTOM.items()}
+    return {n: s[2] for n, s in SPECS.items()} | {f"flat_{n}": SPECS[f"log_{n}"][2] for n in FLAT} | {n: d[1] for n, d in DELETES.items()} | {n: c[1] for n, c in CUSTOM.items()}

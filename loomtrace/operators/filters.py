@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions.names import standard_name
 from loomtrace.operators.expressions import condition
 from loomtrace.plans.analysis import scopes_of
-from loomtrace.plans.syntax import LEVEL, LOG, TRACE, Attribute, Both, Compare, Literal, walk
+from loomtrace.plans.syntax import EVENT, LEVEL, LOG, TRACE, Attribute, Both, Compare, Literal, walk
 from loomtrace.sources.layouts import IDS, BoundLayout, Frame
 
 
@@ -38,7 +38,7 @@ def filtered(layout, collection: str, where, needed: set[str]) -> Frame:
         deepest = max(used, key=LEVEL.get)
         if LEVEL[deepest] > LEVEL[collection]:
             deeper.append(c)
-        elif len(used) == 1 and deepest != collection and deepest not in needed and "classifier" not in needs(c) and not isinstance(layout, BoundLayout):
+        elif len(used) == 1 and deepest != collection and deepest not in needed and "classifier" not in needs(c) and not (layout.flat and (collection == EVENT or isinstance(layout, BoundLayout))):
             parents[deepest].append(c)
         else:
             own.append(c)

@@ -87,6 +87,8 @@ class Binding:
 class BoundLayout:
     """A binding over a table. Attributes are typed columns, so filters and columns reach the scan."""
 
+    flat = True
+
     def __init__(self, table: DataFrame, binding: Binding):
         self.table, self.binding = table, binding
         self.names = {s: {n.lower(): f"{s}__{i}" for i, n in enumerate(names)} for s, names in binding.attributes.items()}
@@ -131,28 +133,39 @@ ENTRY = "struct<tag:string,s:string,n:double,b:boolean,chain:string>"
 LOGS = f"log_id string, log_seq bigint, source string, import_ts timestamp, extensions array<struct<name:string,prefix:string,uri:string>>, globals array<struct<scope:string,attrs:map<string,{ENTRY}>>>, classifiers array<struct<name:string,keys:array<string>>>, name string, attrs map<string,{ENTRY}>"
 TRACES = f"log_id string, log_seq bigint, trace_id string, trace_seq bigint, name string, attrs map<string,{ENTRY}>"
 EVENTS = f"log_id string, log_seq bigint, trace_id string, trace_seq bigint, event_id string, event_idx bigint, activity string, ts_raw string, resource string, transition string, attrs map<string,{ENTRY}>"
+#: What events have of their traces and logs, where an import copies it there.
+PARENTS = f"trace_concept string, trace_name string, trace_attrs map<string,{ENTRY}>, log_name string, log_attrs map<string,{ENTRY}>, log_source string, log_import timestamp, log_classifiers array<struct<name:string,keys:array<string>>>"
 #: Attributes of events that have columns of their own, which parquet can filter and prune.
 HOT = {"concept:name": "activity", "time:timestamp": "ts_raw", "org:resource": "resource", "lifecycle:transition": "transition"}
 
 
 class LogLayout:
-    """Imported logs: tables of logs, traces and events with attribute maps."""
+    """Imported logs: tables of logs, traces and events with attribute maps.
+
+    flat: events hold their parents' attributes (PARENTS), so queries over events join nothing, and conditions on
+    parents are filters of the scan.
+    """
 
-    def __init__(self, logs: DataFrame, traces: DataFrame, events: DataFrame):
-        self.logs, self.traces, self.events = logs, traces, events
+    def __init__(self, logs: DataFrame, traces: DataFrame, events: DataFrame, flat: bool = False):
+        self.logs, self.traces, self.events, self.flat = logs, traces, events, flat
 
     def frame(self, scope: str, needed: set[str]) -> Frame:
         logs = self.logs.select(F.col("log_id").alias("_log"), F.col("log_seq").alias("_ls"), F.col("name").alias("l_name"), F.col("attrs").alias("l_attrs"), F.col("source").alias("l_source"), F.col("import_ts").alias("l_import"), "classifiers")
         traces = self.traces.select(F.col("log_id").alias("_log"), F.col("log_seq").alias("_ls"), F.col("trace_id").alias("_trace"), F.col("trace_seq").alias("_ts"), F.col("name").alias("t_name"), F.col("attrs").alias("t_attrs"))
+        own = self.flat and scope == EVENT
         if scope == LOG:
             df = logs
         elif scope == TRACE:
             df = traces
         else:
-            df = self.events.select(F.col("log_id").alias("_log"), F.col("log_seq").alias("_ls"), F.col("trace_id").alias("_trace"), F.col("trace_seq").alias("_ts"), F.col("event_id").alias("_event"), F.col("event_idx").alias("_ei"), *HOT.values(), F.col("attrs").alias("e_attrs"))
-            if needed & {TRACE, "classifier"}:
+            copied = {"trace_concept": "t_concept", "trace_name": "t_name", "trace_attrs": "t_attrs", "log_name": "l_name", "log_attrs": "l_attrs", "log_source": "l_source", "log_import": "l_import", "log_classifiers": "classifiers"}
+            df = self.events.select(
+                F.col("log_id").alias("_log"), F.col("log_seq").alias("_ls"), F.col("trace_id").alias("_trace"), F.col("trace_seq").alias("_ts"), F.col("event_id").alias("_event"), F.col("event_idx").alias("_ei"), *HOT.values(), F.col("attrs").alias("e_attrs"),
+                *([F.col(c).alias(n) for c, n in copied.items()] if own else []),
+            )
+            if needed & {TRACE, "classifier"} and not own:
                 df = df.join(traces.drop("_ls", "_ts"), ["_log", "_trace"], "left")
-        if scope != LOG and needed & {LOG, "classifier"}:
+        if scope != LOG and needed & {LOG, "classifier"} and not own:
             df = df.join(logs.drop("_ls"), "_log", "left")
         have = set(df.columns)
 
@@ -164,6 +177,8 @@ class LogLayout:
         def find(s: str, name: str) -> Value | None:
             if s == EVENT and name in HOT:
                 return Value("string", F.col(HOT[name]))
+            if own and s == TRACE and name == "concept:name":
+                return Value("string", F.col("t_concept"))
             if s == LOG and name.lower() in ("source", "importtimestamp"):
                 return Value("string", F.col("l_source")) if name.lower() == "source" else Value("time", F.col("l_import"))
             return entry(f"{s}_attrs", name) if f"{s}_attrs" in have else None

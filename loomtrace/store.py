@@ -24,12 +24,12 @@ from pyspark.sql.types import StructType
 from loomtrace.engine import Engine, to_json
 from loomtrace.plans.syntax import EVENT, LOG, TRACE, Delete, QueryError, parse
 from loomtrace.sources import xes
-from loomtrace.sources.layouts import ENTRY, EVENTS, HOT, IDS, LOGS, TRACES, LogLayout
+from loomtrace.sources.layouts import ENTRY, EVENTS, HOT, IDS, LOGS, PARENTS, TRACES, LogLayout
 from loomtrace.sources.xes_writer import elements, output
 
 TABLES = {"logs": LOGS, "traces": TRACES, "events": EVENTS}
 #: Columns with bloom filters: a lookup by one of their values reads only the row groups that may have it.
-LOOKUPS = {"logs": (), "traces": ("trace_id", "name"), "events": ("trace_id", "event_id", "activity", "resource")}
+LOOKUPS = {"logs": (), "traces": ("trace_id", "name"), "events": ("trace_id", "event_id", "activity", "resource", "trace_concept")}
 _HEADER = f"struct<extensions:array<struct<name:string,prefix:string,uri:string>>,globals:array<struct<scope:string,attrs:map<string,{ENTRY}>>>,classifiers:array<struct<name:string,keys:array<string>>>>"
 
 
@@ -107,16 +107,21 @@ class Store:
         """Write rows as a change's part of a table; the logs that it has rows of."""
         keys = [c for c in ("log_seq", "trace_seq", "event_idx") if c in df.columns]
         out = df.sortWithinPartitions(*keys).write.partitionBy("log_id")
-        for c in LOOKUPS[name]:
+        for c in set(LOOKUPS[name]) & set(df.columns):
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
         folder = f"{self.path}/data/{name}/change={change}"
         out.parquet(folder)
         return {n.removeprefix("log_id=") for f in self._listed(folder) if (n := f.getPath().getName()).startswith("log_id=")}
 
-    def table(self, name: str, state: dict | None = None, logs: set[str] | None = None) -> DataFrame:
-        """A table of the last or another version, of all or some logs."""
+    def _flat(self, state: dict, logs: set[str] | None = None) -> bool:
+        """Whether the events of all these logs hold their parents' attributes."""
+        changes = {e["events"] for x, e in state["logs"].items() if "events" in e and (logs is None or x in logs)}
+        return bool(changes) and all(state["sizes"].get(c, {}).get("flat") for c in changes)
+
+    def table(self, name: str, state: dict | None = None, logs: set[str] | None = None, parents: bool = False) -> DataFrame:
+        """A table of the last or another version, of all or some logs; events also with their parents' attributes."""
         state = state or self._state()
-        schema = StructType.fromDDL(TABLES[name])
+        schema = StructType.fromDDL(TABLES[name] + (f", {PARENTS}" if parents else ""))
         by: dict[str, list[str]] = {}
         for log, entry in state["logs"].items():
             if name in entry and (logs is None or log in logs):
@@ -131,7 +136,8 @@ class Store:
 
     def layout(self, state: dict | None = None) -> LogLayout:
         state = state or self._state()
-        return LogLayout(*(self.table(t, state) for t in TABLES))
+        flat = self._flat(state)
+        return LogLayout(self.table("logs", state), self.table("traces", state), self.table("events", state, parents=flat), flat)
 
     def vacuum(self, hours: float = 24) -> int:
         """Delete folders that the last version doesn't name, and past versions, if older than that; how many. Readers
@@ -152,8 +158,12 @@ class Store:
 
     # --- import ---
 
-    def import_log(self, path: str) -> list[str]:
-        """Add the logs of a file or folder; their ids, in order. Unknown file types are an error."""
+    def import_log(self, path: str, parents: bool = False) -> list[str]:
+        """Add the logs of a file or folder; their ids, in order. Unknown file types are an error.
+
+        parents: copy the attributes of traces and logs to their events. Where all logs of a store have that, queries
+        over events join nothing, and conditions on parents prune the events at the scan.
+        """
         started, read = time.time_ns(), self._state()
         staged = self._staged(self.spark.read.format("xes").load(path))  # ids are made while reading, so it is read once
         raw = self.spark.read.parquet(staged)
@@ -171,9 +181,13 @@ class Store:
         events = raw.where("level = 'event'").join(seq, "log_id").select(
             "log_id", "log_seq", "trace_id", "trace_seq", "event_id", "event_idx", *[_shown("attrs", k).alias(c) for k, c in HOT.items()], "attrs"
         )
+        if parents:
+            of_trace = traces.select("trace_id", _shown("attrs", "concept:name").alias("trace_concept"), F.col("name").alias("trace_name"), F.col("attrs").alias("trace_attrs"))
+            of_log = logs.select("log_id", F.col("name").alias("log_name"), F.col("attrs").alias("log_attrs"), F.col("source").alias("log_source"), F.col("import_ts").alias("log_import"), F.col("classifiers").alias("log_classifiers"))
+            events = events.join(of_trace, "trace_id", "left").join(of_log, "log_id", "left")
         change = uuid.uuid4().hex
         held = {t: self._write(t, df, change) for t, df in {"logs": logs, "traces": traces, "events": events}.items()}
-        self._commit(read, {x: {t: change for t in TABLES if x in held[t]} for x, _ in order}, change, {t: len(x) for t, x in held.items()})
+        self._commit(read, {x: {t: change for t in TABLES if x in held[t]} for x, _ in order}, change, {t: len(x) for t, x in held.items()} | {"flat": int(parents)})
         self._drop(staged)
         return [x for x, _ in order]
 
@@ -210,14 +224,15 @@ class Store:
         gone = self.spark.read.parquet(staged)
         logs = {r[0] for r in gone.select("log_id").distinct().collect()}  # a row for each log
         hit = {LOG: ("logs", "traces", "events"), TRACE: ("traces", "events"), EVENT: ("events",)}[scope]
-        frames = {t: self.table(t, read, logs) for t in hit}
+        flat = self._flat(read, logs)
+        frames = {t: self.table(t, read, logs, flat and t == "events") for t in hit}
         deleted = sum(df.join(gone, ["log_id", key] if key != "log_id" else key, "left_semi").count() for df in frames.values())
         if deleted:
             change, held = uuid.uuid4().hex, {}
             if scope != LOG:
                 held = {t: self._write(t, df.join(gone, ["log_id", key], "left_anti").select(*df.columns), change) for t, df in frames.items()}
             entries = {x: None if scope == LOG else {t: c for t, c in read["logs"][x].items() if t not in hit} | {t: change for t in hit if x in held[t]} for x in logs}
-            self._commit(read, entries, change, {t: len(x) for t, x in held.items()})
+            self._commit(read, entries, change, {t: len(x) for t, x in held.items()} | {"flat": int(flat)})
         self._drop(staged)
         return {"deleted": deleted, "status": "success"} if deleted else {"deleted": 0}
 

@@ -254,6 +254,22 @@ def test_formats_cascades_and_files(spark, tmp_path):
     assert s.table("logs").count() == 0
 
 
+def test_parents_on_events(spark, tmp_path):
+    """Imports that copy parents' attributes to events: the same rows without a join, predicates that reach the scan."""
+    (tmp_path / "lab.xes").write_text(xes())
+    s = Store(spark, str(tmp_path / "store"))
+    s.import_log(str(tmp_path / "lab.xes"), parents=True)
+    plan = lambda q: s.query(q)._jdf.queryExecution().executedPlan().toString()
+    for text in ("select e:name, t:name where t:name = 'S-05'", "select e:name where t:site = 'North' and e:resource != 'Mira'", "select e:name where l:name = 'Laboratory' and t:name like 'S-0%' and [e:mass] < 8"):
+        assert ordered(tuple(r) for r in s.query(text).collect()) == ordered(CASES[text])
+        assert "Join" not in plan(text)
+    assert "EqualTo(trace_concept,S-05)" in plan("select e:name where t:name = 'S-05'")
+    assert s.delete("delete event where t:name = 'S-04' and e:name = 'Weigh'")["deleted"] == 1
+    assert s.query("select e:name where t:name = 'S-04'").count() == 3 and "Join" not in plan("select e:name where t:name = 'S-04'")
+    s.import_log(str(tmp_path / "lab.xes"))  # not all logs have them now: queries join again
+    assert s.query("select e:name where t:name = 'S-04'").count() == 3 + 4 and "Join" in plan("select e:name where t:name = 'S-04'")
+
+
 def test_two_writers(spark, tmp_path, monkeypatch):
     for name in ("A", "B", "C"):
         (tmp_path / f"{name}.xes").write_text(xes(name))
