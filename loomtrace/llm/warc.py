@@ -161,6 +161,14 @@ class _Plain:
         return self.end
 
 
+def _head_end(data: bytearray) -> int:
+    """Where the blank line after a record's headers starts, or -1; line ends before the record don't count."""
+    start = 0
+    while start < len(data) and data[start] in b"\r\n":
+        start += 1
+    return data.find(b"\r\n\r\n", start)
+
+
 def read_archive(file, size: int, wanted, with_payload: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(header fields, payload or None) of the records whose fields satisfy `wanted`. A gzip member may hold any number of records."""
     at = 0
@@ -169,8 +177,8 @@ def read_archive(file, size: int, wanted, with_payload: bool) -> Iterator[tuple[
         member = kind(file, at, size)
         more = True
         while more:
-            member.until(lambda d: b"\r\n\r\n" in d)
-            cut = member.data.find(b"\r\n\r\n")
+            member.until(lambda d: _head_end(d) >= 0)
+            cut = _head_end(member.data)
             if cut < 0:
                 if member.data.strip():
                     raise ValueError(f"record without end of headers in the member at byte {at}")

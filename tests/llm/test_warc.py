@@ -77,11 +77,11 @@ def record(kind, body):
     return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://x\r\n  /more\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
-@pytest.mark.parametrize("form", ["plain", "gz", "one member", "two members", "long extra field"])
+@pytest.mark.parametrize("form", ["plain", "gz", "one member", "two members", "long extra field", "more line ends"])
 def test_archives_of_others(spark, tmp_path, form):
     parts = [record(b"warcinfo", b"a: b\r\n\r\n"), record(b"response", b"y" * 2_000_000), record(b"request", b""), record(b"response", bytes(range(256)) * 9), record(b"metadata", b"\r\n\r\n")]
-    if form == "plain":
-        (tmp_path / "a.warc").write_bytes(b"".join(parts))
+    if form in ("plain", "more line ends"):
+        (tmp_path / "a.warc").write_bytes((b"\r\n\r\n\r\n" if form == "more line ends" else b"").join(parts))
     else:
         made = {"gz": [*map(gzip.compress, parts)], "one member": [gzip.compress(b"".join(parts))], "two members": [gzip.compress(b"".join(parts[:2])), gzip.compress(b"".join(parts[2:]))]}
         field = [x[:3] + b"\x04" + x[4:10] + b"\xd0\x07" + b"zz\xcc\x07" + b"\0" * 1996 + x[10:] for x in made["gz"]]
