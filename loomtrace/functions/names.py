@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-#: Prefix of the standard name -> its short forms; a short form in lower case stands for prefix:name.
-STANDARD = {
-    "identity": "id",
-    "concept": "name instance",
-    "time": "timestamp",
-    "org": "resource role group",
-    "lifecycle": "transition state model",
-    "cost": "total currency amount driver type drivers",
-    "semantic": "modelReference",
-    "artifactlifecycle": "moves",
-    "micro": "level parentId length",
-    "swcomm": "localHost localPort remoteHost remotePort",
-    "swevent": "hasData hasException returnValue appName threadId nanotime exThrown exCaught",
-    "swtelemetry": "cpuTotalUser cpuLoadUser memoryUsed memoryTotal",
-    "meta_general": "traces_total events_total events_average",
-    "meta_time": "log_duration duration_average",
-    "xes": "version features",
+#: The attributes of the public XES extensions, by prefix. In lower case, NAME stands for PREFIX:NAME.
+STANDARD: dict[str, tuple[str, ...]] = {
+    "identity": ("id",),
+    "concept": ("name", "instance"),
+    "time": ("timestamp",),
+    "org": ("resource", "role", "group"),
+    "lifecycle": ("transition", "state", "model"),
+    "cost": ("total", "currency", "amount", "driver", "type", "drivers"),
+    "semantic": ("modelReference",),
+    "artifactlifecycle": ("moves",),
+    "micro": ("level", "parentId", "length"),
+    "swcomm": ("localHost", "localPort", "remoteHost", "remotePort"),
+    "swevent": ("hasData", "hasException", "returnValue", "appName", "threadId", "nanotime", "exThrown", "exCaught"),
+    "swtelemetry": ("cpuTotalUser", "cpuLoadUser", "memoryUsed", "memoryTotal"),
+    "meta_general": ("traces_total", "events_total", "events_average"),
+    "meta_time": ("log_duration", "duration_average"),
+    "xes": ("version", "features"),
 }
-ALIASES = {short.lower(): f"{prefix}:{short}" for prefix, names in STANDARD.items() for short in names.split()}
+ALIASES = {name.lower(): f"{prefix}:{name}" for prefix, names in STANDARD.items() for name in names}
 #: Implicit classifiers: parts are joined by +.
 CLASSIFIERS = {"event name": ("concept:name", "lifecycle:transition"), "resource": ("org:resource",)}
 

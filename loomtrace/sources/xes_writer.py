@@ -14,7 +14,6 @@ from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtrace.plans.syntax import EVENT, LOG, TRACE

@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Callable
 from xml.sax.saxutils import quoteattr
 
 from py4j.protocol import Py4JJavaError

@@ -7,10 +7,10 @@ import pytest
 
 from loomtrace.store import Store
 
-ACTIVITIES = ["invite", "get 1", "get 2", "collect", "decide", "accept", "reject"]
+ACTIVITIES = ["book", "load", "sail", "call at port", "repair", "unload", "pay off"]
 
 
-def journal(seed, traces=101):
+def voyages(seed, traces=120):
     r = random.Random(seed)
     base = [[r.choice(ACTIVITIES) for _ in range(r.randint(1, 12))] for _ in range(30)]
     out = []
@@ -18,7 +18,7 @@ def journal(seed, traces=101):
         steps = list(r.choice(base))
         if r.random() < 0.4:
             r.shuffle(steps)
-        out.append((f"T{t}", [(a, f"20{r.randint(10, 20)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T0{r.randint(0, 9)}:00:00.000+00:00", round(r.random() * 0.08 + 1, 4) if r.random() < 0.9 else None, r.choice(["Ann", "Bob", "__INVALID__"])) for a in steps]))
+        out.append((f"V{t}", [(a, f"20{r.randint(10, 20)}-0{r.randint(1, 9)}-1{r.randint(0, 9)}T0{r.randint(0, 9)}:00:00.000+00:00", round(r.random() * 900, 2) if r.random() < 0.9 else None, r.choice(["Fleet N", "Fleet S", "charter"])) for a in steps]))
     return out
 
 
@@ -35,8 +35,8 @@ def as_xes(name, log):
 
 @pytest.fixture(scope="module")
 def logs(spark, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("journal")
-    data = {"A": journal(1), "B": journal(2, 40)}
+    folder = tmp_path_factory.mktemp("voyages")
+    data = {"A": voyages(1), "B": voyages(2, 40)}
     (folder / "in").mkdir()
     for name, log in data.items():
         (folder / "in" / f"{name}.xes").write_text(as_xes(name, log))
@@ -51,7 +51,7 @@ def rows(store, text):
 
 def test_counts(logs):
     store, data = logs
-    assert rows(store, "select count(l:name), count(t:name), count(e:name) where l:name = 'A'")[0][:3] == (1, 101, sum(len(e) for _, e in data["A"]))
+    assert rows(store, "select count(l:name), count(t:name), count(e:name) where l:name = 'A'")[0][:3] == (1, 120, sum(len(e) for _, e in data["A"]))
     assert sum(r[-1] for r in rows(store, "select e:name, count(e:name) group by e:name")) == sum(len(e) for log in data.values() for _, e in log)
     assert {r[0]: r[1] for r in rows(store, "select t:name, count(e:name) where l:name = 'B' group by t:name")} == {t: len(e) for t, e in data["B"]}
 
@@ -60,7 +60,7 @@ def test_counts(logs):
 def test_variants(logs, text, key):
     store, data = logs
     got = {tuple(r[0]): r[-1] for r in rows(store, f"select count(t:name) where l:name = 'A' {text}")}
-    assert got == Counter(key(e) for _, e in data["A"]) and sum(got.values()) == 101
+    assert got == Counter(key(e) for _, e in data["A"]) and sum(got.values()) == 120
 
 
 def test_variants_of_two_logs_never_mix(logs):
@@ -94,7 +94,7 @@ def scan(data, order, limit, offset):
     return out
 
 
-@pytest.mark.parametrize("clause,limit,offset", [("limit l:1, t:4, e:3", {"l": 1, "t": 4, "e": 3}, {}), ("limit t:3 offset t:2, e:1", {"t": 3}, {"t": 2, "e": 1}), ("limit e:1 offset l:1", {"e": 1}, {"l": 1}), ("offset t:95", {}, {"t": 95})])
+@pytest.mark.parametrize("clause,limit,offset", [("limit l:1, t:4, e:3", {"l": 1, "t": 4, "e": 3}, {}), ("limit t:3 offset t:2, e:1", {"t": 3}, {"t": 2, "e": 1}), ("limit e:1 offset l:1", {"e": 1}, {"l": 1}), ("offset t:112", {}, {"t": 112})])
 @pytest.mark.parametrize("order,key", [("", lambda x: x[-1]), ("order by e:total desc", lambda x: (x[5] is None, -(x[5] or 0), x[-1])), ("order by e:resource, e:timestamp", lambda x: (x[6], x[4], x[-1]))])
 def test_scoped_limits(logs, clause, limit, offset, order, key):
     store, data = logs
@@ -109,4 +109,4 @@ def test_weighted_parent_aggregates_and_expressions(logs):
     got = rows(store, "select avg(t:size), max(t:size) - min(t:size), count(t:size), round(avg(t:size) * 10), count(e:name)")[0]
     mean = sum(sizes) / len(sizes)
     assert abs(got[0] - mean) < 1e-9 and got[1] == max(sizes) - min(sizes) and got[2] == len(set(sizes)) and got[3] == int(mean * 10 + 0.5)
-    assert abs(rows(store, "select avg(t:size)")[0][0] - sum(len(e) for log in data.values() for _, e in log) / 141) < 1e-9
+    assert abs(rows(store, "select avg(t:size)")[0][0] - sum(len(e) for log in data.values() for _, e in log) / 160) < 1e-9
