@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtrace.sources.shared import job_folder
 from loomtrace.workers import reach_workers
 
 #: Bytes of text in one Arrow batch; bounds a Python worker's memory when long documents meet.
@@ -34,24 +34,8 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir). A temporary folder of our own only where it is unset and all runs on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="loomtrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def job_dir(spark: SparkSession) -> str:
-    """The folder of this application's intermediate tables; others that share the parent have their own."""
-    return f"{shared_dir(spark)}/loomtrace/{spark.sparkContext.applicationId}"
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{job_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{job_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -73,7 +57,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def clean(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application, and of no other; results that still read them are lost."""
-    delete(spark, job_dir(spark))
+    delete(spark, job_folder(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,45 +1,19 @@
 import os
 
-import pytest
-
 from loomtrace.llm import common
 
 
-class Conf(dict):
-    def get(self, key, default=None):
-        return dict.get(self, key, default)
-
-    def set(self, key, value):
-        self[key] = value
-
-
-class Cluster:
-    """As much of a session as finding the shared folder takes."""
-
-    def __init__(self, master, folder=None):
-        self.conf, self.master, self.applicationId = Conf(), master, "app-1"
-        self.sparkContext, self.folder = self, folder
-        self.getConf = lambda: Conf({"spark.checkpoint.dir": folder} if folder else {})
-        self.getCheckpointDir = lambda: None
-
-
-def test_the_shared_folder():
-    assert common.job_dir(Cluster("spark://a:7077", "hdfs://b/c/")) == "hdfs://b/c/loomtrace/app-1"
-    with pytest.raises(ValueError, match="share"):
-        common.shared_dir(Cluster("spark://a:7077"))
-    assert common.shared_dir(Cluster("local[2]")).startswith("file://")
-
-
 def test_only_own_tables_are_deleted(spark):
     got, path = common.materialised(spark.range(5), "numbers")
     assert got.count() == 5
     local = path.removeprefix("file://")
-    other = os.path.join(os.path.dirname(os.path.dirname(local)), "another-job", "table")
+    other = os.path.join(os.path.dirname(os.path.dirname(local)), f"another-job-{os.getpid()}")
     os.makedirs(other)
     common.delete(spark, path)
     assert not os.path.exists(local)
     common.clean(spark)
     assert os.path.isdir(other) and not os.path.exists(os.path.dirname(local))
+    os.rmdir(other)
 
 
 def test_lower_bounds_of_the_session_stay(spark):
