@@ -20,7 +20,7 @@ def job_folder(spark: SparkSession) -> str:
 
 def qualified(spark: SparkSession, path: str) -> str:
     """A folder as a URI that readers in Python and Spark's own take for the same place: a bare path is of Spark's default file system."""
-    if "://" not in path:
+    if ":" not in path.partition("/")[0]:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         path = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
     if path.startswith("file:/") and not path.startswith("file://"):
