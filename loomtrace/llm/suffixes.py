@@ -34,6 +34,8 @@ from loomtrace.llm.common import blocks, materialise, session, utf8
 GRAM = 32
 #: Bytes of text that are cut into runs at a time, and that one suffix array covers (a larger group has its own).
 BLOCK = 1 << 20
+#: A place in such a block, with one window more, takes so many bits. Anchors are the least of the hashes' other bits.
+PLACE_BITS = 21
 CHUNK = 1 << 18
 #: Runs that a task counts at a time, and rows of a batch that it sends.
 COUNTED = 1 << 20
@@ -247,7 +249,7 @@ def _runs(buffer: np.ndarray, starts: np.ndarray, sizes: np.ndarray, length: int
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     h = _gram_hashes(_word_keys(buffer, 0))[: len(buffer) - GRAM + 1]
     n = len(buffer) - length + 1
-    shift = np.uint64(int(len(buffer)).bit_length())
+    shift = np.uint64(PLACE_BITS)
     low = (h >> shift << shift) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the leftmost is smallest
     width, span = length - GRAM + 1, 1
     while span * 2 <= width:
@@ -307,17 +309,20 @@ def _cut_runs(length: int):
         for table in blocks(batches, BLOCK, "text"):
             texts = utf8(table.column("text").combine_chunks())
             doc, tie = table.column("doc").to_numpy(), table.column("tie").to_numpy()
+            # a longer text comes in pieces that share no window; that only cuts a run in two
+            pieces = [(i, at, t[at : at + BLOCK + length - 1] if len(t) > BLOCK else t) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), BLOCK)]
             at = 0
-            while at < len(texts):
+            while at < len(pieces):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= BLOCK):
-                    size += len(texts[to])
+                while to < len(pieces) and (to == at or size + len(pieces[to][2]) <= BLOCK):
+                    size += len(pieces[to][2])
                     to += 1
-                sizes = np.array([len(t) for t in texts[at:to]])
-                buffer = np.frombuffer(b"".join(texts[at:to]), np.uint8)
+                which, offset = (np.array([p[k] for p in pieces[at:to]]) for k in (0, 1))
+                sizes = np.array([len(p[2]) for p in pieces[at:to]])
+                buffer = np.frombuffer(b"".join(p[2] for p in pieces[at:to]), np.uint8)
                 owner, start, count, key = _runs(buffer, np.cumsum(sizes) - sizes, sizes, length)
                 if len(owner):
-                    held.append((doc[at:to][owner], tie[at:to][owner], start * PLACE + count, key))
+                    held.append((doc[which[owner]], tie[which[owner]], (start + offset[owner]) * PLACE + count, key))
                     total += len(owner)
                 at = to
                 if total >= COUNTED:
@@ -514,11 +519,14 @@ def deduplicate(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NULL))
     rest = [F.struct(*carry).alias("rest")] if carry else []
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = F.xxhash64(text)
-    tie = F.when(F.col(id_col).isNull(), hashed.bitwiseOR(F.lit(_NULL))).otherwise(hashed.bitwiseAND(F.lit(~_NULL)))
+    text, nobody = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).isNull()
+    twice = docs.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    tie = F.when(nobody, F.lit(-1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    if twice:  # ids alone don't tell rows apart
+        hashed = F.xxhash64(text)
+        tie = F.when(nobody, hashed.bitwiseOR(F.lit(_NULL))).otherwise(hashed.bitwiseAND(F.lit(~_NULL)))
     rows = docs.select(doc.alias("doc"), tie.alias("tie"), text.alias("text"), *rest)
-    twice = rows.groupBy("doc", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    twice = twice and rows.groupBy("doc", "tie").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     rows = rows.withColumn("again", F.row_number().over(W.partitionBy("doc", "tie").orderBy("doc")) > 1 if twice else F.lit(False))
     once = rows.where("not again").select("doc", "tie", "text")
 
