@@ -109,7 +109,7 @@ def labels_by_link(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 #: A key of more rows than both HUB and a HUBS-th of all is a hub: so there are fewer than HUBS of them at any size.
-HUB, HUBS = 1_000, 100_000
+HUB, HUBS = 200, 100_000
 
 
 def join_spread(rows: DataFrame, values: DataFrame, key: str, size: str, total: int) -> DataFrame:
