@@ -16,24 +16,28 @@ from loomtrace.sources.xes_writer import write_logs
 from loomtrace.store import Store
 
 CLASSIFIERS = {"Activity and user": ("concept:name", "org:resource")}
-_STORES: dict[tuple[str, str], tuple[Store, str]] = {}
+_FILES: dict[tuple[str, str], str] = {}
+_STORES: dict[tuple[str, str], Store] = {}
 _FLAT: dict[tuple[str, str], Store] = {}
 
 
-def _written(spark: SparkSession, sf_dir: str) -> tuple[Store, str]:
-    """A store with the events as four logs, and the folder of their files; made once for an application."""
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of files with the events as four logs; made once for an application, as are the stores of them."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORES:
-        root = f"{job_folder(spark)}/logs-{uuid.uuid4().hex}"
-        write_logs(bound(spark, sf_dir, "shards"), f"{root}/files", {"k": ("container", "props")}, CLASSIFIERS, ("xes", "xes.gz", "xes.zip"))
-        store = Store(spark, f"{root}/store")
-        store.import_log(f"{root}/files")
-        _STORES[key] = store, f"{root}/files"
-    return _STORES[key]
+    if key not in _FILES:
+        folder = f"{job_folder(spark)}/logs-{uuid.uuid4().hex}/files"
+        write_logs(bound(spark, sf_dir, "shards"), folder, {"k": ("container", "props")}, CLASSIFIERS, ("xes", "xes.gz", "xes.zip"))
+        _FILES[key] = folder
+    return _FILES[key]
 
 
 def imported(spark: SparkSession, sf_dir: str) -> Store:
-    return _written(spark, sf_dir)[0]
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = Store(spark, f"{job_folder(spark)}/store-{uuid.uuid4().hex}")
+        store.import_log(_written(spark, sf_dir))
+        _STORES[key] = store
+    return _STORES[key]
 
 
 def flat(spark: SparkSession, sf_dir: str) -> Store:
@@ -41,7 +45,7 @@ def flat(spark: SparkSession, sf_dir: str) -> Store:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FLAT:
         _FLAT[key] = Store(spark, f"{job_folder(spark)}/flat-{uuid.uuid4().hex}")
-        _FLAT[key].import_log(_written(spark, sf_dir)[1], parents=True)
+        _FLAT[key].import_log(_written(spark, sf_dir), parents=True)
     return _FLAT[key]
 
 
@@ -130,7 +134,7 @@ def _left(store: Store, told: dict) -> DataFrame:
 
 def _delete(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        _, files = _written(spark, sf_dir)
+        files = _written(spark, sf_dir)
         store = Store(spark, f"{job_folder(spark)}/deletes-{uuid.uuid4().hex}")
         store.import_log(files)
         return _left(store, store.delete(text))

@@ -2,14 +2,22 @@
 
 A partition is one log: a file or a zip entry. Its rows are one `log` row, then `trace` rows each followed by its
 `event` rows, in document order. The XML is pulled element by element and never held whole.
+
+An import reads logs in pieces instead, as a log may be of any size: with the option `pieces`, a task for each log only
+finds where its traces end (for zipped logs it also writes the unzipped bytes, at that folder), and `parsed` reads the
+pieces by as many tasks as they fill. A piece is a run of whole elements below the root, of PIECE bytes or one trace.
 """
 
 from __future__ import annotations
 
+import gc
 import gzip
 import io
+import hashlib
 import json
+import re
 import uuid
+import zlib
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -17,7 +25,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -34,6 +42,10 @@ _ROW = pa.schema([
     ("level", pa.string()), ("source", pa.string()), ("log_id", pa.string()), ("trace_id", pa.string()), ("event_id", pa.string()),
     ("trace_seq", pa.int64()), ("event_idx", pa.int64()), ("header", pa.string()), ("attrs", pa.map_(pa.string(), _ENTRY)),
 ])
+_PIECES = pa.schema([
+    ("source", pa.string()), ("log_id", pa.string()), ("piece", pa.int64()), ("path", pa.string()), ("member", pa.string()), ("start", pa.int64()),
+    ("length", pa.int64()), ("zipped", pa.bool_()), ("prefix", pa.binary()), ("suffix", pa.binary()),
+])
 BATCH = 2000
 
 
@@ -105,9 +117,9 @@ def classifier_keys(text: str) -> list[str]:
     return [*out, held] if held else out
 
 
-def rows_of(stream, source: str) -> Iterator[dict]:
+def rows_of(stream, source: str, log_id: str | None = None) -> Iterator[dict]:
     """The rows of one log."""
-    log_id = f"log_{uuid.uuid4()}"
+    log_id = log_id or f"log_{uuid.uuid4()}"
     header: dict = {"extensions": [], "globals": [], "classifiers": []}
     attrs: dict[str, dict] = {}
     base = {"source": source, "log_id": log_id, "trace_id": None, "event_id": None, "trace_seq": None, "event_idx": None, "header": None}
@@ -160,6 +172,206 @@ def rows_of(stream, source: str) -> Iterator[dict]:
         yield head()
 
 
+PIECE = 4_000_000
+PIECES = "source string, log_id string, piece bigint, path string, member string, start bigint, length bigint, zipped boolean, prefix binary, suffix binary"
+PARSED = SCHEMA.replace("level string, ", "") + f", trace_attrs map<string,{ENTRY}>, level string"
+#: The root's tag without a prefix, and where the first trace or event can't be yet.
+_ROOT = re.compile(rb"""\s*(?:<\?(?:.(?!\?>))*.\?>\s*|<!--.*?-->\s*)*<([^\s<>/:!?]+)((?:\s(?:[^"'<>]|"[^"<]*"|'[^'<]*')*)?)>""", re.DOTALL)
+_ENCODING = re.compile(rb"""^(?:\xef\xbb\xbf)?<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._-]+)["']""")
+_MARKS = re.compile(rb"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!--|<!\[CDATA\[|<\?|<trace(?:\s[^<>]*)?>|</trace\s*>", re.DOTALL)
+_OPENED = re.compile(rb"<trace(?:\s[^<>]*)?(?<!/)>")
+_CLOSED = re.compile(rb"</trace\s*>")
+
+
+def last_end(text: bytes) -> int:
+    """Where the last trace ends before which all are closed; 0 if none does. Comments, CDATA and instructions don't count."""
+    if b"<!" not in text and b"<?" not in text:
+        at = max(text.rfind(b"</trace>"), 0)
+        end = at + 8 if at else 0
+        if end and len(_OPENED.findall(text, 0, end)) == len(_CLOSED.findall(text, 0, end)):
+            return end
+    depth = end = 0
+    for m in _MARKS.finditer(text):
+        mark = m.group()
+        if mark in (b"<!--", b"<![CDATA[", b"<?"):  # not closed in this text
+            break
+        if mark.startswith(b"</"):
+            depth -= 1
+            end = m.end() if depth == 0 else end
+        elif mark.startswith(b"<trace") and not mark.endswith(b"/>"):
+            depth += 1
+    return end
+
+
+def cut(stream, size: int = PIECE) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """A log as (start, text, prefix, suffix): texts that are whole documents between prefix and suffix.
+
+    A log whose root has a prefix, that has a document type or is in an encoding of more bytes a character than one,
+    other than UTF-8, comes as (0, its first bytes, b"", None): it is to be read whole, as a stream.
+    """
+    held = stream.read(size)
+    while 0 < len(held) < size and (more := stream.read(size - len(held))):
+        held += more
+    named = _ENCODING.match(held)
+    encoding = named.group(1).lower() if named else b"utf-8"
+    root = _ROOT.match(held.removeprefix(b"\xef\xbb\xbf"))
+    if not root or root.group(2).endswith(b"/") or encoding.startswith((b"utf-16", b"utf16", b"utf-32", b"ucs", b"iso-10646")) or b"<!DOCTYPE" in held[: len(root.group()) + 3]:
+        yield 0, held, b"", None
+        return
+    opening = b'<?xml version="1.0" encoding="' + encoding + b'"?><' + root.group(1) + root.group(2) + b">"
+    start, prefix, asked = 0, b"", size
+    while True:
+        more = stream.read(asked)
+        if not more:
+            yield start, held, prefix, b""
+            return
+        held += more
+        end = last_end(held)
+        if end:
+            yield start, held[:end], prefix, b"</" + root.group(1) + b">"
+            start, held, prefix, asked = start + end, held[end:], opening, size
+        else:
+            asked = len(held)  # a long trace is looked at again each time that it has doubled
+
+
+def _id(*of) -> str:
+    h = hashlib.md5(repr(of).encode(), usedforsecurity=False).hexdigest()
+    return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
+
+
+class _Maps:
+    """Attribute maps, held as columns: what flatten() gives, with the steps of names seen before looked up."""
+
+    def __init__(self):
+        self.ends, self.keys, self.entries = [0], [], []
+        self.steps: dict[tuple, tuple] = {}
+
+    def add(self, elements) -> None:
+        own: dict[str, tuple] = {}
+        for a in elements:
+            self._put(own, a, "", "")
+        self.keys += own
+        self.entries += own.values()
+        self.ends.append(len(self.keys))
+
+    def _put(self, own: dict[str, tuple], a: ET.Element, prefix: str, chain: str) -> None:
+        name, key = a.tag, a.get("key")
+        step = self.steps.get((prefix, chain, name, key))
+        if step is None:
+            tag = local_name(name)
+            known = tag in TYPES and key is not None
+            step = self.steps[prefix, chain, name, key] = (tag, prefix + key, (f"{chain}|" if chain else "") + f"{tag}[{key}]") if known else ()
+        if not step:
+            return
+        tag, key, chain = step
+        if tag not in ("list", "container"):
+            own.pop(key, None)
+            text = a.get("value")
+            own[key] = (tag, text, None, None, chain) if tag in ("string", "date") else tuple(entry(tag, text, chain).values())
+        for child in a:
+            if local_name(child.tag) == "values":
+                for inner in child:
+                    self._put(own, inner, key + ":", chain)
+            else:
+                self._put(own, child, key + ":", chain)
+
+    def array(self) -> pa.MapArray:
+        columns = list(zip(*self.entries)) or [()] * 5
+        structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ENTRY)], fields=list(_ENTRY))
+        return pa.MapArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.keys, pa.string()), structs)
+
+
+_PARSED = pa.schema([*list(_ROW)[1:], ("trace_attrs", pa.map_(pa.string(), _ENTRY)), ("level", pa.string())])
+
+
+def piece_rows(text: bytes, source: str, log_id: str, piece: int, parents: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of a piece: those of rows_of with its attributes of the log in the first one. Ids follow from the log's id,
+    so that a task that runs again makes the same; traces are numbered from a number of their piece."""
+    root = ET.fromstring(text)
+    if piece == 0:
+        log = next(rows_of(io.BytesIO(text), source, log_id))
+        yield pa.RecordBatch.from_pylist([log | {"attrs": list(log["attrs"].items()), "trace_attrs": None}], schema=_PARSED)
+    traces, events = _Maps(), _Maps()
+    trace_ids, seqs, owner, places = [], [], [], []
+    for t in root:
+        if local_name(t.tag) != "trace":
+            continue
+        own, inside = [], []
+        for a in t:
+            (inside if local_name(a.tag) == "event" else own).append(a)
+        traces.add(own)
+        at = len(seqs)
+        seqs.append((piece << 32) + at)
+        trace_ids.append(f"{log_id}_{_id(log_id, piece, at)}")
+        for i, e in enumerate(inside):
+            events.add(e)
+            owner.append(at)
+            places.append(i)
+    maps = traces.array()
+
+    def batch(level: str, n: int, columns: dict) -> pa.RecordBatch:
+        same = {"source": source, "log_id": log_id, "level": level}
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.repeat(pa.scalar(same[f.name], f.type), n) if f.name in same else pa.nulls(n, f.type) for f in _PARSED], schema=_PARSED)
+
+    ids, numbers = pa.array(trace_ids, pa.string()), pa.array(seqs, pa.int64())
+    yield batch("trace", len(seqs), {"trace_id": ids, "trace_seq": numbers, "attrs": maps})
+    entries = events.array()
+    for start in range(0, len(owner), BATCH):
+        own, i = pa.array(owner[start : start + BATCH], pa.int64()), pa.array(places[start : start + BATCH], pa.int64())
+        names = [f"{trace_ids[o]}_{_id(trace_ids[o], p)}" for o, p in zip(owner[start : start + BATCH], places[start : start + BATCH])]
+        columns = {"trace_id": ids.take(own), "trace_seq": numbers.take(own), "event_id": pa.array(names, pa.string()), "event_idx": i, "attrs": entries.slice(start, BATCH)}
+        yield batch("event", len(own), columns | ({"trace_attrs": maps.take(own)} if parents else {}))
+
+
+def _streamed(path: str, member: str | None, raw):
+    if member:
+        return io.BufferedReader(zipfile.ZipFile(raw).open(member))
+    return gzip.GzipFile(fileobj=raw) if file_type(path) == "gz" else raw
+
+
+def whole_rows(path: str, member: str | None, source: str, log_id: str, parents: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of a log that can't be cut, as a stream."""
+    with _open(path) as raw:
+        held, above = [], None
+        for row in rows_of(_streamed(path, member, raw), source, log_id):
+            row["attrs"] = list(row["attrs"].items())
+            above = row["attrs"] if row["level"] == "trace" else above
+            held.append(row | {"trace_attrs": above if parents and row["level"] == "event" else None})
+            if len(held) >= BATCH:
+                yield pa.RecordBatch.from_pylist(held, schema=_PARSED)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=_PARSED)
+
+
+def parsed(spark: SparkSession, pieces: list, parents: bool) -> DataFrame:
+    """The rows of pieces, of which each task has at most eight. parents: events hold the attributes of their traces."""
+    n = max(1, min(len(pieces), 2 * spark.sparkContext.defaultParallelism), -(-len(pieces) // 8))
+    found = sorted((tuple(p) for p in pieces), key=lambda p: (p[1], p[2]))
+    where = spark.createDataFrame(spark.sparkContext.parallelize(found, n), PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # trees of elements hold no cycles, and looking for some takes half of the time
+        try:
+            yield from read(batches)
+        finally:
+            gc.enable()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p in b.to_pylist():
+                if p["suffix"] is None:
+                    yield from whole_rows(p["path"], p["member"], p["source"], p["log_id"], parents)
+                    continue
+                with _open(p["path"]) as f:
+                    f.seek(p["start"])
+                    text = f.read(p["length"])
+                text = zlib.decompress(text) if p["zipped"] else text
+                yield from piece_rows(p["prefix"] + text + p["suffix"], p["source"], p["log_id"], p["piece"], parents)
+
+    return where.mapInArrow(run, PARSED)
+
+
 @dataclass
 class LogFile(InputPartition):
     path: str
@@ -177,7 +389,7 @@ def _open(path: str):
 
 class XesReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.pieces = options["path"], options.get("pieces")
 
     def partitions(self) -> list[LogFile]:
         store, root = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
@@ -207,13 +419,12 @@ class XesReader(DataSourceReader):
         if partition is None:  # no log at all
             return
         name = partition.path.rpartition("/")[2] + (f"!{partition.member}" if partition.member else "")
+        if self.pieces:
+            yield pa.RecordBatch.from_pylist(list(self._cut(partition, name)), schema=_PIECES)
+            return
         with _open(partition.path) as raw:
-            if partition.member:
-                stream = zipfile.ZipFile(raw).open(partition.member)
-            else:
-                stream = gzip.GzipFile(fileobj=raw) if file_type(partition.path) == "gz" else raw
             held: list[dict] = []
-            for row in rows_of(io.BufferedReader(stream) if partition.member else stream, name):
+            for row in rows_of(_streamed(partition.path, partition.member, raw), name):
                 row["attrs"] = list(row["attrs"].items())
                 held.append(row)
                 if len(held) >= BATCH:
@@ -223,6 +434,23 @@ class XesReader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist(held, schema=_ROW)
 
 
+    def _cut(self, log: LogFile, name: str) -> Iterator[dict]:
+        """Where the pieces of a log lie: in its file, or unzipped and packed lightly in the folder `pieces`."""
+        log_id = f"log_{_id(self.pieces, log.path, log.member)}"
+        plain = log.member is None and file_type(log.path) == "xes"
+        with _open(log.path) as raw:
+            for i, (start, text, prefix, suffix) in enumerate(cut(_streamed(log.path, log.member, raw))):
+                row = {"source": name, "log_id": log_id, "piece": i, "path": log.path, "member": log.member, "start": start, "length": len(text), "zipped": False, "prefix": prefix, "suffix": suffix}
+                if suffix is not None and not plain:
+                    store, inner = pafs.FileSystem.from_uri(f"{self.pieces}/{log_id}/{i}")
+                    store.create_dir(inner.rpartition("/")[0], recursive=True)
+                    data = zlib.compress(text, 1)
+                    with store.open_output_stream(inner, compression=None) as out:
+                        out.write(data)
+                    row |= {"path": f"{self.pieces}/{log_id}/{i}", "start": 0, "length": len(data), "zipped": True}
+                yield row
+
+
 class XesSource(DataSource):
     """spark.read.format("xes").load(path): a file or a folder of files."""
 
@@ -231,7 +459,7 @@ class XesSource(DataSource):
         return "xes"
 
     def schema(self) -> str:
-        return SCHEMA
+        return PIECES if "pieces" in self.options else SCHEMA
 
     def reader(self, schema: StructType) -> XesReader:
         return XesReader(self.options)

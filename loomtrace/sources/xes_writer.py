@@ -3,50 +3,94 @@
 from __future__ import annotations
 
 import gzip
-import io
 import re
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import groupby
+from functools import lru_cache
 from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
 from pyarrow import fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from loomtrace.plans.syntax import EVENT, LOG, TRACE
 from loomtrace.sources.layouts import ORDER, BoundLayout
 from loomtrace.workers import reach_workers
 
+#: Bytes that are held to be written or copied together.
+COPIED = 4_000_000
 #: Characters that XML can't hold.
 _ILLEGAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 _TAGS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "float", "double": "float", "boolean": "boolean", "timestamp": "date", "timestamp_ntz": "date"}
 
 
+def _place(target: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(target) if "://" in target else (pafs.LocalFileSystem(), target)
+
+
 @contextmanager
-def output(target: str) -> Iterator[io.TextIOBase]:
-    """A text file to write: of this machine, or of the file system that a URI names. It gets its name when it is whole."""
-    store, path = pafs.FileSystem.from_uri(target) if "://" in target else (pafs.LocalFileSystem(), target)
+def output(target: str) -> Iterator:
+    """A file of bytes to write, zipped by the name: of this machine, or of the file system that a URI names. It gets its name when it is whole."""
+    store, path = _place(target)
     made = f"{path}.{uuid.uuid4().hex}.part"
     store.create_dir(path.rpartition("/")[0] or ".", recursive=True)
     with store.open_output_stream(made, compression=None) as raw:
         name = path.rpartition("/")[2]
         if name.endswith(".zip"):
-            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z, z.open(name.removesuffix(".zip").removesuffix(".xes") + ".xes", "w", force_zip64=True) as member, io.TextIOWrapper(member, "utf-8") as out:
-                yield out
-        elif name.endswith(".gz"):
-            with gzip.GzipFile(fileobj=raw, mode="wb") as member, io.TextIOWrapper(member, "utf-8") as out:
-                yield out
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z, z.open(name.removesuffix(".zip").removesuffix(".xes") + ".xes", "w", force_zip64=True) as member:
+                yield member
         else:
-            out = io.TextIOWrapper(raw, "utf-8", write_through=False)
-            yield out
-            out.flush()
-            out.detach()
+            yield raw
     store.move(made, path)
 
 
+def packed(target: str, text: str) -> bytes:
+    """Text as a part of the target: a .gz file is a chain of gzip members, so that its parts are made apart."""
+    data = text.encode()
+    return gzip.compress(data, 6, mtime=0) if target.endswith(".gz") else data
+
+
+def assemble(target: str, head: str, fragments: list[str], tail: str) -> None:
+    """A file of its head, its fragments in order, already packed for it, and its tail; bytes are copied as they stand."""
+    with output(target) as out:
+        out.write(packed(target, head))
+        for f in fragments:
+            store, path = _place(f)
+            with store.open_input_stream(path, compression=None) as part:
+                while data := part.read(COPIED):
+                    out.write(data)
+        out.write(packed(target, tail))
+
+
+class Fragments:
+    """Texts of one task that go to files of theirs, in blocks."""
+
+    def __init__(self, path: str, target: str):
+        store, inner = _place(path)
+        store.create_dir(inner.rpartition("/")[0], recursive=True)
+        self.path, self.target, self.held, self.size = path, target, [], 0
+        self.raw = store.open_output_stream(inner, compression=None)
+
+    def write(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size >= COPIED:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.raw.write(packed(self.target, "".join(self.held)))
+        self.held, self.size = [], 0
+
+    def close(self) -> None:
+        self.flush()
+        self.raw.close()
+
+
 def _text(value) -> str | None:
     if value["b"] is not None:
         return "true" if value["b"] else "false"
@@ -55,6 +99,7 @@ def _text(value) -> str | None:
     return value["s"]
 
 
+@lru_cache(10_000)
 def _steps(chain: str) -> list[tuple[str, str]]:
     """A type chain tag[key]|tag[key] as pairs."""
     out = []
@@ -86,55 +131,109 @@ def elements(attributes, depth: int) -> str:
     return shown(root, depth)
 
 
+def _quoted(text: Column) -> Column:
+    """A text as the value of an XML attribute."""
+    text = F.regexp_replace(text, _ILLEGAL.pattern, "")
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        text = F.replace(text, F.lit(c), F.lit(name))
+    return text
+
+
+def _elements_column(values: list[tuple[str, str, Column]], nested: dict[str, tuple[str, str]], depth: int) -> Column:
+    """The text that elements() gives for columns (name, tag, value as text), in Spark: those in a list or container under its key."""
+    nodes: dict[str, dict] = {}
+    for name, tag, column in values:
+        outer = nested.get(name)
+        node = nodes.setdefault(outer[1] if outer else name, {"own": None, "in": []})
+        if outer:
+            node["in"].append((outer[0], name, tag, column))
+        else:
+            node["own"] = tag, column
+
+    def single(name: str, tag: Column | str, column: Column, level: int, end: str = "/>\n") -> Column:
+        shown = F.lit("  " * level + "<")
+        return F.concat(shown, F.lit(tag) if isinstance(tag, str) else tag, F.lit(f" key={quoteattr(_ILLEGAL.sub('', name))} value=\""), column, F.lit('"' + end))
+
+    def text(tag: str, column: Column) -> Column:
+        return _quoted(column) if tag in ("string", "id") else column
+
+    out = []
+    for key, node in nodes.items():
+        own = (node["own"][0], text(*node["own"])) if node["own"] else None
+        if not node["in"]:
+            out.append(F.coalesce(single(key, own[0], own[1], depth), F.lit("")))
+            continue
+        inner = F.concat(*[F.coalesce(single(n, t, text(t, c), depth + 1), F.lit("")) for _, n, t, c in node["in"]])
+        outer_tag = F.coalesce(*[F.when(c.isNotNull(), F.lit(o)) for o, _, _, c in node["in"]])
+        tag = F.coalesce(F.when(own[1].isNotNull(), F.lit(own[0])), outer_tag) if own else outer_tag
+        start = F.concat(F.lit("  " * depth + "<"), tag, F.lit(f" key={quoteattr(_ILLEGAL.sub('', key))}"))
+        value = F.coalesce(F.concat(F.lit(' value="'), own[1], F.lit('"')), F.lit("")) if own else F.lit("")
+        whole = F.concat(start, value, F.lit(">\n"), inner, F.lit("  " * depth + "</"), tag, F.lit(">\n"))
+        alone = F.coalesce(single(key, own[0], own[1], depth), F.lit("")) if own else F.lit("")
+        out.append(F.when(inner != "", whole).otherwise(alone))
+    return F.concat(F.lit(""), *out)
+
+
+HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="1.0" xmlns="http://www.xes-standard.org/">\n'
+
+
 def write_logs(layout: BoundLayout, folder: str, nested: dict[str, tuple[str, str]] | None = None, classifiers: dict[str, tuple[str, ...]] | None = None, forms: tuple[str, ...] = ("xes",)) -> None:
     """Write a bound table as XES, a file for each log: FOLDER/LOG.FORM, forms taken in turn by a hash of the log's name.
 
-    nested: of an event's attribute, the (list or container, key) to write it in. A log is written by one task, as it is
-    one file; its traces and events stream in order, and a task that runs again replaces the file.
+    nested: of an event's attribute, the (list or container, key) to write it in. Ranges of traces are written as
+    fragments, by as many tasks as there are partitions; then a task for each log puts its fragments together. A task
+    that runs again replaces its files.
     """
-    reach_workers(layout.table.sparkSession)
+    spark = layout.table.sparkSession
+    reach_workers(spark)
     frame = layout.frame(EVENT, {LOG, TRACE, EVENT})
-    scopes = {s: [(n, _TAGS.get(layout.types[layout.names[s][n.lower()]], "string")) for n in layout.binding.attributes.get(s, {})] for s in (LOG, TRACE, EVENT)}
-
-    def text(s: str, name: str, tag: str):
-        c = F.col(layout.names[s][name.lower()])
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'") if tag == "date" else c.cast("string")
-
-    shown = [F.array(*[text(s, n, t) for n, t in found]).cast("array<string>").alias(f"{s}_values") for s, found in scopes.items()]
-    rows = frame.df.select("_log", "_trace", *[F.col(c) for c in ORDER[EVENT]], *shown)
-    rows = rows.repartition("_log").sortWithinPartitions("_ls", "_log", "_ts", "_trace", "_ei").select("_log", "_trace", *[f"{s}_values" for s in scopes])
-
-    def body(s: str, values: list[str | None], depth: int) -> str:
-        made = []
-        for (name, tag), v in zip(scopes[s], values):
-            if v is not None:
-                outer = (nested or {}).get(name) if s == EVENT else None
-                value = {"tag": tag, "s": v, "n": None, "b": None, "chain": (f"{outer[0]}[{outer[1]}]|" if outer else "") + f"{tag}[{name}]"}
-                made.append((name, value))
-        return elements(made, depth)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(b.num_columns)))
+
+    def body(s: str, depth: int) -> Column:
+        values = []
+        for name in layout.binding.attributes.get(s, {}):
+            column = layout.names[s][name.lower()]
+            tag = _TAGS.get(layout.types[column], "string")
+            values.append((name, tag, F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'") if tag == "date" else F.col(column).cast("string")))
+        return _elements_column(values, (nested or {}) if s == EVENT else {}, depth)
+
+    own = [c for s in (LOG, TRACE, EVENT) for c in layout.names.get(s, {}).values()]
+    rows = frame.df.select("_log", "_trace", *ORDER[EVENT], *own)
+    rows = rows.repartitionByRange("_ls", "_log", "_ts", "_trace").sortWithinPartitions("_ls", "_log", "_ts", "_trace", "_ei")
+    rows = rows.select("_log", "_trace", body(LOG, 1).alias("l"), body(TRACE, 2).alias("t"), body(EVENT, 3).alias("e"))
+    parts = f"{folder}/.fragments-{uuid.uuid4().hex}"
+
+    def target(log: str) -> str:
+        return f"{folder}/{log}.{forms[sum(log.encode()) % len(forms)]}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = []
-        for log, events in groupby(stream(batches), lambda r: r[0]):
-            form = forms[sum(log.encode()) % len(forms)]
-            names.append(f"{log}.{form}")
-            with output(f"{folder}/{names[-1]}") as out:
-                out.write('<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="1.0" xmlns="http://www.xes-standard.org/">\n')
-                out.write('  <extension name="Concept" prefix="concept" uri="http://www.xes-standard.org/concept.xesext"/>\n')
-                for name, keys in (classifiers or {}).items():
-                    out.write(f"  <classifier name={quoteattr(name)} keys={quoteattr(' '.join(keys))}/>\n")
-                trace = None
-                for _, own, l_values, t_values, e_values in events:
-                    if own != trace:
-                        out.write("  </trace>\n" if trace is not None else body(LOG, l_values, 1))
-                        out.write("  <trace>\n" + body(TRACE, t_values, 2))
-                        trace = own
-                    out.write("    <event>\n" + body(EVENT, e_values, 3) + "    </event>\n")
-                out.write("  </trace>\n</log>\n")
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["name"])
-
-    rows.mapInArrow(run, "name string").collect()  # a name for each log
+        task = TaskContext.get().partitionId()
+        made, log, trace, out = [], None, None, None
+        for b in batches:
+            for log_id, trace_id, l_text, t_text, e_text in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if out is None or log_id != log:
+                    if out is not None:
+                        out.write("  </trace>\n")
+                        out.close()
+                    out = Fragments(f"{parts}/{len(made)}-{task}", target(log_id))
+                    made.append((log_id, task, out.path, l_text))
+                    log, trace = log_id, None
+                if trace_id != trace:
+                    out.write(f"{'  </trace>\n' if trace is not None else ''}  <trace>\n{t_text}")
+                    trace = trace_id
+                out.write(f"    <event>\n{e_text}    </event>\n")
+        if out is not None:
+            out.write("  </trace>\n")
+            out.close()
+        names = ["log", "task", "path", "text"]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, m)) for m in made], schema=pa.schema([("log", pa.string()), ("task", pa.int64()), ("path", pa.string()), ("text", pa.string())]))
+
+    found: dict[str, list] = {}
+    for r in sorted(rows.mapInArrow(run, "log string, task bigint, path string, text string").collect(), key=lambda r: r["task"]):  # a row for each fragment
+        found.setdefault(r["log"], []).append(r)
+    head = HEAD + '  <extension name="Concept" prefix="concept" uri="http://www.xes-standard.org/concept.xesext"/>\n'
+    head += "".join(f"  <classifier name={quoteattr(n)} keys={quoteattr(' '.join(keys))}/>\n" for n, keys in (classifiers or {}).items())
+    jobs = [(target(log), head + own[0]["text"], [r["path"] for r in own]) for log, own in found.items()]
+    if jobs:
+        spark.sparkContext.parallelize(jobs, len(jobs)).foreach(lambda j: assemble(*j, "</log>\n"))
+        store, inner = _place(parts)
+        store.delete_dir(inner)

@@ -12,9 +12,12 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,11 +27,13 @@ from loomtrace.engine import Engine, to_json
 from loomtrace.plans.syntax import EVENT, LOG, TRACE, Delete, QueryError, parse
 from loomtrace.sources import xes
 from loomtrace.sources.layouts import ENTRY, EVENTS, HOT, IDS, LOGS, PARENTS, TRACES, LogLayout
-from loomtrace.sources.xes_writer import elements, output
+from loomtrace.sources.shared import qualified
+from loomtrace.sources.xes_writer import HEAD, Fragments, assemble, elements
 
 TABLES = {"logs": LOGS, "traces": TRACES, "events": EVENTS}
 #: Columns with bloom filters: a lookup by one of their values reads only the row groups that may have it.
 LOOKUPS = {"logs": (), "traces": ("trace_id", "name"), "events": ("trace_id", "event_id", "activity", "resource", "trace_concept")}
+_FIELDS = ("tag", "s", "n", "b", "chain")
 _HEADER = f"struct<extensions:array<struct<name:string,prefix:string,uri:string>>,globals:array<struct<scope:string,attrs:map<string,{ENTRY}>>>,classifiers:array<struct<name:string,keys:array<string>>>>"
 
 
@@ -104,7 +109,7 @@ class Store:
 
     def _write(self, name: str, df: DataFrame, change: str) -> set[str]:
         """Write rows as a change's part of a table; the logs that it has rows of."""
-        keys = [c for c in ("log_seq", "trace_seq", "event_idx") if c in df.columns]
+        keys = [c for c in ("log_id", "trace_seq", "event_idx") if c in df.columns]  # by folder first, as the writer needs it: one sort
         out = df.sortWithinPartitions(*keys).write.partitionBy("log_id")
         for c in set(LOOKUPS[name]) & set(df.columns):
             out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
@@ -164,8 +169,12 @@ class Store:
         over events join nothing, and conditions on parents prune the events at the scan.
         """
         started, read = time.time_ns(), self._state()
-        staged = self._staged(self.spark.read.format("xes").load(path))  # ids are made while reading, so it is read once
-        raw = self.spark.read.parquet(staged)
+        staging = f"{qualified(self.spark, self.path)}/staging/{uuid.uuid4().hex}"
+        pieces = self.spark.read.format("xes").option("pieces", f"{staging}/pieces").load(path).collect()  # a row for each 4 MB of a log
+        staged = f"{staging}/rows"
+        xes.parsed(self.spark, pieces, parents).write.partitionBy("level").parquet(staged)
+        schema = StructType.fromDDL(xes.PARSED)
+        raw = self.spark.read.schema(schema).parquet(staged)
         head = raw.where("level = 'log'").withColumn("h", F.from_json("header", _HEADER))
         by = W.orderBy("source", "log_id")  # a row for each imported log
         logs = head.select(
@@ -174,20 +183,19 @@ class Store:
         )
         order = [(r["log_id"], r["log_seq"]) for r in logs.select("log_id", "log_seq").orderBy("log_seq").collect()]
         seq = F.broadcast(self.spark.createDataFrame(order, "log_id string, log_seq bigint"))  # a row for each imported log
-        traces = raw.where("level = 'trace'").join(seq, "log_id").select(
-            "log_id", "log_seq", "trace_id", "trace_seq", F.coalesce(_shown("attrs", "concept:name"), F.substring_index("trace_id", "_", -1)).alias("name"), "attrs"
-        )
+        name_of = lambda attrs: F.coalesce(_shown(attrs, "concept:name"), F.substring_index("trace_id", "_", -1))
+        traces = raw.where("level = 'trace'").join(seq, "log_id").select("log_id", "log_seq", "trace_id", "trace_seq", name_of("attrs").alias("name"), "attrs")
+        of_trace = [_shown("trace_attrs", "concept:name").alias("trace_concept"), name_of("trace_attrs").alias("trace_name"), "trace_attrs"] if parents else []
         events = raw.where("level = 'event'").join(seq, "log_id").select(
-            "log_id", "log_seq", "trace_id", "trace_seq", "event_id", "event_idx", *[_shown("attrs", k).alias(c) for k, c in HOT.items()], "attrs"
+            "log_id", "log_seq", "trace_id", "trace_seq", "event_id", "event_idx", *[_shown("attrs", k).alias(c) for k, c in HOT.items()], "attrs", *of_trace
         )
         if parents:
-            of_trace = traces.select("trace_id", _shown("attrs", "concept:name").alias("trace_concept"), F.col("name").alias("trace_name"), F.col("attrs").alias("trace_attrs"))
             of_log = logs.select("log_id", F.col("name").alias("log_name"), F.col("attrs").alias("log_attrs"), F.col("source").alias("log_source"), F.col("import_ts").alias("log_import"), F.col("classifiers").alias("log_classifiers"))
-            events = events.join(of_trace, "trace_id", "left").join(of_log, "log_id", "left")
+            events = events.join(F.broadcast(of_log), "log_id", "left")
         change = uuid.uuid4().hex
         held = {t: self._write(t, df, change) for t, df in {"logs": logs, "traces": traces, "events": events}.items()}
         self._commit(read, {x: {t: change for t in TABLES if x in held[t]} for x, _ in order}, change, {t: len(x) for t, x in held.items()} | {"flat": int(parents)})
-        self._drop(staged)
+        self._drop(staging)
         return [x for x, _ in order]
 
     def _staged(self, df: DataFrame) -> str:
@@ -241,29 +249,42 @@ class Store:
     # --- export ---
 
     def export_log(self, log_id: str, target: str) -> None:
-        """Write a log as XES to a file, of the driver or of a file system that a URI names. Traces stream to it one partition at a time."""
+        """Write a log as XES to a file, of the driver or of a file system that a URI names. 
+        Ranges of traces are written as fragments beside the store's tables, by all tasks; the driver copies their bytes."""
         log = self.table("logs").where(F.col("log_id") == log_id).first()
         if log is None:
             raise QueryError(f"log {log_id!r} not found")
-        events = self.table("events").where(F.col("log_id") == log_id).groupBy("trace_id").agg(
-            F.array_sort(F.collect_list(F.struct("event_idx", F.map_entries("attrs").alias("attrs")))).alias("events")
-        )
-        traces = self.table("traces").where(F.col("log_id") == log_id).select("trace_id", "trace_seq", F.map_entries("attrs").alias("attrs"))
-        rows = traces.join(events, "trace_id", "left").orderBy("trace_seq").select("attrs", "events")
-        with output(target) as out:
-            out.write('<?xml version="1.0" encoding="UTF-8"?>\n<log xes.version="1.0" xmlns="http://www.xes-standard.org/">\n')
-            for e in log["extensions"] or ():
-                out.write("  <extension" + "".join(f" {k}={quoteattr(e[k])}" for k in ("name", "prefix", "uri") if e[k] is not None) + "/>\n")
-            for g in log["globals"] or ():
-                out.write(f"  <global scope={quoteattr(g['scope'] or 'event')}>\n{elements(g['attrs'].items(), 2)}  </global>\n")
-            for c in log["classifiers"] or ():
-                keys = " ".join(f"'{k}'" if " " in k else k for k in c["keys"])
-                out.write(f"  <classifier name={quoteattr(c['name'] or '')} keys={quoteattr(keys)}/>\n")
-            out.write(elements(log["attrs"].items(), 1))
-            for row in rows.toLocalIterator():
-                out.write("  <trace>\n" + elements(((a["key"], a["value"]) for a in row["attrs"]), 2))
-                for event in row["events"] or ():
-                    out.write("    <event>\n" + elements(((a["key"], a["value"]) for a in event["attrs"]), 3) + "    </event>\n")
+        events = self.table("events").where(F.col("log_id") == log_id).select("trace_seq", "event_idx", F.map_entries("attrs").alias("attrs"))
+        traces = self.table("traces").where(F.col("log_id") == log_id).select("trace_seq", F.lit(-1).cast("bigint").alias("event_idx"), F.map_entries("attrs").alias("attrs"))
+        rows = traces.unionByName(events).repartitionByRange("trace_seq").sortWithinPartitions("trace_seq", "event_idx")
+        parts = f"{qualified(self.spark, self.path)}/staging/{uuid.uuid4().hex}"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task, out, trace = TaskContext.get().partitionId(), None, None
+            for b in batches:
+                ends, (keys, held) = b.column(2).offsets.to_pylist(), b.column(2).values.flatten()
+                items = [(k, dict(zip(_FIELDS, v))) for k, *v in zip(keys.to_pylist(), *(x.to_pylist() for x in held.flatten()))]
+                for i, (seq, idx) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                    shown = items[ends[i] : ends[i + 1]]
+                    if idx < 0:
+                        out = out or Fragments(f"{parts}/{task}", target)
+                        out.write(f"{'  </trace>\n' if trace is not None else ''}  <trace>\n{elements(shown, 2)}")
+                        trace = seq
+                    elif seq == trace:
+                        out.write(f"    <event>\n{elements(shown, 3)}    </event>\n")
+            if out is not None:
                 out.write("  </trace>\n")
-            out.write("</log>\n")
-
+                out.close()
+                yield pa.RecordBatch.from_pylist([{"task": task, "path": out.path}])
+
+        made = sorted((r["task"], r["path"]) for r in rows.mapInArrow(run, "task bigint, path string").collect())  # a row for each fragment
+        head = HEAD
+        for e in log["extensions"] or ():
+            head += "  <extension" + "".join(f" {k}={quoteattr(e[k])}" for k in ("name", "prefix", "uri") if e[k] is not None) + "/>\n"
+        for g in log["globals"] or ():
+            head += f"  <global scope={quoteattr(g['scope'] or 'event')}>\n{elements(g['attrs'].items(), 2)}  </global>\n"
+        for c in log["classifiers"] or ():
+            keys = " ".join(f"'{k}'" if " " in k else k for k in c["keys"])
+            head += f"  <classifier name={quoteattr(c['name'] or '')} keys={quoteattr(keys)}/>\n"
+        assemble(target, head + elements(log["attrs"].items(), 1), [path for _, path in made], "</log>\n")
+        self._drop(parts)

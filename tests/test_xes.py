@@ -134,3 +134,52 @@ def test_written_attributes_read_back(attrs):
     text = f"<log><trace><event>{elements(made.items(), 0)}</event></trace></log>"
     got = [r for r in rows_of(io.BytesIO(text.encode()), "x") if r["level"] == "event"][0]["attrs"]
     assert {k: v["s"] for k, v in got.items()} == attrs
+
+
+def test_pieces_give_the_rows_of_the_stream():
+    from loomtrace.sources.xes import cut, piece_rows
+
+    odd = ORCHARD.replace("<trace>\n    <string key=\"concept:name\" value=\"Block 9\"/>", "<!-- </trace> --><trace >\n<![CDATA[</trace>]]><?x </trace>?><trace></trace><string key=\"concept:name\" value=\"Block 9\"/>")
+    for text in (ORCHARD, odd, odd.replace("</trace>", "</trace\n>"), '<log xmlns:a="b"></log>'):
+        want = [(r["level"], list(r["attrs"].items()), r["header"]) for r in rows_of(io.BytesIO(text.encode()), "x")]
+        for size in (100, 300, 700, 10**6):
+            pieces = list(cut(io.BytesIO(text.encode()), size))
+            assert "".join(t.decode() for _, t, _, _ in pieces) == text
+            if pieces[0][-1] is None:
+                assert size == 100 or "<log" not in text[:size]
+                continue
+            got = [r for i, (_, t, prefix, suffix) in enumerate(pieces) for b in piece_rows(prefix + t + suffix, "x", "log_1", i, True) for r in b.to_pylist()]
+            for level in ("log", "trace", "event"):
+                assert [(r["level"], r["attrs"], r["header"]) for r in got if r["level"] == level] == [w for w in want if w[0] == level]
+    (whole,) = cut(io.BytesIO(b'<x:log xmlns:x="u"><x:trace/></x:log>'))
+    assert whole[-1] is None
+
+
+def test_one_log_is_written_and_read_by_several_tasks(spark, tmp_path):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from loomtrace.sources.layouts import Binding, BoundLayout
+    from loomtrace.sources.xes_writer import write_logs
+
+    table = spark.range(12_000).select(F.col("id"), F.expr("id div 4").alias("case"), F.repeat(F.lit("wide & "), 60).alias("what"))
+    binding = Binding(log="'one'", trace="case", event="id", trace_order=("case",), event_order=("id",), attributes={"e": {"concept:name": "what", "number": "id"}, "t": {"concept:name": "cast(case as string)"}, "l": {"concept:name": "'one'"}})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_logs(BoundLayout(table, binding), str(tmp_path / "in"), None, None, ("xes.gz",))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    members, data = 0, (tmp_path / "in" / "one.xes.gz").read_bytes()
+    while data:
+        one = zlib.decompressobj(31)
+        one.decompress(data)
+        members, data = members + 1, one.unused_data
+    assert members >= 4  # the head, a fragment for each task, the tail
+    store = Store(spark, str(tmp_path / "store"))
+    assert spark.read.format("xes").option("pieces", f"file://{tmp_path}/pieces").load(str(tmp_path / "in")).count() >= 2
+    (log,) = store.import_log(str(tmp_path / "in"), parents=True)
+    assert store.query("select count(e:name), count(t:name), sum(e:number)").first()[:3] == (12_000, 3_000, float(sum(range(12_000))))
+    store.export_log(log, str(tmp_path / "out.xes.gz"))
+    first, second = (list(ET.fromstring(gzip.decompress((tmp_path / p).read_bytes()))) for p in ("in/one.xes.gz", "out.xes.gz"))
+    assert [shape(e) for e in first if e.tag.endswith("trace")] == [shape(e) for e in second if e.tag.endswith("trace")]
