@@ -5,7 +5,9 @@ A partition is one log: a file or a zip entry. Its rows are one `log` row, then
 
 An import reads logs in pieces instead, as a log may be of any size: with the option `pieces`, a task for each log only
 finds where its traces end (for zipped logs it also writes the unzipped bytes, at that folder), and `parsed` reads the
-pieces by as many tasks as they fill. A piece is a run of whole elements below the root, of PIECE bytes or one trace.
+rows of one level from the pieces by as many tasks as they fill. A piece is a run of whole elements below the root, of
+PIECE bytes or one trace. Texts between values repeat from event to event, so a piece is split at its values, and each
+different sequence of such texts is parsed once (_Shapes); a piece that isn't written so is parsed as a whole.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -281,41 +284,180 @@ class _Maps:
         return pa.MapArray.from_arrays(pa.array(self.ends, pa.int32()), pa.array(self.keys, pa.string()), structs)
 
 
-_PARSED = pa.schema([*list(_ROW)[1:], ("trace_attrs", pa.map_(pa.string(), _ENTRY)), ("level", pa.string())])
+class _Irregular(Exception):
+    """A text that has to be parsed as a whole."""
 
 
-def piece_rows(text: bytes, source: str, log_id: str, piece: int, parents: bool) -> Iterator[pa.RecordBatch]:
-    """The rows of a piece: those of rows_of with its attributes of the log in the first one. Ids follow from the log's id,
-    so that a task that runs again makes the same; traces are numbered from a number of their piece."""
-    root = ET.fromstring(text)
-    if piece == 0:
-        log = next(rows_of(io.BytesIO(text), source, log_id))
-        yield pa.RecordBatch.from_pylist([log | {"attrs": list(log["attrs"].items()), "trace_attrs": None}], schema=_PARSED)
-    traces, events = _Maps(), _Maps()
-    trace_ids, seqs, owner, places = [], [], [], []
-    for t in root:
+_VALUE = re.compile(r' value="([^"<\t\n\r]*)"')
+_REFERENCE = re.compile(r"&(?:(amp|lt|gt|quot|apos)|#([0-9]{1,7})|#x([0-9A-Fa-f]{1,6}));")
+_NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
+#: Stands for a value in the text of a shape; a text that holds it is parsed as a whole.
+_PLACE = "\ue000"
+#: What XML can't hold, as bytes.
+_CONTROL = bytes(c for c in range(32) if c not in b"\t\n\r")
+
+
+def _character(m: re.Match) -> str:
+    if m.group(1):
+        return _NAMED[m.group(1)]
+    c = int(m.group(2)) if m.group(2) else int(m.group(3), 16)
+    if not (c in (9, 10, 13) or 0x20 <= c < 0xD800 or 0xE000 <= c <= 0xFFFD or 0x10000 <= c <= 0x10FFFF):
+        raise _Irregular
+    return chr(c)
+
+
+def _unescaped(text: str) -> str:
+    if text.count("&") != len(_REFERENCE.findall(text)):
+        raise _Irregular
+    return _REFERENCE.sub(_character, text)
+
+
+class _Shapes:
+    """Attribute maps of elements of one name, from their texts: what _Maps gives for the parsed elements.
+
+    A shape is the texts around the values. Each is parsed once, with places for the values, and says which value is
+    that of which attribute.
+    """
+
+    def __init__(self, tag: str):
+        self.tag, self.shapes, self.steps = tag, {}, {}
+        self.ids, self.values = [], []
+
+    def add(self, text: str) -> None:
+        """text: all behind the element's opening tag, up to its end and white space."""
+        parts = _VALUE.split(text)
+        around = tuple(parts[::2])
+        shape = self.shapes.get(around)
+        if shape is None:
+            shape = self.shapes[around] = self._shape(around)
+        ids, order = shape
+        self.ids.append(ids)
+        self.values += parts[1::2] if order is None else [None if i is None else parts[2 * i + 1] for i in order]
+
+    def _shape(self, around: tuple[str, ...]) -> tuple[np.ndarray, list | None]:
+        n = len(around) - 1
+        try:
+            root = ET.fromstring(f"<{self.tag}>" + "".join(f'{a} value="{_PLACE}{i}"' for i, a in enumerate(around[:-1])) + around[-1])
+        except ET.ParseError:
+            raise _Irregular from None
+        if sorted(v for e in root.iter() if (v := e.get("value")) is not None) != sorted(f"{_PLACE}{i}" for i in range(n)):
+            raise _Irregular
+        if self.tag == "trace" and any(local_name(a.tag) == "event" for a in root):
+            raise _Irregular
+        own: dict[str, tuple] = {}
+        maps = _Maps()
+        for a in root:
+            maps._put(own, a, "", "")
+        order = [None if v is None else int(v.removeprefix(_PLACE)) for _, v, *_ in own.values()]
+        ids = [self.steps.setdefault((tag, key, chain), len(self.steps)) for key, (tag, _, _, _, chain) in own.items()]
+        return np.array(ids, np.int64), None if order == list(range(n)) else order
+
+    def array(self, references: bool) -> pa.MapArray:
+        ends = np.zeros(len(self.ids) + 1, np.int32)
+        np.cumsum([len(x) for x in self.ids], out=ends[1:])
+        ids = np.concatenate(self.ids) if self.ids else np.empty(0, np.int64)
+        tags, keys, chains = zip(*self.steps) if self.steps else ((), (), ())
+        texts = [_unescaped(v) if v and "&" in v else v for v in self.values] if references else self.values
+        n, shown, of = len(texts), list(texts), ids.tolist()
+        numbers, booleans = [None] * n, {}
+        for i in np.flatnonzero(np.array([t not in ("string", "date") for t in tags], bool)[ids]).tolist() if n else ():
+            text, tag = texts[i], tags[of[i]]
+            try:  # as entry() does, without a row of its own for each
+                numbers[i] = float(text) if tag == "float" else float(int(text)) if tag == "int" else None
+            except (ValueError, TypeError):
+                continue
+            if numbers[i] is not None:
+                shown[i] = None
+            else:
+                e = entry(tag, text, "")
+                shown[i] = e["s"]
+                if e["b"] is not None:
+                    booleans[i] = e["b"]
+        flags = pa.array([booleans.get(i) for i in range(n)], pa.bool_()) if booleans else pa.nulls(n, pa.bool_())
+        at = pa.array(ids)
+        named = [pa.array(x, pa.string()).take(at) for x in (tags, keys, chains)]
+        structs = pa.StructArray.from_arrays([named[0], pa.array(shown, pa.string()), pa.array(numbers, pa.float64()), flags, named[2]], fields=list(_ENTRY))
+        return pa.MapArray.from_arrays(pa.array(ends), named[1], structs)
+
+
+def _by_shapes(text: bytes, piece: int, of_events: bool) -> tuple[pa.MapArray, pa.MapArray, list[int]]:
+    """Maps of a piece's traces and events, and each trace's number of events."""
+    named = _ENCODING.match(text)
+    bare = text.removeprefix(b"\xef\xbb\xbf")
+    root = _ROOT.match(bare)
+    if not root or (named and named.group(1).lower() != b"utf-8") or len(text.translate(None, _CONTROL)) != len(text) or b"\xef\xbf\xbe" in text or b"\xef\xbf\xbf" in text:
+        raise _Irregular
+    try:
+        head, *found = bare.decode().split("<trace>")
+    except UnicodeDecodeError:
+        raise _Irregular from None
+    start = len(head.encode())
+    inside = bare[start:]
+    if not found or bare.count(b"<trace") != len(found) or inside.count(b"<event") != inside.count(b"<event>") or any(x in inside for x in (b"<!", b"<?", b"]]>", _PLACE.encode())):
+        raise _Irregular
+    if bare[root.end() : start].strip() if piece else re.search(r":trace[\s/>]", head) or head.count("<!--") != head.count("-->"):
+        raise _Irregular
+    closing = f"</{root.group(1).decode()}>"
+    traces, events, counts = _Shapes("trace"), _Shapes("event"), []
+    for i, t in enumerate(found):
+        body, end, rest = t.rpartition("</trace>")
+        if not end or rest.strip() != ("" if i < len(found) - 1 else closing):
+            raise _Irregular
+        own, *below = body.split("<event>")
+        traces.add(own + end)
+        counts.append(len(below))
+        if of_events:
+            for e in below:
+                events.add(e)
+    references = b"&" in inside
+    return traces.array(references), events.array(references), counts
+
+
+def _by_elements(text: bytes) -> tuple[pa.MapArray, pa.MapArray, list[int]]:
+    traces, events, counts = _Maps(), _Maps(), []
+    for t in ET.fromstring(text):
         if local_name(t.tag) != "trace":
             continue
         own, inside = [], []
         for a in t:
             (inside if local_name(a.tag) == "event" else own).append(a)
         traces.add(own)
-        at = len(seqs)
-        seqs.append((piece << 32) + at)
-        trace_ids.append(f"{log_id}_{_id(log_id, piece, at)}")
-        for i, e in enumerate(inside):
+        counts.append(len(inside))
+        for e in inside:
             events.add(e)
-            owner.append(at)
-            places.append(i)
-    maps = traces.array()
+    return traces.array(), events.array(), counts
+
+
+_PARSED = pa.schema([*list(_ROW)[1:], ("trace_attrs", pa.map_(pa.string(), _ENTRY)), ("level", pa.string())])
+LEVELS = ("log", "trace", "event")
+
+
+def piece_rows(text: bytes, source: str, log_id: str, piece: int, parents: bool, levels: tuple[str, ...] = LEVELS) -> Iterator[pa.RecordBatch]:
+    """The rows of a piece: those of rows_of with its attributes of the log in the first one. Ids follow from the log's id,
+    so that a task that runs again makes the same; traces are numbered from a number of their piece."""
+    if piece == 0 and "log" in levels:
+        log = next(rows_of(io.BytesIO(text), source, log_id))
+        yield pa.RecordBatch.from_pylist([log | {"attrs": list(log["attrs"].items()), "trace_attrs": None}], schema=_PARSED)
+    if levels == ("log",):
+        return
+    try:
+        maps, entries, counts = _by_shapes(text, piece, "event" in levels)
+    except _Irregular:
+        maps, entries, counts = _by_elements(text)
+    trace_ids = [f"{log_id}_{_id(log_id, piece, at)}" for at in range(len(counts))]
+    seqs = [(piece << 32) + at for at in range(len(counts))]
 
     def batch(level: str, n: int, columns: dict) -> pa.RecordBatch:
         same = {"source": source, "log_id": log_id, "level": level}
         return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.repeat(pa.scalar(same[f.name], f.type), n) if f.name in same else pa.nulls(n, f.type) for f in _PARSED], schema=_PARSED)
 
     ids, numbers = pa.array(trace_ids, pa.string()), pa.array(seqs, pa.int64())
-    yield batch("trace", len(seqs), {"trace_id": ids, "trace_seq": numbers, "attrs": maps})
-    entries = events.array()
+    if "trace" in levels:
+        yield batch("trace", len(seqs), {"trace_id": ids, "trace_seq": numbers, "attrs": maps})
+    if "event" not in levels:
+        return
+    owner = [at for at, n in enumerate(counts) for _ in range(n)]
+    places = [i for n in counts for i in range(n)]
     for start in range(0, len(owner), BATCH):
         own, i = pa.array(owner[start : start + BATCH], pa.int64()), pa.array(places[start : start + BATCH], pa.int64())
         names = [f"{trace_ids[o]}_{_id(trace_ids[o], p)}" for o, p in zip(owner[start : start + BATCH], places[start : start + BATCH])]
@@ -329,14 +471,18 @@ def _streamed(path: str, member: str | None, raw):
     return gzip.GzipFile(fileobj=raw) if file_type(path) == "gz" else raw
 
 
-def whole_rows(path: str, member: str | None, source: str, log_id: str, parents: bool) -> Iterator[pa.RecordBatch]:
-    """The rows of a log that can't be cut, as a stream."""
+def whole_rows(path: str, member: str | None, source: str, log_id: str, parents: bool, level: str) -> Iterator[pa.RecordBatch]:
+    """The rows of one level of a log that can't be cut, as a stream, with ids that are the same each time."""
     with _open(path) as raw:
-        held, above = [], None
+        held, above, trace_id = [], None, None
         for row in rows_of(_streamed(path, member, raw), source, log_id):
-            row["attrs"] = list(row["attrs"].items())
-            above = row["attrs"] if row["level"] == "trace" else above
-            held.append(row | {"trace_attrs": above if parents and row["level"] == "event" else None})
+            if level == "log" and row["level"] != "log":
+                break
+            if row["level"] == "trace":
+                above, trace_id = list(row["attrs"].items()), f"{log_id}_{_id(log_id, 0, row['trace_seq'])}"
+            if row["level"] == level:
+                event_id = f"{trace_id}_{_id(trace_id, row['event_idx'])}" if level == "event" else None
+                held.append(row | {"trace_id": trace_id, "event_id": event_id, "attrs": list(row["attrs"].items()), "trace_attrs": above if parents and level == "event" else None})
             if len(held) >= BATCH:
                 yield pa.RecordBatch.from_pylist(held, schema=_PARSED)
                 held = []
@@ -344,10 +490,15 @@ def whole_rows(path: str, member: str | None, source: str, log_id: str, parents:
             yield pa.RecordBatch.from_pylist(held, schema=_PARSED)
 
 
-def parsed(spark: SparkSession, pieces: list, parents: bool) -> DataFrame:
-    """The rows of pieces, of which each task has at most eight. parents: events hold the attributes of their traces."""
-    n = max(1, min(len(pieces), 2 * spark.sparkContext.defaultParallelism), -(-len(pieces) // 8))
-    found = sorted((tuple(p) for p in pieces), key=lambda p: (p[1], p[2]))
+#: Pieces that one task reads, at most.
+TOGETHER = 8
+
+
+def parsed(spark: SparkSession, pieces: list, level: str, parents: bool = False) -> DataFrame:
+    """The rows of one level from pieces, of which each task has at most TOGETHER, whatever the size of the logs.
+    parents: events hold the attributes of their traces."""
+    found = sorted((tuple(p) for p in pieces if level != "log" or p["piece"] == 0), key=lambda p: (p[1], p[2]))
+    n = max(1, -(-len(found) // TOGETHER), min(len(found), 2 * spark.sparkContext.defaultParallelism))
     where = spark.createDataFrame(spark.sparkContext.parallelize(found, n), PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,13 +512,13 @@ def parsed(spark: SparkSession, pieces: list, parents: bool) -> DataFrame:
         for b in batches:
             for p in b.to_pylist():
                 if p["suffix"] is None:
-                    yield from whole_rows(p["path"], p["member"], p["source"], p["log_id"], parents)
+                    yield from whole_rows(p["path"], p["member"], p["source"], p["log_id"], parents, level)
                     continue
                 with _open(p["path"]) as f:
                     f.seek(p["start"])
                     text = f.read(p["length"])
                 text = zlib.decompress(text) if p["zipped"] else text
-                yield from piece_rows(p["prefix"] + text + p["suffix"], p["source"], p["log_id"], p["piece"], parents)
+                yield from piece_rows(p["prefix"] + text + p["suffix"], p["source"], p["log_id"], p["piece"], parents, (level,))
 
     return where.mapInArrow(run, PARSED)
 

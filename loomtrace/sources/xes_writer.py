@@ -132,11 +132,11 @@ def elements(attributes, depth: int) -> str:
 
 
 def _quoted(text: Column) -> Column:
-    """A text as the value of an XML attribute."""
-    text = F.regexp_replace(text, _ILLEGAL.pattern, "")
+    """A text as the value of an XML attribute. Most hold nothing to replace, which one look tells."""
+    quoted = F.regexp_replace(text, _ILLEGAL.pattern, "")
     for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
-        text = F.replace(text, F.lit(c), F.lit(name))
-    return text
+        quoted = F.replace(quoted, F.lit(c), F.lit(name))
+    return F.when(text.rlike("[&<>\"\t\n\r" + _ILLEGAL.pattern[1:]), quoted).otherwise(text)
 
 
 def _elements_column(values: list[tuple[str, str, Column]], nested: dict[str, tuple[str, str]], depth: int) -> Column:

@@ -171,11 +171,7 @@ class Store:
         started, read = time.time_ns(), self._state()
         staging = f"{qualified(self.spark, self.path)}/staging/{uuid.uuid4().hex}"
         pieces = self.spark.read.format("xes").option("pieces", f"{staging}/pieces").load(path).collect()  # a row for each 4 MB of a log
-        staged = f"{staging}/rows"
-        xes.parsed(self.spark, pieces, parents).write.partitionBy("level").parquet(staged)
-        schema = StructType.fromDDL(xes.PARSED)
-        raw = self.spark.read.schema(schema).parquet(staged)
-        head = raw.where("level = 'log'").withColumn("h", F.from_json("header", _HEADER))
+        head = xes.parsed(self.spark, pieces, "log").withColumn("h", F.from_json("header", _HEADER))
         by = W.orderBy("source", "log_id")  # a row for each imported log
         logs = head.select(
             "log_id", (F.row_number().over(by) + F.lit(started)).cast("bigint").alias("log_seq"), "source", F.timestamp_micros(F.lit(started // 1000)).alias("import_ts"),
@@ -184,9 +180,9 @@ class Store:
         order = [(r["log_id"], r["log_seq"]) for r in logs.select("log_id", "log_seq").orderBy("log_seq").collect()]
         seq = F.broadcast(self.spark.createDataFrame(order, "log_id string, log_seq bigint"))  # a row for each imported log
         name_of = lambda attrs: F.coalesce(_shown(attrs, "concept:name"), F.substring_index("trace_id", "_", -1))
-        traces = raw.where("level = 'trace'").join(seq, "log_id").select("log_id", "log_seq", "trace_id", "trace_seq", name_of("attrs").alias("name"), "attrs")
+        traces = xes.parsed(self.spark, pieces, "trace").join(seq, "log_id").select("log_id", "log_seq", "trace_id", "trace_seq", name_of("attrs").alias("name"), "attrs")
         of_trace = [_shown("trace_attrs", "concept:name").alias("trace_concept"), name_of("trace_attrs").alias("trace_name"), "trace_attrs"] if parents else []
-        events = raw.where("level = 'event'").join(seq, "log_id").select(
+        events = xes.parsed(self.spark, pieces, "event", parents).join(seq, "log_id").select(
             "log_id", "log_seq", "trace_id", "trace_seq", "event_id", "event_idx", *[_shown("attrs", k).alias(c) for k, c in HOT.items()], "attrs", *of_trace
         )
         if parents:

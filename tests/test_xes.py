@@ -183,3 +183,50 @@ def test_one_log_is_written_and_read_by_several_tasks(spark, tmp_path):
     store.export_log(log, str(tmp_path / "out.xes.gz"))
     first, second = (list(ET.fromstring(gzip.decompress((tmp_path / p).read_bytes()))) for p in ("in/one.xes.gz", "out.xes.gz"))
     assert [shape(e) for e in first if e.tag.endswith("trace")] == [shape(e) for e in second if e.tag.endswith("trace")]
+
+
+_SHORT = st.sampled_from(["a", "b", "org:group", "x y", "é&amp;", ""])
+_ATTRIBUTE = st.recursive(
+    st.builds(lambda t, k, v: f'<{t} key="{k}"' + ("" if v is None else f' value="{v}"') + "/>", st.sampled_from(["string", "date", "int", "float", "boolean", "id", "odd"]), _SHORT, st.sampled_from([None, "", "7", " 8", "2.5", "nan", "true", "&lt;&#10;&quot;&#x41;", "ü", "a\nb", "0F3C9A52-77D1-4E0B-9B1E-2C5D8A6E4F10"])),
+    lambda inner: st.builds(lambda t, k, v, parts, gap: f'<{t} key="{k}"{v}>{gap}' + gap.join(parts) + f"</{t}>", st.sampled_from(["string", "list", "container", "values"]), _SHORT, st.sampled_from(["", ' value="5"', " value='6'"]), st.lists(inner, max_size=3), st.sampled_from(["", "\n ", "text"])),
+    max_leaves=5,
+)
+_OWN = st.lists(_ATTRIBUTE, max_size=4).map("\n".join)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(_OWN, st.lists(_OWN, max_size=3)), min_size=1, max_size=3), st.sampled_from(["", "\n", "<!-- x -->", '<string key="late" value="1"/>']))
+def test_pieces_read_by_shapes_give_the_parsers_rows(traces, between):
+    from loomtrace.sources import xes
+
+    text = '<?xml version="1.0" encoding="utf-8"?><log>' + between.join(f"<trace>{own}" + "".join(f"<event>{e}</event>\n" for e in events) + "</trace>" for own, events in traces) + "</log>"
+    want = [x if isinstance(x, list) else x.to_pylist() for x in xes._by_elements(text.encode())]
+    try:
+        got = [x if isinstance(x, list) else x.to_pylist() for x in xes._by_shapes(text.encode(), 1, True)]
+    except xes._Irregular:
+        assert any(x in text for x in ("'6'", "<!--", "late", "\nb"))
+        return
+    assert str(got) == str(want)  # nan equals nan as text
+
+
+def test_what_shapes_cannot_hold_is_left_to_the_parser():
+    from loomtrace.sources import xes
+
+    event = '<event><string key="k" value="v"/></event>'
+    plain = f'<log><trace><string key="t" value="1"/>{event}{event}</trace>\n<trace></trace></log>'
+    maps, entries, counts = xes._by_shapes(plain.encode(), 1, True)
+    assert counts == [2, 0] and [m[0][1]["s"] for m in entries.to_pylist()] == ["v", "v"] and [len(m) for m in maps.to_pylist()] == [1, 0]
+    for old, new in (("<trace>", "<trace >"), ("<event>", '<event id="1">'), ('value="v"', "value='v'"), ('value="v"', 'value="&other;"'), ('value="v"', 'value="&#0;"'), ('value="v"', 'value="\x01"'), ("</event>", "</event><event/>"), ("<log>", '<log xmlns:x="u"><x:trace/>'), ("</trace>\n", "</trace><!-- <trace></trace> -->\n"), ("</log>", ""), ("</event></trace>", "</trace></event>"), ("<log>", "<log><!-- <trace></trace> -->"), ('<string key="t"', '<x:event xmlns:x="u"/><string key="t"')):
+        for piece in (0, 1):
+            with pytest.raises(xes._Irregular):
+                xes._by_shapes(plain.replace(old, new).encode(), piece, True)
+
+
+def test_a_task_reads_few_pieces_of_a_long_log(spark):
+    from loomtrace.sources import xes
+
+    piece = {"source": "s", "log_id": "l", "path": "p", "member": None, "start": 0, "length": 0, "zipped": False, "prefix": b"", "suffix": b""}
+    from pyspark.sql import Row
+
+    pieces = [Row(**{f: piece.get(f, i) for f in ("source", "log_id", "piece", "path", "member", "start", "length", "zipped", "prefix", "suffix")}) for i in range(1000)]
+    assert xes.parsed(spark, pieces, "event").rdd.getNumPartitions() == 125 and xes.parsed(spark, pieces, "log").rdd.getNumPartitions() == 1
