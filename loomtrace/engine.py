@@ -39,7 +39,8 @@ class Engine:
             needed |= {EVENT, TRACE, LOG}
         if kind == "variants":
             needed |= {TRACE} & {g.scope for g in query.group}
-        frame = filtered(self.layout, query.collection, query.where, needed)
+        used = [n for x in (*query.columns, *query.group, *query.order) for n in walk(x) if isinstance(n, Attribute)]
+        frame = filtered(self.layout, query.collection, query.where, needed, used, query.star or payload)
         if check:
             self._check(frame, query)
         rows_order = [k for o in query.order for k in sort_keys(value(o.expr, frame), o.descending)] if kind == "rows" else []
@@ -77,9 +78,11 @@ class Engine:
         lost = [n for n in named if frame.resolve(n) is None and bracketed_expression(n) is None]
         if not lost and frame.dynamic and named:
             unknown = [n for n in named if attribute(n, frame).kind == "any" or n.classifier is not None]
-            if unknown:
-                row = frame.df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(attribute(n, frame).output).alias(f"c{i}") for i, n in enumerate(unknown)]).first()
-                lost = [n for i, n in enumerate(unknown) if row["rows"] and not row[f"c{i}"]]
+            rows = None
+            for n in unknown:  # one row that has it is enough, so most often few are looked at
+                if frame.df.where(attribute(n, frame).output.isNotNull()).select(F.lit(1)).first() is None:
+                    rows = frame.df.select(F.lit(1)).first() is not None if rows is None else rows
+                    lost += [n] if rows else []
         if lost:
             raise QueryError(f"Classifier or attribute '{lost[0].name}' not found")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -25,12 +26,16 @@ def needs(node) -> set[str]:
     return scopes_of(node) | ({"classifier"} if any(isinstance(n, Attribute) and n.classifier is not None for n in walk(node)) else set())
 
 
-def filtered(layout, collection: str, where, needed: set[str]) -> Frame:
+def _attributes(nodes) -> list[Attribute]:
+    return [n for node in nodes for n in walk(node) if isinstance(n, Attribute)]
+
+
+def filtered(layout, collection: str, where, needed: set[str], looked: Iterable[Attribute] = (), shown: bool = False) -> Frame:
     """The collection's frame, with the rows that satisfy `where`.
 
     A condition on parents alone that nothing else needs becomes a semi-join with the filtered parents; conditions on
     the rows' own scope, or mixed ones, are filters over joined rows; conditions on deeper rows ask that one deeper row
-    satisfies them all.
+    satisfies them all. looked: attributes that are looked up beside those of `where`; shown: all are.
     """
     own, parents, deeper = [], {LOG: [], TRACE: []}, []
     for c in conjuncts(where):
@@ -47,7 +52,7 @@ def filtered(layout, collection: str, where, needed: set[str]) -> Frame:
         frame = layout.frame(collection, needed, [lambda f, c=c: _narrowed(f.df, c, f, layout).where(condition(c, f)) for c in own])
         df = frame.df
     else:
-        frame = layout.frame(collection, needed)
+        frame = layout.frame(collection, needed, [*looked, *_attributes(own)], shown)
         df = frame.df
         for c in own:
             df = df.where(condition(c, frame))
@@ -62,7 +67,8 @@ def filtered(layout, collection: str, where, needed: set[str]) -> Frame:
 
 
 def _semi(df: DataFrame, layout, scope: str, found: list, keys: list[str]) -> DataFrame:
-    other = layout.frame(scope, set().union(*map(needs, found)))
+    own = set().union(*map(needs, found))
+    other = layout.frame(scope, own) if isinstance(layout, BoundLayout) else layout.frame(scope, own, _attributes(found))
     test = reduce(lambda a, b: a & b, [condition(c, other) for c in found])
     return df.join(other.df.where(test).select(*keys), keys, "left_semi")
 

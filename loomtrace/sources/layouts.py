@@ -139,6 +139,30 @@ PARENTS = f"trace_concept string, trace_name string, trace_attrs map<string,{ENT
 HOT = {"concept:name": "activity", "time:timestamp": "ts_raw", "org:resource": "resource", "lifecycle:transition": "transition"}
 
 
+def _text(entry: Column) -> Column:
+    return F.coalesce(entry["s"], entry["n"].cast("string"), entry["b"].cast("string"))
+
+
+def entry_of(attrs: Column, name: str) -> Column:
+    """A map's entry of a name, or else of one that differs in case."""
+    other = F.get(F.map_values(F.map_filter(attrs, lambda k, _: F.lower(k) == name.lower())), 0)
+    return F.coalesce(attrs[name], F.when(F.size(attrs) > 0, other))
+
+
+def texts_of(attrs: Column) -> Column:
+    return F.transform_values(attrs, lambda _, v: _text(v))
+
+
+def keys_of(classifier: str) -> Column:
+    """The keys of a log's classifier, from its column `classifiers`."""
+    return F.get(F.filter("classifiers", lambda c: F.lower(c["name"]) == classifier.lower()), 0)["keys"]
+
+
+def part_of(maps: list[Column], key: Column) -> Column:
+    """A classifier's part: the first text under the key that isn't empty."""
+    return F.coalesce(*[F.when(_text(m[key]) != "", _text(m[key])) for m in maps])
+
+
 class LogLayout:
     """Imported logs: tables of logs, traces and events with attribute maps.
 
@@ -149,10 +173,14 @@ class LogLayout:
     def __init__(self, logs: DataFrame, traces: DataFrame, events: DataFrame, flat: bool = False):
         self.logs, self.traces, self.events, self.flat = logs, traces, events, flat
 
-    def frame(self, scope: str, needed: set[str]) -> Frame:
+    def frame(self, scope: str, needed: set[str], used: Iterable[Attribute] = (), shown: bool = False) -> Frame:
+        """used: attributes that will be looked up, and shown: whether all will be, as text. Where events are joined with
+        their traces, these are taken from the maps before, so that no maps are shuffled."""
         logs = self.logs.select(F.col("log_id").alias("_log"), F.col("log_seq").alias("_ls"), F.col("name").alias("l_name"), F.col("attrs").alias("l_attrs"), F.col("source").alias("l_source"), F.col("import_ts").alias("l_import"), "classifiers")
         traces = self.traces.select(F.col("log_id").alias("_log"), F.col("log_seq").alias("_ls"), F.col("trace_id").alias("_trace"), F.col("trace_seq").alias("_ts"), F.col("name").alias("t_name"), F.col("attrs").alias("t_attrs"))
         own = self.flat and scope == EVENT
+        taken: dict[tuple[str, str], str] = {}
+        early: dict[str, str] = {}
         if scope == LOG:
             df = logs
         elif scope == TRACE:
@@ -164,16 +192,24 @@ class LogLayout:
                 *([F.col(c).alias(n) for c, n in copied.items()] if own else []),
             )
             if needed & {TRACE, "classifier"} and not own:
-                df = df.join(traces.drop("_ls", "_ts"), ["_log", "_trace"], "left")
+                wanted = dict.fromkeys((a.scope, standard_name(a.name, literal)) for a in used for literal in (a.literal, False) if a.classifier is None and a.scope != LOG)
+                asked = dict.fromkeys(a.classifier.lower() for a in used if a.classifier is not None)
+                wanted |= dict.fromkeys((EVENT, k.strip()) for c in asked for k in CLASSIFIERS.get(c) or c.split("+"))
+                wanted |= dict.fromkeys((EVENT, k.strip()) for a in used if a.classifier is not None for k in a.classifier.split("+"))
+                taken = {w: f"{w[0]}_a{i}" for i, w in enumerate(w for w in wanted if w[0] == TRACE or w[1] not in HOT)}
+                early = {c: f"e_parts{i}" for i, c in enumerate(asked)}
+                if early:
+                    df = df.join(logs.select("_log", "classifiers"), "_log", "left")
+                df = df.select(
+                    *[c for c in df.columns if c != "classifiers"], *[entry_of(F.col("e_attrs"), n).alias(c) for (s, n), c in taken.items() if s == EVENT],
+                    *[F.transform(keys_of(c), lambda k: part_of([F.col("e_attrs")], k)).alias(n) for c, n in early.items()], *([texts_of(F.col("e_attrs")).alias("e_shown")] if shown else []),
+                )
+                of_traces = traces.select("*", *[entry_of(F.col("t_attrs"), n).alias(c) for (s, n), c in taken.items() if s == TRACE], *([texts_of(F.col("t_attrs")).alias("t_shown")] if shown else []))
+                df = df.join(of_traces.drop("_ls", "_ts"), ["_log", "_trace"], "left")
         if scope != LOG and needed & {LOG, "classifier"} and not own:
             df = df.join(logs.drop("_ls"), "_log", "left")
         have = set(df.columns)
 
-        def entry(column: str, name: str) -> Value:
-            attrs = F.col(column)
-            other = F.get(F.map_values(F.map_filter(attrs, lambda k, _: F.lower(k) == name.lower())), 0)
-            return values.of_attribute(F.coalesce(attrs[name], F.when(F.size(attrs) > 0, other)))
-
         def find(s: str, name: str) -> Value | None:
             if s == EVENT and name in HOT:
                 return Value("string", F.col(HOT[name]))
@@ -181,23 +217,27 @@ class LogLayout:
                 return Value("string", F.col("t_concept"))
             if s == LOG and name.lower() in ("source", "importtimestamp"):
                 return Value("string", F.col("l_source")) if name.lower() == "source" else Value("time", F.col("l_import"))
-            return entry(f"{s}_attrs", name) if f"{s}_attrs" in have else None
+            if (s, name) in taken:
+                return values.of_attribute(F.col(taken[s, name]))
+            return values.of_attribute(entry_of(F.col(f"{s}_attrs"), name)) if f"{s}_attrs" in have else None
 
         def classifier(name: str) -> Value | None:
             """As its log defines it, else as implied by the name."""
             implied = joined([p for k in (CLASSIFIERS.get(name.lower()) or name.split("+")) if (p := find(scope, k.strip())) is not None])
             if "classifiers" not in have:
                 return implied
-            text = {s: F.transform_values(F.col(f"{s}_attrs"), lambda _, v: F.coalesce(v["s"], v["n"].cast("string"), v["b"].cast("string"))) for s in (EVENT, TRACE, LOG) if f"{s}_attrs" in have}
-            keys = F.get(F.filter("classifiers", lambda c: F.lower(c["name"]) == name.lower()), 0)["keys"]
-            parts = F.transform(keys, lambda k: F.coalesce(*[F.when(m[k] != "", m[k]) for m in text.values()]))
+            maps = [F.col(f"{s}_attrs") for s in (EVENT, TRACE, LOG) if f"{s}_attrs" in have]
+            at = early.get(name.lower())
+            if at:
+                parts = F.transform(keys_of(name), lambda k, i: F.coalesce(F.get(F.col(at), i), part_of(maps[1:], k)))
+            else:
+                parts = F.transform(keys_of(name), lambda k: part_of(maps, k))
             own = F.array_join(F.filter(parts, lambda p: p.isNotNull()), "+")
             return Value("string", F.coalesce(F.when(own != "", own), implied.text if implied else F.lit(None)))
 
         def everything(s: str) -> list[tuple[str, Column]]:
             if f"{s}_attrs" not in have:
                 return []
-            shown = F.transform_values(F.col(f"{s}_attrs"), lambda _, v: F.coalesce(v["s"], v["n"].cast("string"), v["b"].cast("string")))
-            return [(f"{s}:*", shown)]
+            return [(f"{s}:*", F.col(f"{s}_shown") if f"{s}_shown" in have else texts_of(F.col(f"{s}_attrs")))]
 
         return Frame(df, scope, find, classifier, everything, dynamic=True)

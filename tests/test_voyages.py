@@ -1,6 +1,7 @@
 """A larger generated log: variants, groups and scoped limits against plain Python."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -110,3 +111,30 @@ def test_weighted_parent_aggregates_and_expressions(logs):
     mean = sum(sizes) / len(sizes)
     assert abs(got[0] - mean) < 1e-9 and got[1] == max(sizes) - min(sizes) and got[2] == len(set(sizes)) and got[3] == int(mean * 10 + 0.5)
     assert abs(rows(store, "select avg(t:size)")[0][0] - sum(len(e) for log in data.values() for _, e in log) / 160) < 1e-9
+
+
+def test_joins_with_traces_shuffle_no_maps(logs):
+    store, data = logs
+    for text in ("select count(t:name), sum(e:total)", "select e:name, t:name, e:total where e:total > 5 or t:size = 3", "select count(e:name) group by [e:c:Activity]", "select [e:c:Activity], t:name"):
+        lines = store.query(text)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joined = [i for i, line in enumerate(lines) if "Join LeftOuter" in line and "_trace#" in line]
+        below = [next(x for x in lines[i + 1 :] if "Project [" in x) for i in joined]
+        assert below and not any(re.search(r"(?:\[|, )(?:attrs#\d+ AS )?e_attrs#\d+(?:,|\])", x) for x in below), (text, below)
+    texts = sorted(r[0] for r in rows(store, "select [e:COST:Total] where l:name = 'A' and t:size = 1 and [e:Cost:total] > 0"))
+    assert texts == sorted(str(x) for _, events in data["A"] if len(events) == 1 for _, _, x, _ in events if x)
+
+
+def test_classifiers_take_parts_from_any_level(spark, tmp_path):
+    event = lambda *a: "<event>" + "".join(f'<{t} key="{k}" value="{v}"/>' for t, k, v in a) + "</event>"
+    log = '<log><classifier name="Whole" keys="step ship size line"/><string key="line" value="L"/>'
+    log += '<trace><string key="ship" value="S"/><int key="size" value="3"/>' + event(("string", "step", "a"), ("string", "ship", "own")) + event(("string", "step", ""), ("float", "size", "0.5")) + event(("string", "Whole", "x")) + "</trace>"
+    log += "<trace>" + event(("boolean", "step", "true")) + "</trace></log>"
+    (tmp_path / "log.xes").write_text(log)
+    for parents in (False, True):
+        store = Store(spark, str(tmp_path / f"store{parents}"))
+        store.import_log(str(tmp_path / "log.xes"), parents=parents)
+        assert sorted(r[0] for r in rows(store, "select [e:c:whole]")) == ["S+0.5+L", "S+3.0+L", "a+own+3.0+L", "true+L"]
+        assert sorted((r[-1]) for r in rows(store, "select count(e:step) group by [e:c:Whole]")) == [1, 1, 1, 1]
+        with pytest.raises(Exception, match="not found"):
+            store.query("select count(e:step) group by [e:c:Nothing]")
+        assert store.query("select count(e:step) where t:ship = 'none' group by [e:c:Nothing]").count() == 0
