@@ -11,7 +11,9 @@ from contextlib import contextmanager
 from functools import lru_cache
 from xml.sax.saxutils import quoteattr
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column
@@ -48,22 +50,21 @@ def output(target: str) -> Iterator:
     store.move(made, path)
 
 
-def packed(target: str, text: str) -> bytes:
-    """Text as a part of the target: a .gz file is a chain of gzip members, so that its parts are made apart."""
-    data = text.encode()
+def packed(target: str, data: bytes) -> bytes:
+    """Bytes as a part of the target: a .gz file is a chain of gzip members, so that its parts are made apart."""
     return gzip.compress(data, 6, mtime=0) if target.endswith(".gz") else data
 
 
 def assemble(target: str, head: str, fragments: list[str], tail: str) -> None:
     """A file of its head, its fragments in order, already packed for it, and its tail; bytes are copied as they stand."""
     with output(target) as out:
-        out.write(packed(target, head))
+        out.write(packed(target, head.encode()))
         for f in fragments:
             store, path = _place(f)
             with store.open_input_stream(path, compression=None) as part:
                 while data := part.read(COPIED):
                     out.write(data)
-        out.write(packed(target, tail))
+        out.write(packed(target, tail.encode()))
 
 
 class Fragments:
@@ -75,15 +76,15 @@ class Fragments:
         self.path, self.target, self.held, self.size = path, target, [], 0
         self.raw = store.open_output_stream(inner, compression=None)
 
-    def write(self, text: str) -> None:
-        self.held.append(text)
-        self.size += len(text)
+    def write(self, text: str | bytes | memoryview) -> None:
+        self.held.append(text.encode() if isinstance(text, str) else text)
+        self.size += len(self.held[-1])
         if self.size >= COPIED:
             self.flush()
 
     def flush(self) -> None:
         if self.held:
-            self.raw.write(packed(self.target, "".join(self.held)))
+            self.raw.write(packed(self.target, b"".join(self.held)))
         self.held, self.size = [], 0
 
     def close(self) -> None:
@@ -91,6 +92,13 @@ class Fragments:
         self.raw.close()
 
 
+def _starts(ids: pa.Array, before) -> np.ndarray:
+    """Which rows have another id than the row before them; `before` is that of the row before the first."""
+    previous = pa.concat_arrays([pa.array([before], ids.type), ids[:-1]])
+    differ = pc.or_(pc.fill_null(pc.not_equal(ids, previous), False), pc.xor(ids.is_null(), previous.is_null()))
+    return differ.to_numpy(zero_copy_only=False)
+
+
 def _text(value) -> str | None:
     if value["b"] is not None:
         return "true" if value["b"] else "false"
@@ -199,7 +207,8 @@ def write_logs(layout: BoundLayout, folder: str, nested: dict[str, tuple[str, st
     own = [c for s in (LOG, TRACE, EVENT) for c in layout.names.get(s, {}).values()]
     rows = frame.df.select("_log", "_trace", *ORDER[EVENT], *own)
     rows = rows.repartitionByRange("_ls", "_log", "_ts", "_trace").sortWithinPartitions("_ls", "_log", "_ts", "_trace", "_ei")
-    rows = rows.select("_log", "_trace", body(LOG, 1).alias("l"), body(TRACE, 2).alias("t"), body(EVENT, 3).alias("e"))
+    event = F.concat(F.lit("    <event>\n"), body(EVENT, 3), F.lit("    </event>\n"))
+    rows = rows.select("_log", "_trace", body(LOG, 1).alias("l"), F.concat(F.lit("  <trace>\n"), body(TRACE, 2)).alias("t"), event.alias("e"))
     parts = f"{folder}/.fragments-{uuid.uuid4().hex}"
 
     def target(log: str) -> str:
@@ -209,18 +218,28 @@ def write_logs(layout: BoundLayout, folder: str, nested: dict[str, tuple[str, st
         task = TaskContext.get().partitionId()
         made, log, trace, out = [], None, None, None
         for b in batches:
-            for log_id, trace_id, l_text, t_text, e_text in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if out is None or log_id != log:
+            if not b.num_rows:
+                continue
+            new = _starts(b.column(0), log)
+            new[0] |= out is None
+            first = np.flatnonzero(new | _starts(b.column(1), trace))
+            log, trace = b.column(0)[-1].as_py(), b.column(1)[-1].as_py()
+            events = b.column(4).cast(pa.binary())  # their texts lie behind each other, so those of a trace are one slice
+            ends, text = np.frombuffer(events.buffers()[1], np.int32)[events.offset :], memoryview(events.buffers()[2])
+            cuts = ends[[*first, b.num_rows]].tolist()
+            if cuts[0] > ends[0]:
+                out.write(text[ends[0] : cuts[0]])
+            for at, t_text, start, end in zip(first.tolist(), b.column(3).take(pa.array(first)).to_pylist(), cuts, cuts[1:]):
+                if out is not None:
+                    out.write("  </trace>\n")
+                if new[at]:
                     if out is not None:
-                        out.write("  </trace>\n")
                         out.close()
+                    log_id = b.column(0)[at].as_py()
                     out = Fragments(f"{parts}/{len(made)}-{task}", target(log_id))
-                    made.append((log_id, task, out.path, l_text))
-                    log, trace = log_id, None
-                if trace_id != trace:
-                    out.write(f"{'  </trace>\n' if trace is not None else ''}  <trace>\n{t_text}")
-                    trace = trace_id
-                out.write(f"    <event>\n{e_text}    </event>\n")
+                    made.append((log_id, task, out.path, b.column(2)[at].as_py()))
+                out.write(t_text)
+                out.write(text[start:end])
         if out is not None:
             out.write("  </trace>\n")
             out.close()

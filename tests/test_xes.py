@@ -230,3 +230,23 @@ def test_a_task_reads_few_pieces_of_a_long_log(spark):
 
     pieces = [Row(**{f: piece.get(f, i) for f in ("source", "log_id", "piece", "path", "member", "start", "length", "zipped", "prefix", "suffix")}) for i in range(1000)]
     assert xes.parsed(spark, pieces, "event").rdd.getNumPartitions() == 125 and xes.parsed(spark, pieces, "log").rdd.getNumPartitions() == 1
+
+
+def test_traces_run_over_batches_and_may_lack_an_id(spark, tmp_path):
+    from loomtrace.sources.layouts import Binding, BoundLayout
+    from loomtrace.sources.xes_writer import write_logs
+
+    rows = [(i, None if i % 30 < 9 else f"c{i % 4}", "hill" if i % 3 else "vale", f"ü{'é' * (i % 5)}") for i in range(90)]
+    binding = Binding(log="site", trace="case", event="id", trace_order=("case",), event_order=("id",), attributes={"e": {"concept:name": "what", "number": "id"}, "t": {"concept:name": "case"}, "l": {"concept:name": "site"}})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        write_logs(BoundLayout(spark.createDataFrame(rows, "id int, case string, site string, what string"), binding), str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for site in ("hill", "vale"):
+        own = [r for r in rows if r[2] == site]
+        got = list(rows_of(io.BytesIO((tmp_path / "out" / f"{site}.xes").read_bytes()), site))
+        cases = [r["attrs"].get("concept:name", {"s": None})["s"] for r in got if r["level"] == "trace"]
+        assert cases == sorted({r[1] for r in own}, key=lambda c: (c is not None, c))  # a trace without an id is one trace
+        events = [(r["attrs"]["number"]["n"], cases[r["trace_seq"]], r["attrs"]["concept:name"]["s"]) for r in got if r["level"] == "event"]
+        assert sorted(events) == [(i, c, w) for i, c, _, w in own] and [e[0] for e in events] == [r[0] for c in cases for r in own if r[1] == c]
