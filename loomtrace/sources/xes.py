@@ -19,7 +19,6 @@ import hashlib
 import json
 import re
 import uuid
-import zlib
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -27,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -186,8 +186,29 @@ _OPENED = re.compile(rb"<trace(?:\s[^<>]*)?(?<!/)>")
 _CLOSED = re.compile(rb"</trace\s*>")
 
 
+def _plain_end(text: bytes) -> int | None:
+    """last_end of a text with no marks but <trace> and </trace> in turn, looked at in one go; None if it isn't such a text."""
+    a = np.frombuffer(text, np.uint8)
+    at = np.flatnonzero(a[:-7] == ord("<"))  # a mark that starts later can't be before an end
+    after = a[at + 1]
+    opened, closed = at[after == ord("t")], at[after == ord("/")]
+    for i, c in enumerate(b"race", 2):
+        opened = opened[a[opened + i] == c]
+    for i, c in enumerate(b"trace", 2):
+        closed = closed[a[closed + i] == c]
+    if ((after == ord("!")) | (after == ord("?"))).any() or (a[opened + 6] != ord(">")).any() or (a[closed + 7] != ord(">")).any():
+        return None
+    if not len(closed):
+        return 0
+    end = int(closed[-1]) + 8
+    return end if np.count_nonzero(opened < end) == len(closed) else None
+
+
 def last_end(text: bytes) -> int:
     """Where the last trace ends before which all are closed; 0 if none does. Comments, CDATA and instructions don't count."""
+    end = _plain_end(text)
+    if end is not None:
+        return end
     if b"<!" not in text and b"<?" not in text:
         at = max(text.rfind(b"</trace>"), 0)
         end = at + 8 if at else 0
@@ -242,6 +263,18 @@ def _id(*of) -> str:
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}"
 
 
+def _event_id(trace_id: str, at: int) -> str:
+    """As `_event_ids` gives: the trace's id and its own last part once more, with the event's number for its last digits."""
+    return f"{trace_id}_{trace_id[-36:-12]}{at:012x}"
+
+
+def _event_ids(trace_ids: pa.Array, owner: pa.Array, places: pa.Array) -> pa.Array:
+    """Ids of events from those of all traces of a piece, the number of each event's trace, and its own number there."""
+    starts = pc.binary_join_element_wise(trace_ids, pc.utf8_slice_codeunits(trace_ids, -36, -12), "_")
+    numbers = pa.array([f"{i:012x}" for i in range(1 + (pc.max(places).as_py() or 0))], pa.string())
+    return pc.binary_join_element_wise(starts.take(owner), numbers.take(places), "")
+
+
 class _Maps:
     """Attribute maps, held as columns: what flatten() gives, with the steps of names seen before looked up."""
 
@@ -456,12 +489,12 @@ def piece_rows(text: bytes, source: str, log_id: str, piece: int, parents: bool,
         yield batch("trace", len(seqs), {"trace_id": ids, "trace_seq": numbers, "attrs": maps})
     if "event" not in levels:
         return
-    owner = [at for at, n in enumerate(counts) for _ in range(n)]
-    places = [i for n in counts for i in range(n)]
+    owner = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
+    places = pa.array(np.concatenate([np.arange(n) for n in counts]) if counts else [], pa.int64())
+    names = _event_ids(ids, owner, places)
     for start in range(0, len(owner), BATCH):
-        own, i = pa.array(owner[start : start + BATCH], pa.int64()), pa.array(places[start : start + BATCH], pa.int64())
-        names = [f"{trace_ids[o]}_{_id(trace_ids[o], p)}" for o, p in zip(owner[start : start + BATCH], places[start : start + BATCH])]
-        columns = {"trace_id": ids.take(own), "trace_seq": numbers.take(own), "event_id": pa.array(names, pa.string()), "event_idx": i, "attrs": entries.slice(start, BATCH)}
+        own, i = owner.slice(start, BATCH), places.slice(start, BATCH)
+        columns = {"trace_id": ids.take(own), "trace_seq": numbers.take(own), "event_id": names.slice(start, BATCH), "event_idx": i, "attrs": entries.slice(start, BATCH)}
         yield batch("event", len(own), columns | ({"trace_attrs": maps.take(own)} if parents else {}))
 
 
@@ -481,7 +514,7 @@ def whole_rows(path: str, member: str | None, source: str, log_id: str, parents:
             if row["level"] == "trace":
                 above, trace_id = list(row["attrs"].items()), f"{log_id}_{_id(log_id, 0, row['trace_seq'])}"
             if row["level"] == level:
-                event_id = f"{trace_id}_{_id(trace_id, row['event_idx'])}" if level == "event" else None
+                event_id = _event_id(trace_id, row["event_idx"]) if level == "event" else None
                 held.append(row | {"trace_id": trace_id, "event_id": event_id, "attrs": list(row["attrs"].items()), "trace_attrs": above if parents and level == "event" else None})
             if len(held) >= BATCH:
                 yield pa.RecordBatch.from_pylist(held, schema=_PARSED)
@@ -490,6 +523,19 @@ def whole_rows(path: str, member: str | None, source: str, log_id: str, parents:
             yield pa.RecordBatch.from_pylist(held, schema=_PARSED)
 
 
+def _packed(text: bytes) -> bytes:
+    """A piece for the staging folder: zstandard at its lightest takes a third of the time that deflate does."""
+    out = pa.BufferOutputStream()
+    with pa.CompressedOutputStream(out, "zstd") as packed:
+        packed.write(text)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> bytes:
+    with pa.CompressedInputStream(pa.BufferReader(data), "zstd") as text:
+        return text.read()
+
+
 #: Pieces that one task reads, at most.
 TOGETHER = 8
 
@@ -517,7 +563,7 @@ def parsed(spark: SparkSession, pieces: list, level: str, parents: bool = False)
                 with _open(p["path"]) as f:
                     f.seek(p["start"])
                     text = f.read(p["length"])
-                text = zlib.decompress(text) if p["zipped"] else text
+                text = _unpacked(text) if p["zipped"] else text
                 yield from piece_rows(p["prefix"] + text + p["suffix"], p["source"], p["log_id"], p["piece"], parents, (level,))
 
     return where.mapInArrow(run, PARSED)
@@ -595,7 +641,7 @@ class XesReader(DataSourceReader):
                 if suffix is not None and not plain:
                     store, inner = pafs.FileSystem.from_uri(f"{self.pieces}/{log_id}/{i}")
                     store.create_dir(inner.rpartition("/")[0], recursive=True)
-                    data = zlib.compress(text, 1)
+                    data = _packed(text)
                     with store.open_output_stream(inner, compression=None) as out:
                         out.write(data)
                     row |= {"path": f"{self.pieces}/{log_id}/{i}", "start": 0, "length": len(data), "zipped": True}

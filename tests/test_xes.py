@@ -250,3 +250,20 @@ def test_traces_run_over_batches_and_may_lack_an_id(spark, tmp_path):
         assert cases == sorted({r[1] for r in own}, key=lambda c: (c is not None, c))  # a trace without an id is one trace
         events = [(r["attrs"]["number"]["n"], cases[r["trace_seq"]], r["attrs"]["concept:name"]["s"]) for r in got if r["level"] == "event"]
         assert sorted(events) == [(i, c, w) for i, c, _, w in own] and [e[0] for e in events] == [r[0] for c in cases for r in own if r[1] == c]
+
+
+def test_ends_of_traces_and_ids_of_events():
+    from loomtrace.sources import xes
+
+    event = "<event></event>"
+    for text, end in ((f"<trace>{event}</trace><trace>", 30), ("<trace></trace></log>", 15), ("<trace>" + event, 0), ("<tra", 0), ("</trace>", None), ("<trace><trace></trace>", None), ("<trace a='1'></trace>", None), ("<trace></trace ><trace></trace>", None), ("<!-- --><trace></trace>", None)):
+        assert xes._plain_end(text.encode()) == end
+    for text in (f"<trace>{event}{event}</trace><trace></trace><trace>{event}</trace>", f"<trace >{event}{event}</trace><trace></trace><trace>{event}</trace>"):  # by shapes, and as a whole
+        rows = [r for b in xes.piece_rows(f"<log>{text}</log>".encode(), "s", "log_1", 3, False, ("trace", "event")) for r in b.to_pylist()]
+        traces = [r["trace_id"] for r in rows if r["level"] == "trace"]
+        found = [(r["trace_id"], r["event_id"]) for r in rows if r["level"] == "event"]
+        assert [t for t, _ in found] == [traces[0], traces[0], traces[2]]
+        assert [e for _, e in found] == [xes._event_id(traces[0], 0), xes._event_id(traces[0], 1), xes._event_id(traces[2], 0)] and len({e for _, e in found}) == 3
+        assert all(len(e) == len(t) + 37 and e.startswith(t + "_") for t, e in found)
+    data = b"<trace></trace>" * 10_000
+    assert xes._unpacked(xes._packed(data)) == data
